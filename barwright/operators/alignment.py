@@ -7,7 +7,7 @@ forced to be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barwright.functions.series import log_ratio, series_by
 
@@ -47,7 +47,7 @@ def latest_before(bars: DataFrame, requested: DataFrame, value: str = "close") -
     """
     marks = requested.select("symbol", "date", F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
     known = bars.select("symbol", "date", F.col(value).cast("double").alias("v"), F.lit(1).alias("kind"))
-    w = series_by("symbol").orderBy("date", "kind").rowsBetween(-(1 << 62), -1)
+    w = series_by("symbol").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, -1)
     both = marks.unionByName(known).withColumn(f"last_{value}", F.last("v", ignorenulls=True).over(w))
     return both.filter("kind = 0").select("symbol", "date", f"last_{value}")
 
@@ -69,7 +69,7 @@ def carry_forward(bars: DataFrame, gaps: DataFrame, max_days: int = 5) -> DataFr
 def interpolate(series: DataFrame, value: str, keys=("symbol",)) -> DataFrame:
     """Fill NULLs by time-weighted blending of the neighbours, then outwards from the ends."""
     w = series_by(*keys)
-    back, ahead = w.rowsBetween(-(1 << 62), 0), w.rowsBetween(0, 1 << 62)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     v = F.col(value)
     stamp = F.when(v.isNotNull(), F.col("date"))
     df = series.select(
@@ -79,8 +79,8 @@ def interpolate(series: DataFrame, value: str, keys=("symbol",)) -> DataFrame:
         F.first(v, True).over(ahead).alias("_nv"),
         F.first(stamp, True).over(ahead).alias("_nd"),
     )
-    share = F.try_divide(F.datediff("date", "_pd"), F.datediff("_nd", "_pd"))
-    blended = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * share
+    moved = (F.col("_nv") - F.col("_pv")) * F.datediff("date", "_pd")
+    blended = F.col("_pv") + F.try_divide(moved, F.datediff("_nd", "_pd").cast("double"))
     return df.withColumn(value, F.coalesce(v, blended, F.col("_pv"), F.col("_nv"))).drop("_pv", "_pd", "_nv", "_nd")
 
 
