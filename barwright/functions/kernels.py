@@ -1,0 +1,576 @@
+"""Small numpy kernels for one series, used inside grouped-map jobs.
+
+A series holds at most one value per trading day, so its length is bounded by the
+calendar; Spark spreads the series over tasks.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+# --- smoothing ------------------------------------------------------------------
+
+
+def lowess(x: np.ndarray, y: np.ndarray, frac: float, passes: int = 3, max_cells: int = 2_000_000) -> np.ndarray:
+    """Locally weighted linear regression with robustness passes (Cleveland, 1979)."""
+    n = len(x)
+    k = max(2, min(n, int(frac * n + 1e-10)))
+    robust = np.ones(n)
+    fit = np.zeros(n)
+    block = max(1, max_cells // n)
+    spans = []
+    for s in range(0, n, block):
+        d = np.abs(x[None, :] - x[s : s + block, None])
+        h = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        spans.append(h)
+    for step in range(passes + 1):
+        for b, s in enumerate(range(0, n, block)):
+            u = x[None, :] - x[s : s + block, None]
+            h = np.where(spans[b] > 0, spans[b], 1.0)
+            z = np.abs(u) / h
+            w = np.where(z <= 0.001, 1.0, np.where(z <= 0.999, (1 - np.minimum(z, 1) ** 3) ** 3, 0.0)) * robust
+            w = np.where(w.sum(axis=1, keepdims=True) > 0, w, (z == 0) * 1.0)
+            w = w / w.sum(axis=1, keepdims=True)
+            xm = (w * u).sum(axis=1)
+            ym = (w * y).sum(axis=1)
+            var = (w * (u - xm[:, None]) ** 2).sum(axis=1)
+            cov = (w * (u - xm[:, None]) * y).sum(axis=1)
+            slope = np.where(var > 1e-12 * (x[-1] - x[0]) ** 2, cov / np.where(var > 0, var, 1.0), 0.0)
+            fit[s : s + block] = ym - slope * xm
+        if step == passes:
+            break
+        resid = y - fit
+        scale = 6 * np.median(np.abs(resid))
+        if scale <= 0:
+            break
+        robust = np.where(np.abs(resid) < scale, (1 - np.minimum(np.abs(resid) / scale, 1) ** 2) ** 2, 0.0)
+    return fit
+
+
+def _loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray, degree: int = 1) -> np.ndarray:
+    """Local fit of an evenly spaced series (positions 0..n-1) at positions ``at``."""
+    n = len(y)
+    pos = np.arange(n, dtype=float)
+    d = np.abs(pos[None, :] - at[:, None])
+    k = min(span, n)
+    h = np.partition(d, k - 1, axis=1)[:, k - 1]
+    if span > n:
+        h = h + (span - n) // 2
+    h = np.maximum(h, 1e-12)[:, None]
+    z = d / h
+    w = np.where(z <= 0.999, np.where(z <= 0.001, 1.0, (1 - np.minimum(z, 1) ** 3) ** 3), 0.0) * weights
+    total = w.sum(axis=1, keepdims=True)
+    safe = np.where(total > 0, total, 1.0)
+    w = w / safe
+    out = (w * y).sum(axis=1)
+    if degree:
+        mean = (w * pos).sum(axis=1)
+        dev = pos[None, :] - mean[:, None]
+        var = (w * dev**2).sum(axis=1)
+        ok = np.sqrt(var) > 0.001 * (n - 1)
+        slope = np.where(ok, (w * dev * y).sum(axis=1) / np.where(ok, var, 1.0), 0.0)
+        out = out + slope * (at - mean)
+    nearest = np.clip(np.round(at).astype(int), 0, n - 1)
+    return np.where(total[:, 0] > 0, out, y[nearest])
+
+
+def _odd(v: float) -> int:
+    k = int(math.ceil(v))
+    return k if k % 2 else k + 1
+
+
+def stl(y: np.ndarray, period: int, robust: bool = True, seasonal: int = 7):
+    """Seasonal-trend decomposition by local fits (Cleveland et al., 1990).
+
+    Returns trend, seasonal and remainder. The seasonal span is 7 and the trend and
+    low-pass spans follow from it and the period.
+    """
+    n = len(y)
+    trend_span = _odd(1.5 * period / (1 - 1.5 / seasonal))
+    low_span = _odd(period + 1)
+    inner, outer = (2, 15) if robust else (5, 0)
+    trend = np.zeros(n)
+    weights = np.ones(n)
+    season = np.zeros(n)
+    grid = np.arange(n, dtype=float)
+
+    def average(v, k):
+        c = np.cumsum(np.insert(v, 0, 0.0))
+        return (c[k:] - c[:-k]) / k
+
+    for turn in range(outer + 1):
+        for _ in range(inner):
+            detrended = y - trend
+            cycle = np.zeros(n + 2 * period)
+            for j in range(period):
+                sub = detrended[j::period]
+                at = np.arange(-1, len(sub) + 1, dtype=float)
+                cycle[j::period] = _loess(sub, seasonal, weights[j::period], at)
+            low = average(average(average(cycle, period), period), 3)
+            low = _loess(low, low_span, np.ones(n), grid)
+            season = cycle[period : period + n] - low
+            trend = _loess(y - season, trend_span, weights, grid)
+        if turn == outer:
+            break
+        resid = np.abs(y - season - trend)
+        six = 6 * np.median(resid)
+        if six <= 0:
+            break
+        u = resid / six
+        weights = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - np.minimum(u, 1) ** 2) ** 2, 0.0))
+    return trend, season, y - trend - season
+
+
+# --- autocorrelation and unit roots ----------------------------------------------
+
+
+def pacf_ols(x: np.ndarray, nlags: int) -> np.ndarray:
+    """Partial autocorrelations by regressions on a constant and the first k lags."""
+    n = len(x)
+    lagged = np.column_stack([np.ones(n)] + [np.r_[np.zeros(k), x[:-k]] for k in range(1, nlags + 1)])
+    out = np.ones(nlags + 1)
+    for k in range(1, nlags + 1):
+        out[k] = np.linalg.lstsq(lagged[k:, : k + 1], x[k:], rcond=None)[0][-1]
+    return out
+
+
+def rolling_pacf_ols(x: np.ndarray, window: int, nlags: int) -> np.ndarray:
+    """:func:`pacf_ols` of every window x[i-window:i], i = window..n-1, from moment sums.
+
+    Row m of the result belongs to i = window + m; columns are lags 1..nlags.
+    """
+    n = len(x)
+    rows = n - window
+    if rows <= 0:
+        return np.empty((0, nlags))
+    cols = np.column_stack([np.ones(n), x] + [np.r_[np.zeros(k), x[:-k]] for k in range(1, nlags + 1)])
+    # cols: constant, x_t, x_{t-1}, ..., x_{t-nlags}
+    prod = np.einsum("ti,tj->tij", cols, cols)
+    cum = np.concatenate([np.zeros((1,) + prod.shape[1:]), np.cumsum(prod, axis=0)])
+    starts = np.arange(rows)
+    out = np.empty((rows, nlags))
+    for k in range(1, nlags + 1):
+        use = [0] + list(range(2, 2 + k))
+        m = cum[starts + window] - cum[starts + k]
+        gram = m[:, use][:, :, use]
+        rhs = m[:, use, 1]
+        try:
+            out[:, k - 1] = np.linalg.solve(gram, rhs[:, :, None])[:, -1, 0]
+        except np.linalg.LinAlgError:
+            out[:, k - 1] = [np.linalg.lstsq(g, v, rcond=None)[0][-1] for g, v in zip(gram, rhs)]
+    return out
+
+
+# Response-surface coefficients for the unit-root p-value with a
+# constant and one series (MacKinnon, 1994).
+_TAU_MAX, _TAU_MIN, _TAU_STAR = 2.74, -18.83, -1.61
+_SMALL_P = [2.1659, 1.4412, 0.038269]
+_LARGE_P = [1.7339, 0.93202, -0.12745, -0.010368]
+
+
+def normal_cdf(v: float) -> float:
+    return 0.5 * math.erfc(-v / math.sqrt(2))
+
+
+def unit_root_p(stat: float) -> float:
+    if stat > _TAU_MAX:
+        return 1.0
+    if stat < _TAU_MIN:
+        return 0.0
+    poly = _SMALL_P if stat <= _TAU_STAR else _LARGE_P
+    return normal_cdf(sum(c * stat**i for i, c in enumerate(poly)))
+
+
+def adf(x: np.ndarray) -> tuple[float, float, int]:
+    """Augmented Dickey-Fuller test with a constant; lag count by AIC.
+
+    Returns statistic, p-value and the lag count used.
+    """
+    n = len(x)
+    if n < 8 or np.ptp(x) == 0:
+        return math.nan, math.nan, 0
+    most = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+    dx = np.diff(x)
+
+    def design(lags, keep):
+        rows = len(dx) - keep
+        level = x[keep:-1]
+        past = [dx[keep - j : len(dx) - j] for j in range(1, lags + 1)]
+        return dx[keep:], np.column_stack([level, *past, np.ones(rows)])
+
+    def fit(y, z):
+        beta, *_ = np.linalg.lstsq(z, y, rcond=None)
+        rss = float(((y - z @ beta) ** 2).sum())
+        return beta, rss
+
+    best, lags = math.inf, 0
+    for p in range(most + 1):
+        y, z = design(p, most)
+        _, rss = fit(y, z)
+        m = len(y)
+        aic = m * (math.log(2 * math.pi) + math.log(max(rss, 1e-300) / m) + 1) + 2 * z.shape[1]
+        if aic < best:
+            best, lags = aic, p
+    y, z = design(lags, lags)
+    beta, rss = fit(y, z)
+    dof = len(y) - z.shape[1]
+    cov = rss / dof * np.linalg.pinv(z.T @ z)
+    stat = float(beta[0] / math.sqrt(cov[0, 0]))
+    return stat, unit_root_p(stat), lags
+
+
+def hurst(price: np.ndarray, min_window: int = 10) -> float:
+    """Hurst exponent of a price series by simplified rescaled ranges.
+
+    Window lengths grow by quarter decades up to the whole series; each window gives
+    its relative range over the deviation of its returns. Needs 100 values.
+    """
+    n = len(price)
+    if n < 100 or not np.all(price > 0):
+        return math.nan
+    exponents = np.arange(math.log10(min_window), math.log10(n - 1), 0.25)
+    sizes = [int(10.0**e) for e in exponents] + [n]
+    growth = price[1:] / price[:-1] - 1.0
+    means, kept = [], []
+    for w in sizes:
+        values = []
+        for s in range(0, n, w):
+            if s + w > n:
+                break
+            part, steps = price[s : s + w], growth[s : s + w - 1]
+            dev = np.std(steps, ddof=1) if len(steps) > 1 else 0.0
+            reach = part.max() / part.min() - 1.0
+            if dev > 0 and reach > 0:
+                values.append(reach / dev)
+        if values:
+            means.append(np.mean(values))
+            kept.append(w)
+    if len(kept) < 2:
+        return math.nan
+    design = np.column_stack([np.log10(kept), np.ones(len(kept))])
+    return float(np.linalg.lstsq(design, np.log10(means), rcond=None)[0][0])
+
+
+# --- distributions ----------------------------------------------------------------
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        for num in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1.0 + num * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return h
+
+
+def t_cdf(v: float, df: float) -> float:
+    x = df / (df + v * v)
+    a, b = df / 2.0, 0.5
+    if x >= 1.0:
+        return 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        tail = front * _beta_fraction(a, b, x) / a
+    else:
+        tail = 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+    return 0.5 * tail if v < 0 else 1 - 0.5 * tail
+
+
+def t_pdf(v: float, df: float) -> float:
+    return math.exp(
+        math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * math.log1p(v * v / df)
+    )
+
+
+def t_quantile(p: float, df: float) -> float:
+    low, high = -1.0, 1.0
+    while t_cdf(low, df) > p:
+        low *= 2
+    while t_cdf(high, df) < p:
+        high *= 2
+    for _ in range(200):
+        mid = 0.5 * (low + high)
+        if t_cdf(mid, df) < p:
+            low = mid
+        else:
+            high = mid
+        if high - low < 1e-13 * max(1.0, abs(mid)):
+            break
+    return 0.5 * (low + high)
+
+
+def minimise(fn, start, step, rounds: int = 600, tol: float = 1e-10):
+    """Downhill simplex search (Nelder and Mead, 1965)."""
+    dim = len(start)
+    points = [np.array(start, float)]
+    for i in range(dim):
+        p = np.array(start, float)
+        p[i] += step[i]
+        points.append(p)
+    values = [fn(p) for p in points]
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points = [points[i] for i in order]
+        values = [values[i] for i in order]
+        if abs(values[-1] - values[0]) < tol and max(np.abs(p - points[0]).max() for p in points) < 1e-9:
+            break
+        centre = np.mean(points[:-1], axis=0)
+        away = centre + (centre - points[-1])
+        v = fn(away)
+        if v < values[0]:
+            far = centre + 2 * (centre - points[-1])
+            w = fn(far)
+            points[-1], values[-1] = (far, w) if w < v else (away, v)
+        elif v < values[-2]:
+            points[-1], values[-1] = away, v
+        else:
+            near = centre + 0.5 * ((away if v < values[-1] else points[-1]) - centre)
+            w = fn(near)
+            if w < min(v, values[-1]):
+                points[-1], values[-1] = near, w
+            else:
+                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+                values = [values[0]] + [fn(p) for p in points[1:]]
+    best = int(np.argmin(values))
+    return points[best], values[best]
+
+
+def fit_t(x: np.ndarray) -> tuple[float, float, float]:
+    """Degrees of freedom, location and scale of a Student t by maximum likelihood."""
+    n = len(x)
+    mid = float(np.median(x))
+    spread = float(np.median(np.abs(x - mid))) or float(np.std(x)) or 1.0
+
+    def loss(theta):
+        df, scale = math.exp(min(theta[0], 14.0)), math.exp(min(max(theta[2], -50.0), 50.0))
+        z = (x - theta[1]) / scale
+        const = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - math.log(scale)
+        return -(n * const - (df + 1) / 2 * np.log1p(z * z / df).sum()) / n
+
+    theta, _ = minimise(loss, [math.log(5.0), mid, math.log(spread * 1.3)], [0.7, 0.2 * spread, 0.3])
+    return math.exp(min(theta[0], 14.0)), float(theta[1]), math.exp(theta[2])
+
+
+def fit_pareto(x: np.ndarray) -> tuple[float, float]:
+    """Shape and scale of a generalised Pareto with location 0 by maximum likelihood."""
+    n = len(x)
+    mean, top = float(x.mean()), float(x.max())
+
+    def loss(theta):
+        c, s = theta[0], math.exp(min(max(theta[1], -50.0), 50.0))
+        if abs(c) < 1e-9:
+            return math.log(s) + mean / s
+        z = 1 + c * x / s
+        if np.any(z <= 0):
+            return 1e10 + abs(c) * top
+        return math.log(s) + (1 + 1 / c) * float(np.log(z).sum()) / n
+
+    theta, _ = minimise(loss, [0.1, math.log(mean)], [0.1, 0.3])
+    return float(theta[0]), math.exp(theta[1])
+
+
+# --- spectra ----------------------------------------------------------------------
+
+
+def detrend(x: np.ndarray) -> np.ndarray:
+    """Residual of a straight-line fit by position."""
+    t = np.arange(len(x), dtype=float)
+    t -= t.mean()
+    return x - x.mean() - t * (t @ x) / max(t @ t, 1e-300)
+
+
+def amplitude_spectrum(x: np.ndarray) -> np.ndarray:
+    """2/N times the magnitude of the periodic-Hann-windowed transform, N//2 frequencies."""
+    n = len(x)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    return 2.0 / n * np.abs(np.fft.rfft(x * window)[: n // 2])
+
+
+def prominent_peaks(y: np.ndarray, prominence: float, top: int) -> list[tuple[int, float]]:
+    """Local maxima with at least the given prominence, most prominent first."""
+    found = []
+    i = 1
+    while i < len(y) - 1:
+        if y[i - 1] < y[i]:
+            j = i
+            while j < len(y) - 1 and y[j + 1] == y[i]:
+                j += 1
+            if j < len(y) - 1 and y[j + 1] < y[i]:
+                peak = (i + j) // 2
+                left = np.nonzero(y[:peak] > y[peak])[0]
+                right = np.nonzero(y[peak + 1 :] > y[peak])[0]
+                a = left[-1] + 1 if len(left) else 0
+                b = peak + 1 + right[0] if len(right) else len(y)
+                rise = y[peak] - max(y[a : peak + 1].min(), y[peak:b].min())
+                if rise >= prominence:
+                    found.append((peak, float(rise)))
+            i = j + 1
+        else:
+            i += 1
+    return sorted(found, key=lambda p: (-p[1], p[0]))[:top]
+
+
+# Low-pass decomposition taps of the four-moment Daubechies wavelet.
+DB4_LOW = [
+    -0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114,
+    -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523,
+]
+
+
+def wavelet_levels(x: np.ndarray, level: int | None = None) -> list[np.ndarray]:
+    """Approximation and details, coarsest first, with half-sample symmetric edges."""
+    low = np.array(DB4_LOW)
+    taps = len(low)
+    high = low[::-1] * np.where(np.arange(taps) % 2 == 0, -1.0, 1.0)
+    most = int(math.floor(math.log2(len(x) / (taps - 1)))) if len(x) >= taps else 0
+    if most < 1:
+        return []
+    details = []
+    for _ in range(min(level, most) if level and level >= 1 else most):
+        padded = np.pad(x, taps - 1, mode="symmetric")
+        details.append(np.convolve(padded, high, "valid")[1::2])
+        x = np.convolve(padded, low, "valid")[1::2]
+    return [x] + details[::-1]
+
+
+# Fixed value: centre frequency of the Morlet wavelet used.
+MORLET_CENTRE = 0.8125
+
+
+def morlet_power(x: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Squared magnitude of the continuous Morlet transform, one row per scale.
+
+    Each row differences the convolution with the integrated, rescaled wavelet.
+    """
+    t = np.linspace(-8.0, 8.0, 1024)
+    step = t[1] - t[0]
+    integral = np.cumsum(np.exp(-(t**2) / 2) * np.cos(5 * t)) * step
+    n = len(x)
+    out = np.empty((len(scales), n))
+    for i, s in enumerate(scales):
+        pick = (np.arange(s * 16.0 + 1) / (s * step)).astype(int)
+        pick = pick[pick < len(integral)]
+        kernel = integral[pick][::-1]
+        size = 1 << int(math.ceil(math.log2(n + len(kernel))))
+        full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel, size), size)[: n + len(kernel) - 1]
+        coef = -math.sqrt(s) * np.diff(full)
+        extra = (len(coef) - n) / 2.0
+        out[i] = coef[int(math.floor(extra)) : len(coef) - int(math.ceil(extra))] ** 2
+    return out
+
+
+def lomb_scargle(t: np.ndarray, y: np.ndarray, freq: np.ndarray, block: int = 512) -> np.ndarray:
+    """Normalised periodogram of uneven samples with a floating mean."""
+    y = y - y.mean()
+    yy = y @ y / len(y)
+    out = np.empty(len(freq))
+    for s in range(0, len(freq), block):
+        arg = 2 * np.pi * freq[s : s + block, None] * t[None, :]
+        c, d = np.cos(arg), np.sin(arg)
+        cm, dm = c.mean(axis=1), d.mean(axis=1)
+        yc, yd = c @ y / len(y), d @ y / len(y)
+        cc = (c * c).mean(axis=1) - cm**2
+        dd = (d * d).mean(axis=1) - dm**2
+        cd = (c * d).mean(axis=1) - cm * dm
+        det = cc * dd - cd**2
+        out[s : s + block] = (dd * yc**2 + cc * yd**2 - 2 * cd * yc * yd) / np.where(det > 0, det, np.inf) / yy
+    return out
+
+
+def false_alarm_level(t: np.ndarray, probability: float) -> float:
+    """Power exceeded with the given probability by noise (Baluev, 2008)."""
+    n = len(t)
+    top = 5 * 0.5 * n / (t.max() - t.min())
+    width = top * math.sqrt(4 * math.pi * t.var())
+    gain = math.sqrt(2 / (n - 1)) * math.exp(math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2))
+
+    def alarm(z):
+        tau = gain * width * (1 - z) ** (0.5 * (n - 4)) * math.sqrt(0.5 * (n - 1) * z)
+        return 1 - (1 - (1 - z) ** (0.5 * (n - 3))) * math.exp(-tau)
+
+    low, high = 1e-6, 1 - 1e-12
+    for _ in range(200):
+        mid = 0.5 * (low + high)
+        low, high = (mid, high) if alarm(mid) > probability else (low, mid)
+    return 0.5 * (low + high)
+
+
+# --- anomaly scores ---------------------------------------------------------------
+
+
+def standardise(x: np.ndarray) -> np.ndarray:
+    dev = x.std(axis=0)
+    return (x - x.mean(axis=0)) / np.where(dev > 0, dev, 1.0)
+
+
+def _path_norm(n):
+    n = np.asarray(n, float)
+    big = np.maximum(n, 3.0)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(big - 1) + 0.5772156649015329) - 2 * (big - 1) / big))
+
+
+def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
+    """Isolation-forest scores in (0, 1); higher is more isolated (Liu et al., 2008).
+
+    A fixed seed and one random stream per series give the same scores on any cluster.
+    """
+    n = len(x)
+    rng = np.random.default_rng(seed)
+    size = min(sample, n)
+    limit = int(math.ceil(math.log2(max(size, 2))))
+    depth = np.zeros(n)
+    for _ in range(trees):
+        stack = [(rng.choice(n, size, replace=False), np.arange(n), 0)]
+        while stack:
+            inside, rows, level = stack.pop()
+            if len(rows) == 0:
+                continue
+            span = np.ptp(x[inside], axis=0) if len(inside) > 1 else np.zeros(x.shape[1])
+            usable = np.nonzero(span > 0)[0]
+            if level >= limit or len(usable) == 0:
+                depth[rows] += level + _path_norm(len(inside))
+                continue
+            f = usable[rng.integers(len(usable))]
+            cut = x[inside, f].min() + rng.random() * span[f]
+            stack.append((inside[x[inside, f] <= cut], rows[x[rows, f] <= cut], level + 1))
+            stack.append((inside[x[inside, f] > cut], rows[x[rows, f] > cut], level + 1))
+    return 2.0 ** (-depth / trees / max(float(_path_norm(size)), 1e-12))
+
+
+def density_noise(x: np.ndarray, eps: float, min_points: int, block: int = 512) -> np.ndarray:
+    """True where a point is neither a core point nor within ``eps`` of one."""
+    n = len(x)
+    core = np.zeros(n, bool)
+
+    def near(s):
+        d = ((x[s : s + block, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        return d <= eps * eps
+
+    for s in range(0, n, block):
+        core[s : s + block] = near(s).sum(axis=1) >= min_points
+    noise = np.zeros(n, bool)
+    for s in range(0, n, block):
+        noise[s : s + block] = ~(near(s) & core).any(axis=1)
+    return noise
+
+
+def two_components(x: np.ndarray) -> np.ndarray:
+    """First two principal components; the largest loading of each is made positive."""
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    axes = axes[:2]
+    sign = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
+    return (x - x.mean(axis=0)) @ (axes * sign[:, None]).T

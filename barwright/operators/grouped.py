@@ -1,0 +1,22 @@
+"""Grouped-map jobs: one numpy kernel per series, all series in parallel."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def per_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "symbol") -> DataFrame:
+    """Apply ``fn`` to each series in date order.
+
+    Only the columns ``fn`` reads should be selected before: they are what crosses
+    the Arrow boundary. A series is bounded by the calendar because the panel is
+    keyed on (symbol, date), so no group can outgrow a task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(pdf.sort_values("date", kind="stable").reset_index(drop=True))
+
+    return df.groupBy(key).applyInPandas(run, schema)
