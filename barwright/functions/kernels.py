@@ -49,31 +49,29 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float, passes: int = 3, max_cells
     return fit
 
 
-def _loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray, degree: int = 1) -> np.ndarray:
-    """Local fit of an evenly spaced series (positions 0..n-1) at positions ``at``."""
+def _loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Local linear fit of an evenly spaced series at whole positions ``at`` (-1..n)."""
     n = len(y)
-    pos = np.arange(n, dtype=float)
-    d = np.abs(pos[None, :] - at[:, None])
     k = min(span, n)
-    h = np.partition(d, k - 1, axis=1)[:, k - 1]
+    left = np.clip(at.astype(int) - (k - 1) // 2, 0, n - k)
+    pos = left[:, None] + np.arange(k)
+    d = np.abs(pos - at[:, None])
+    h = d.max(axis=1)
     if span > n:
         h = h + (span - n) // 2
-    h = np.maximum(h, 1e-12)[:, None]
-    z = d / h
-    w = np.where(z <= 0.999, np.where(z <= 0.001, 1.0, (1 - np.minimum(z, 1) ** 3) ** 3), 0.0) * weights
+    z = d / np.maximum(h, 1e-12)[:, None]
+    w = np.where(z <= 0.999, np.where(z <= 0.001, 1.0, (1 - np.minimum(z, 1) ** 3) ** 3), 0.0) * weights[pos]
     total = w.sum(axis=1, keepdims=True)
-    safe = np.where(total > 0, total, 1.0)
-    w = w / safe
-    out = (w * y).sum(axis=1)
-    if degree:
-        mean = (w * pos).sum(axis=1)
-        dev = pos[None, :] - mean[:, None]
-        var = (w * dev**2).sum(axis=1)
-        ok = np.sqrt(var) > 0.001 * (n - 1)
-        slope = np.where(ok, (w * dev * y).sum(axis=1) / np.where(ok, var, 1.0), 0.0)
-        out = out + slope * (at - mean)
-    nearest = np.clip(np.round(at).astype(int), 0, n - 1)
-    return np.where(total[:, 0] > 0, out, y[nearest])
+    w = w / np.where(total > 0, total, 1.0)
+    yy = y[pos]
+    out = (w * yy).sum(axis=1)
+    mean = (w * pos).sum(axis=1)
+    dev = pos - mean[:, None]
+    var = (w * dev**2).sum(axis=1)
+    ok = np.sqrt(var) > 0.001 * (n - 1)
+    slope = np.where(ok, (w * dev * yy).sum(axis=1) / np.where(ok, var, 1.0), 0.0)
+    out = out + slope * (at - mean)
+    return np.where(total[:, 0] > 0, out, y[np.clip(at.astype(int), 0, n - 1)])
 
 
 def _odd(v: float) -> int:
@@ -221,36 +219,32 @@ def adf(x: np.ndarray) -> tuple[float, float, int]:
     return stat, unit_root_p(stat), lags
 
 
-def hurst(price: np.ndarray, min_window: int = 10) -> float:
-    """Hurst exponent of a price series by simplified rescaled ranges.
+def rolling_hurst(price: np.ndarray, window: int = 100, min_window: int = 10) -> np.ndarray:
+    """Hurst exponent of price[i-window:i] for i = window..n-1 by simplified rescaled ranges.
 
-    Window lengths grow by quarter decades up to the whole series; each window gives
-    its relative range over the deviation of its returns. Needs 100 values.
+    Chunk lengths grow by quarter decades up to the whole window; each chunk gives its
+    relative range over the deviation of its returns. All windows are handled together.
     """
-    n = len(price)
-    if n < 100 or not np.all(price > 0):
-        return math.nan
-    exponents = np.arange(math.log10(min_window), math.log10(n - 1), 0.25)
-    sizes = [int(10.0**e) for e in exponents] + [n]
-    growth = price[1:] / price[:-1] - 1.0
-    means, kept = [], []
-    for w in sizes:
-        values = []
-        for s in range(0, n, w):
-            if s + w > n:
-                break
-            part, steps = price[s : s + w], growth[s : s + w - 1]
-            dev = np.std(steps, ddof=1) if len(steps) > 1 else 0.0
-            reach = part.max() / part.min() - 1.0
-            if dev > 0 and reach > 0:
-                values.append(reach / dev)
-        if values:
-            means.append(np.mean(values))
-            kept.append(w)
-    if len(kept) < 2:
-        return math.nan
-    design = np.column_stack([np.log10(kept), np.ones(len(kept))])
-    return float(np.linalg.lstsq(design, np.log10(means), rcond=None)[0][0])
+    if len(price) <= window or window < 100 or not np.all(price > 0):
+        return np.full(max(len(price) - window, 0), np.nan)
+    w = np.lib.stride_tricks.sliding_window_view(price, window)[:-1]
+    growth = w[:, 1:] / w[:, :-1] - 1.0
+    exponents = np.arange(math.log10(min_window), math.log10(window - 1), 0.25)
+    sizes = [int(10.0**e) for e in exponents] + [window]
+    means = np.empty((len(w), len(sizes)))
+    for j, size in enumerate(sizes):
+        rs = []
+        for s in range(0, window - size + 1, size):
+            part = w[:, s : s + size]
+            dev = growth[:, s : s + size - 1].std(axis=1, ddof=1)
+            reach = part.max(axis=1) / part.min(axis=1) - 1.0
+            rs.append(np.where((dev > 0) & (reach > 0), reach / np.where(dev > 0, dev, 1.0), np.nan))
+        rs = np.array(rs)
+        seen = (~np.isnan(rs)).sum(axis=0)
+        means[:, j] = np.where(seen > 0, np.nansum(rs, axis=0) / np.maximum(seen, 1), np.nan)
+    x = np.log10(sizes)
+    x = x - x.mean()
+    return np.log10(means) @ x / (x @ x)
 
 
 # --- distributions ----------------------------------------------------------------
@@ -518,6 +512,7 @@ def standardise(x: np.ndarray) -> np.ndarray:
 
 
 def _path_norm(n):
+    """Mean path length of an unsuccessful search among n points."""
     n = np.asarray(n, float)
     big = np.maximum(n, 3.0)
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(big - 1) + 0.5772156649015329) - 2 * (big - 1) / big))
@@ -526,28 +521,36 @@ def _path_norm(n):
 def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
     """Isolation-forest scores in (0, 1); higher is more isolated (Liu et al., 2008).
 
-    A fixed seed and one random stream per series give the same scores on any cluster.
+    All trees grow together, level by level. A fixed seed and one random stream per
+    series give the same scores on any cluster.
     """
-    n = len(x)
+    n, width = x.shape
     rng = np.random.default_rng(seed)
     size = min(sample, n)
     limit = int(math.ceil(math.log2(max(size, 2))))
+    inside = x[np.concatenate([rng.choice(n, size, replace=False) for _ in range(trees)])]
+    home = np.repeat(np.arange(trees), size)
+    rows = np.tile(np.arange(n), trees)
+    node = np.repeat(np.arange(trees), n)
     depth = np.zeros(n)
-    for _ in range(trees):
-        stack = [(rng.choice(n, size, replace=False), np.arange(n), 0)]
-        while stack:
-            inside, rows, level = stack.pop()
-            if len(rows) == 0:
-                continue
-            span = np.ptp(x[inside], axis=0) if len(inside) > 1 else np.zeros(x.shape[1])
-            usable = np.nonzero(span > 0)[0]
-            if level >= limit or len(usable) == 0:
-                depth[rows] += level + _path_norm(len(inside))
-                continue
-            f = usable[rng.integers(len(usable))]
-            cut = x[inside, f].min() + rng.random() * span[f]
-            stack.append((inside[x[inside, f] <= cut], rows[x[rows, f] <= cut], level + 1))
-            stack.append((inside[x[inside, f] > cut], rows[x[rows, f] > cut], level + 1))
+    for level in range(limit + 1):
+        total = trees << level
+        count = np.bincount(home, minlength=total)
+        low, high = np.full((total, width), np.inf), np.full((total, width), -np.inf)
+        np.minimum.at(low, home, inside)
+        np.maximum.at(high, home, inside)
+        span = np.where(count[:, None] > 1, high - low, 0.0)
+        leaf = ~(span > 0).any(axis=1) | (level == limit)
+        ended = leaf[node]
+        depth += np.bincount(rows[ended], (level + _path_norm(count))[node[ended]], minlength=n)
+        rows, node = rows[~ended], node[~ended]
+        keep = ~leaf[home]
+        inside, home = inside[keep], home[keep]
+        pick = np.where(span > 0, rng.random((total, width)), -1.0).argmax(axis=1)
+        each = np.arange(total)
+        cut = np.where(leaf, 0.0, low[each, pick]) + rng.random(total) * span[each, pick]
+        home = 2 * home + (inside[np.arange(len(home)), pick[home]] > cut[home])
+        node = 2 * node + (x[rows, pick[node]] > cut[node])
     return 2.0 ** (-depth / trees / max(float(_path_norm(size)), 1e-12))
 
 

@@ -4,36 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window, functions as F
 
-# One spec object: columns built on it share a single sort. A partition is one
-# series and holds at most one row per trading day, because the panel is keyed on
-# (symbol, date).
-SERIES = Window.partitionBy("symbol").orderBy("date")
-WHOLE = Window.partitionBy("symbol")
+
+def by_date():
+    """Rows of one series in date order.
+
+    Equal specs share a single sort. A partition is one series and holds at most one
+    row per trading day, because the panel is keyed on (symbol, date).
+    """
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def by_date_desc():
+    """Latest first: a look ahead is a running frame here, where a frame that reaches
+    to the end of the series would be evaluated anew for every row."""
+    return Window.partitionBy("symbol").orderBy(F.col("date").desc())
+
+
+def whole():
+    """All rows of one series."""
+    return Window.partitionBy("symbol")
 
 
 def series_by(*keys: str):
     return Window.partitionBy(*keys).orderBy("date")
 
 
-def trailing(n: int, spec=SERIES):
-    return spec.rowsBetween(-(n - 1), 0)
+def trailing(n: int, spec=None):
+    return (spec or by_date()).rowsBetween(-(n - 1), 0)
 
 
-def rolling(agg: Column, counted: Column | str, n: int, spec=SERIES) -> Column:
+def rolling(agg: Column, counted: Column | str, n: int, spec=None) -> Column:
     """Rolling aggregate that is NULL until ``n`` non-null values are in the frame."""
     frame = trailing(n, spec)
     return F.when(F.count(counted).over(frame) == n, agg.over(frame))
 
 
-def prev(col: str, k: int = 1, spec=SERIES) -> Column:
-    return F.lag(col, k).over(spec)
+def prev(col: str, k: int = 1, spec=None) -> Column:
+    return F.lag(col, k).over(spec or by_date())
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def simple_return(close: str = "close", k: int = 1, spec=SERIES) -> Column:
+def simple_return(close: str = "close", k: int = 1, spec=None) -> Column:
     return F.try_divide(F.col(close), prev(close, k, spec)) - 1
 
 
@@ -42,7 +56,7 @@ def log_ratio(a: Column, b: Column, floor: float = 0.0) -> Column:
     return F.when((a > floor) & (b > floor), F.log(a / b))
 
 
-def log_return(close: str = "close", k: int = 1, spec=SERIES, floor: float = 0.0) -> Column:
+def log_return(close: str = "close", k: int = 1, spec=None, floor: float = 0.0) -> Column:
     return log_ratio(F.col(close), prev(close, k, spec), floor)
 
 

@@ -10,15 +10,16 @@ PRICES = ["open", "high", "low", "close"]
 def split_factors(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Product of the ratios of all splits after each bar.
 
-    Splits are interleaved with the bars of their symbol and summed from the far end
-    in logarithms: one window in place of a range join. A split on the day of a bar
+    Splits are interleaved with the bars of their symbol and summed latest first
+    in logarithms: one running window in place of a range join. A split on the day of a bar
     does not touch that bar.
     """
     b = bars.select("symbol", "date", F.lit(1).alias("kind"), F.lit(0.0).alias("ln_ratio"))
     s = splits.filter("ratio > 0").select(
         "symbol", F.col("split_date").alias("date"), F.lit(0).alias("kind"), F.log("ratio").alias("ln_ratio")
     )
-    later = Window.partitionBy("symbol").orderBy("date", "kind").rowsBetween(1, Window.unboundedFollowing)
+    latest_first = Window.partitionBy("symbol").orderBy(F.col("date").desc(), F.col("kind").desc())
+    later = latest_first.rowsBetween(Window.unboundedPreceding, -1)
     both = b.unionByName(s).withColumn("factor", F.exp(F.coalesce(F.sum("ln_ratio").over(later), F.lit(0.0))))
     return both.filter("kind = 1").select("symbol", "date", "factor")
 

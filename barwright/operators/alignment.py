@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barwright.functions.series import log_ratio, series_by
+from barwright.functions.series import by_date, by_date_desc, log_ratio, series_by
 
 
 def complete_dates(series: DataFrame, assets: int) -> DataFrame:
@@ -66,18 +66,18 @@ def carry_forward(bars: DataFrame, gaps: DataFrame, max_days: int = 5) -> DataFr
     )
 
 
-def interpolate(series: DataFrame, value: str, keys=("symbol",)) -> DataFrame:
+def interpolate(series: DataFrame, value: str) -> DataFrame:
     """Fill NULLs by time-weighted blending of the neighbours, then outwards from the ends."""
-    w = series_by(*keys)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = by_date().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_date_desc().rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
     stamp = F.when(v.isNotNull(), F.col("date"))
     df = series.select(
         "*",
         F.last(v, True).over(back).alias("_pv"),
         F.last(stamp, True).over(back).alias("_pd"),
-        F.first(v, True).over(ahead).alias("_nv"),
-        F.first(stamp, True).over(ahead).alias("_nd"),
+        F.last(v, True).over(ahead).alias("_nv"),
+        F.last(stamp, True).over(ahead).alias("_nd"),
     )
     moved = (F.col("_nv") - F.col("_pv")) * F.datediff("date", "_pd")
     blended = F.col("_pv") + F.try_divide(moved, F.datediff("_nd", "_pd").cast("double"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions import kernels
-from barwright.functions.series import WHOLE, log_return, rolling, simple_return
+from barwright.functions.series import log_return, rolling, simple_return, whole
 from barwright.operators import calendar as cal
 from barwright.operators.alignment import interpolate, reindex
 from barwright.operators.grouped import per_series
@@ -21,13 +21,13 @@ PERIOD = 21
 FEATURES = ["log_return", "volatility", "volume_pct_change"]
 
 
-def z_scores(df: DataFrame, value: str, spec=WHOLE, scale: float = 0.6745) -> DataFrame:
+def z_scores(df: DataFrame, value: str, spec=None, scale: float = 0.6745) -> DataFrame:
     """Population z-score and the modified z-score about the median.
 
     The median absolute deviation is normal-scaled and the result is multiplied by
     ``scale`` once more, as users of the measure expect; pass 1.0 to leave that out.
     """
-    v = F.col(value)
+    v, spec = F.col(value), spec or whole()
     df = df.withColumns(
         {"_m": F.avg(v).over(spec), "_s": F.stddev_pop(v).over(spec), "_med": F.percentile(v, F.lit(0.5)).over(spec)}
     )

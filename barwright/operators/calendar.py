@@ -11,7 +11,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barwright.functions.series import SERIES
+from barwright.functions.series import by_date
 
 # Years for which Good Friday is tabulated from its rule.
 EASTER_YEARS = (1950, 2101)
@@ -105,8 +105,8 @@ def missing_days(bars: DataFrame, spans: DataFrame, kind: str = "trading") -> Da
 
 def ranges(missing: DataFrame, max_step: int = 3) -> DataFrame:
     """Merge missing dates into ranges; a step of more than ``max_step`` days starts a new one."""
-    step = F.datediff("date", F.lag("date").over(SERIES))
-    marked = missing.withColumn("island", F.sum(F.when(step > max_step, 1).otherwise(0)).over(SERIES))
+    step = F.datediff("date", F.lag("date").over(by_date()))
+    marked = missing.withColumn("island", F.sum(F.when(step > max_step, 1).otherwise(0)).over(by_date()))
     return marked.groupBy("symbol", "island").agg(
         F.min("date").alias("range_start"), F.max("date").alias("range_end"), F.count("*").alias("days")
     ).drop("island")

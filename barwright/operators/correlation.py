@@ -11,7 +11,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.functions.series import SERIES, log_ratio, rolling
+from barwright.functions.series import by_date, log_ratio, rolling
 
 STOCK = "STOCK"
 
@@ -27,7 +27,7 @@ def joint_returns(joint: DataFrame) -> DataFrame:
     """Log return of every column between consecutive shared dates of a stock."""
     assets = [c for c in joint.columns if c not in ("symbol", "date")]
     out = joint.select(
-        "symbol", "date", *[log_ratio(F.col(a), F.lag(a).over(SERIES)).alias(a) for a in assets]
+        "symbol", "date", *[log_ratio(F.col(a), F.lag(a).over(by_date())).alias(a) for a in assets]
     )
     return out.dropna(subset=assets)
 

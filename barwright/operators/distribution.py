@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.series import WHOLE, simple_return
+from barwright.functions.series import simple_return, whole
 from barwright.operators.indicators import GAP_CLASSES, gap_class, gap_percent, gaps
 
 
@@ -60,7 +60,7 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram of each symbol between its own extremes."""
     v = F.col(value)
-    df = df.filter(v.isNotNull()).withColumns({"_lo": F.min(v).over(WHOLE), "_hi": F.max(v).over(WHOLE)})
+    df = df.filter(v.isNotNull()).withColumns({"_lo": F.min(v).over(whole()), "_hi": F.max(v).over(whole())})
     return df.groupBy("symbol", "_lo", "_hi", _bin(v, F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(
         F.count("*").alias("n")
     ).select(
@@ -78,7 +78,7 @@ def volume_weighted_gaps(bars: DataFrame, bins: int = 30) -> DataFrame:
     Empty bins are kept, with volume 0.
     """
     g = gaps(bars).filter("gap_pct IS NOT NULL").withColumns(
-        {"_lo": F.min("gap_pct").over(WHOLE), "_hi": F.max("gap_pct").over(WHOLE)}
+        {"_lo": F.min("gap_pct").over(whole()), "_hi": F.max("gap_pct").over(whole())}
     )
     g = g.withColumn("bin", _bin(F.col("gap_pct"), F.col("_lo"), F.col("_hi"), bins))
     inside = F.when(F.col("gap_pct") < F.col("_hi"), F.col("volume"))
@@ -95,7 +95,7 @@ def volume_weighted_gaps(bars: DataFrame, bins: int = 30) -> DataFrame:
         (F.col("_lo") + (F.col("bin") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_center"),
         "n",
         "mean_volume",
-        (F.try_divide(F.col("mean_volume"), F.max("mean_volume").over(WHOLE)) * 0.8).alias("width"),
+        (F.try_divide(F.col("mean_volume"), F.max("mean_volume").over(whole())) * 0.8).alias("width"),
     )
 
 
@@ -108,7 +108,7 @@ def gap_volume_grid(bars: DataFrame, edges: int = 10) -> DataFrame:
     cuts = F.array(F.lit(0.01), F.lit(0.99))
     df = gaps(bars).withColumn("volume", F.col("volume").cast("double"))
     df = df.withColumns(
-        {"_g": F.percentile("gap_pct", cuts).over(WHOLE), "_v": F.percentile("volume", cuts).over(WHOLE)}
+        {"_g": F.percentile("gap_pct", cuts).over(whole()), "_v": F.percentile("volume", cuts).over(whole())}
     ).filter("gap_pct IS NOT NULL")
     lo_g, hi_g, lo_v, hi_v = F.col("_g")[0], F.col("_g")[1], F.col("_v")[0], F.col("_v")[1]
     inside = df.filter(F.col("gap_pct").between(lo_g, hi_g) & F.col("volume").between(lo_v, hi_v))
@@ -171,8 +171,8 @@ def outlier_counts(bars: DataFrame, columns=("open", "high", "low", "close", "vo
     cols = {}
     for c in columns:
         v = F.col(c).cast("double")
-        sd = F.stddev_samp(v).over(WHOLE)
-        cols[f"_{c}"] = F.abs((v - F.avg(v).over(WHOLE)) / F.when(sd > 0, sd).otherwise(1.0)) > 3
+        sd = F.stddev_samp(v).over(whole())
+        cols[f"_{c}"] = F.abs((v - F.avg(v).over(whole())) / F.when(sd > 0, sd).otherwise(1.0)) > 3
     flagged = bars.withColumns(cols)
     return flagged.groupBy("symbol").agg(*[F.count_if(f"_{c}").alias(f"{c}_outliers") for c in columns])
 
@@ -199,7 +199,7 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
     ranked = Window.partitionBy("symbol").orderBy(value, "date")
     df = df.filter(F.col(value).isNotNull())
     return df.select(
-        "symbol", "date", value, (F.row_number().over(ranked) / F.count("*").over(WHOLE)).alias("ecdf")
+        "symbol", "date", value, (F.row_number().over(ranked) / F.count("*").over(whole())).alias("ecdf")
     )
 
 

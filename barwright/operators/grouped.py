@@ -19,4 +19,8 @@ def per_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values("date", kind="stable").reset_index(drop=True))
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    # The rows are few but each costs much: without a stated number of partitions
+    # adaptive execution would merge them by size into a handful of tasks.
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key).groupBy(key).applyInPandas(run, schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.series import SERIES, WHOLE, log_return, prev, rolling, simple_return, trailing
+from barwright.functions.series import by_date, log_return, prev, rolling, simple_return, trailing, whole
 
 # Windows of the momentum, average and band measures.
 ROC_WINDOWS = [5, 10, 20, 60, 120]
@@ -52,7 +52,7 @@ def average_true_range(bars: DataFrame, window: int = 14, smooth: int = 5) -> Da
     """ATR, its centred smoothing, and both as a percentage of the close."""
     atr, norm = f"atr_{window}d", "atr_normalized"
     half = smooth // 2
-    centre = SERIES.rowsBetween(-half, half)
+    centre = by_date().rowsBetween(-half, half)
 
     def centred(name: str) -> Column:
         return F.when(F.count(name).over(centre) == smooth, F.avg(name).over(centre))
@@ -190,7 +190,7 @@ def gap_events(bars: DataFrame) -> DataFrame:
         {
             "gap_filled": F.when(F.col("_pc").isNotNull(), filled),
             "intraday_move": F.try_divide(F.col("close") - F.col("open"), F.col("open")) * 100,
-            "marker_size": F.sqrt(F.try_divide(F.col("volume"), F.max("volume").over(WHOLE))) * 50,
+            "marker_size": F.sqrt(F.try_divide(F.col("volume"), F.max("volume").over(whole()))) * 50,
             "gap_class": gap_class(F.col("gap_pct")),
         }
     ).drop("_pc")
@@ -198,14 +198,14 @@ def gap_events(bars: DataFrame) -> DataFrame:
 
 def trendlines(bars: DataFrame, epsilon: float = 1e-10) -> DataFrame:
     """Linear trend of the close and exponential trend of its logarithm by row number."""
-    df = bars.withColumn("x", (F.row_number().over(SERIES) - 1).cast("double")).withColumn(
+    df = bars.withColumn("x", (F.row_number().over(by_date()) - 1).cast("double")).withColumn(
         "_ly", F.log(F.col("close") + F.lit(epsilon))
     )
-    whole = WHOLE
-    n = F.count("close").over(whole)
+    every = whole()
+    n = F.count("close").over(every)
     fits = {
-        "linear_trend": F.regr_intercept("close", "x").over(whole) + F.regr_slope("close", "x").over(whole) * F.col("x"),
-        "exp_trend": F.exp(F.regr_intercept("_ly", "x").over(whole) + F.regr_slope("_ly", "x").over(whole) * F.col("x")),
+        "linear_trend": F.regr_intercept("close", "x").over(every) + F.regr_slope("close", "x").over(every) * F.col("x"),
+        "exp_trend": F.exp(F.regr_intercept("_ly", "x").over(every) + F.regr_slope("_ly", "x").over(every) * F.col("x")),
     }
     return df.withColumns({k: F.when(n >= 2, v) for k, v in fits.items()}).drop("x", "_ly")
 

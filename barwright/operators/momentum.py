@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions import kernels
-from barwright.functions.series import SERIES, WHOLE, rolling, simple_return
+from barwright.functions.series import by_date, rolling, simple_return, whole
 from barwright.operators.grouped import per_series
 from barwright.operators.indicators import rate_of_change_percent
 
@@ -66,7 +66,7 @@ def _nulls(df: DataFrame) -> DataFrame:
 def rolling_autocorrelation(bars: DataFrame, window: int = ANALYSIS_WINDOW, lag: int = 1) -> DataFrame:
     """Correlation of returns with their own lag over the last rows where both exist."""
     df = bars.select("symbol", "date", simple_return().alias("r"))
-    df = df.withColumn("rl", F.lag("r", lag).over(SERIES)).filter("r IS NOT NULL AND rl IS NOT NULL")
+    df = df.withColumn("rl", F.lag("r", lag).over(by_date())).filter("r IS NOT NULL AND rl IS NOT NULL")
     corr = rolling(F.corr("r", "rl"), "r", window)
     return df.select("symbol", "date", corr.alias("autocorrelation")).filter("autocorrelation IS NOT NULL")
 
@@ -85,22 +85,22 @@ def rolling_acf(bars: DataFrame, window: int = ANALYSIS_WINDOW, lags: int = LAGS
     """
     df = _series(bars, absolute)
     n = window
-    df = df.withColumn("n", F.count("*").over(WHOLE)).filter(F.col("n") >= n + lags + 1)
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("n", F.count("*").over(whole())).filter(F.col("n") >= n + lags + 1)
+    upto = by_date().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = F.col("x")
     sums = {"s": F.sum("x").over(upto), "q": F.sum(x * x).over(upto)}
-    df = df.withColumns({f"x{k}": F.lag("x", k).over(SERIES) for k in range(1, lags + 1)})
+    df = df.withColumns({f"x{k}": F.lag("x", k).over(by_date()) for k in range(1, lags + 1)})
     sums |= {f"p{k}": F.sum(x * F.coalesce(F.col(f"x{k}"), F.lit(0.0))).over(upto) for k in range(1, lags + 1)}
     df = df.withColumns(sums).drop(*[f"x{k}" for k in range(1, lags + 1)])
 
     def at(name: str, back: int) -> Column:
-        return F.coalesce(F.lag(name, back).over(SERIES), F.lit(0.0))
+        return F.coalesce(F.lag(name, back).over(by_date()), F.lit(0.0))
 
     def between(name: str, newest: int, oldest: int) -> Column:
         """Sum over the rows from ``oldest`` back to ``newest`` back."""
         return at(name, newest) - at(name, oldest + 1)
 
-    parts = {"i": F.row_number().over(SERIES), "total": between("s", 1, n), "squares": between("q", 1, n)}
+    parts = {"i": F.row_number().over(by_date()), "total": between("s", 1, n), "squares": between("q", 1, n)}
     for k in range(1, lags + 1):
         parts |= {
             f"c{k}": between(f"p{k}", 1, n - k),
@@ -122,9 +122,9 @@ def rolling_acf(bars: DataFrame, window: int = ANALYSIS_WINDOW, lags: int = LAGS
 def acf(bars: DataFrame, lags: int = LAGS, absolute: bool = False) -> DataFrame:
     """Autocorrelation by lag with the half width of its 95 % band."""
     df = _series(bars, absolute)
-    df = df.withColumns({"d": F.col("x") - F.avg("x").over(WHOLE), "n": F.count("*").over(WHOLE)})
+    df = df.withColumns({"d": F.col("x") - F.avg("x").over(whole()), "n": F.count("*").over(whole())})
     df = df.filter(F.col("n") >= lags + 2)
-    df = df.withColumns({f"d{k}": F.lag("d", k).over(SERIES) for k in range(1, lags + 1)})
+    df = df.withColumns({f"d{k}": F.lag("d", k).over(by_date()) for k in range(1, lags + 1)})
     agg = df.groupBy("symbol").agg(
         F.count("*").alias("n"),
         F.sum(F.col("d") * F.col("d")).alias("v"),
@@ -180,13 +180,13 @@ def last_rows(bars: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows of each series, numbered from 0 in date order."""
     back = Window.partitionBy("symbol").orderBy(F.col("date").desc())
     kept = bars.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= n)
-    return kept.withColumn("pos", F.row_number().over(SERIES) - 1).drop("_back")
+    return kept.withColumn("pos", F.row_number().over(by_date()) - 1).drop("_back")
 
 
 def hurst(bars: DataFrame) -> DataFrame:
     """Hurst exponent of the last 100 closes by simplified rescaled ranges, in plain SQL terms."""
     df = last_rows(bars.select("symbol", "date", "close"), HURST_WINDOW)
-    df = df.withColumn("n", F.count("*").over(WHOLE)).filter(F.col("n") == HURST_WINDOW)
+    df = df.withColumn("n", F.count("*").over(whole())).filter(F.col("n") == HURST_WINDOW)
     df = df.withColumn("size", F.explode(F.array(*[F.lit(s) for s in HURST_SIZES])))
     df = df.withColumn("chunk", F.floor(F.col("pos") / F.col("size"))).filter(
         (F.col("chunk") + 1) * F.col("size") <= HURST_WINDOW
@@ -205,12 +205,11 @@ def rolling_hurst(bars: DataFrame, window: int = HURST_WINDOW) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         price = pdf["close"].to_numpy(float)
-        rows = [
-            (pdf["date"].iloc[i], kernels.hurst(price[i - window : i]))
-            for i in range(window, len(price))
-            if np.std(price[i - window : i]) >= 1e-9
-        ]
-        out = pd.DataFrame(rows, columns=["date", "hurst"]).dropna()
+        if len(price) <= window:
+            return pd.DataFrame(columns=["symbol", "date", "hurst"])
+        spread = pdf["close"].rolling(window).std(ddof=0).to_numpy()[window - 1 : -1]
+        value = np.where(spread >= 1e-9, kernels.rolling_hurst(price, window), np.nan)
+        out = pd.DataFrame({"date": pdf["date"].iloc[window:], "hurst": value}).dropna()
         out.insert(0, "symbol", pdf["symbol"].iloc[0])
         return out
 
@@ -243,4 +242,4 @@ def phase_table(bars: DataFrame, momentum: str = "roc", reversion: str = "rsi",
     else:
         raise ValueError(f"unknown reversion measure {reversion}")
     both = m.join(r, ["symbol", "date"]).dropna(subset=["momentum", "reversion"])
-    return both.withColumn("elapsed", F.datediff("date", F.min("date").over(WHOLE)))
+    return both.withColumn("elapsed", F.datediff("date", F.min("date").over(whole())))

@@ -76,8 +76,8 @@ def repeated_symbols(df: DataFrame, order: str) -> DataFrame:
 
 def clean_text(c: str) -> Column:
     """Trimmed title case; words start after any character that is not a letter."""
-    spaced = F.initcap(F.regexp_replace(F.trim(c), "([^A-Za-z]+)", "\u0001$1\u0001 "))
-    return F.regexp_replace(spaced, "\u0001 |\u0001", "")
+    spaced = F.initcap(F.regexp_replace(F.trim(c), "([^A-Za-z]+)", "\u0001$1\u0002 "))
+    return F.regexp_replace(spaced, "\u0002 |\u0001", "")
 
 
 def first_rows(df: DataFrame, order: str, k: int, key: str = "symbol") -> DataFrame:

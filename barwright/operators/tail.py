@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barwright.functions import kernels
-from barwright.functions.series import WHOLE, log_return, rolling, trailing
+from barwright.functions.series import log_return, rolling, trailing, whole
 from barwright.operators.grouped import per_series
 
 # Confidence 95 %, its normal quantile, and the return periods in days.
@@ -25,7 +25,7 @@ def tail_returns(bars: DataFrame) -> DataFrame:
 
 def historical_var(returns: DataFrame, alpha: float = 1 - CONFIDENCE) -> DataFrame:
     """Empirical quantile and the mean of the returns at or below it."""
-    df = returns.withColumn("var", F.percentile("r", F.lit(alpha)).over(WHOLE))
+    df = returns.withColumn("var", F.percentile("r", F.lit(alpha)).over(whole()))
     return df.groupBy("symbol").agg(
         F.first("var").alias("var"), F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar")
     )
@@ -99,7 +99,7 @@ def exceedances(returns: DataFrame, quantile: float = 0.95, tail: str = "loss")
     """
     sign = -1.0 if tail == "loss" else 1.0
     df = returns.select("symbol", "date", (F.col("r") * sign).alias("loss"))
-    df = df.withColumns({"threshold": F.percentile("loss", F.lit(quantile)).over(WHOLE), "n": F.count("*").over(WHOLE)})
+    df = df.withColumns({"threshold": F.percentile("loss", F.lit(quantile)).over(whole()), "n": F.count("*").over(whole())})
     return df.filter(F.col("loss") > F.col("threshold")).select(
         "symbol", "date", "threshold", (F.col("loss") - F.col("threshold")).alias("excess"), "n"
     )
@@ -135,7 +135,7 @@ def hill(returns: DataFrame, start: int = 10, cap: int = 500) -> DataFrame:
     ``cap`` is part of the estimator: k stops at min(n - 2, max(start, n // 10), cap).
     """
     down = Window.partitionBy("symbol").orderBy(F.col("a").desc(), "date")
-    df = returns.withColumn("a", F.abs("r")).withColumns({"n": F.count("*").over(WHOLE), "rank": F.row_number().over(down)})
+    df = returns.withColumn("a", F.abs("r")).withColumns({"n": F.count("*").over(whole()), "rank": F.row_number().over(down)})
     df = df.filter(F.col("rank") <= cap + 1).withColumn("ln", F.when(F.col("a") > 1e-12, F.log("a")))
     top = down.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"mean": F.avg("ln").over(top), "next": F.lead("ln").over(down)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barwright.functions.series import SERIES, WHOLE, log_return, rolling, series_by
+from barwright.functions.series import by_date, by_date_desc, log_return, rolling, series_by, whole
 
 # Horizons, annualisation, regime quantiles and labels.
 HORIZONS = [5, 10, 21, 42, 63, 126, 252]
@@ -47,14 +47,14 @@ def regimes(vols: DataFrame, column: str = f"vol_{REGIME_HORIZON}d") -> DataFram
     """
     v = F.col(column)
     labels = F.array(*[F.lit(x) for x in REGIME_LABELS])
-    edges = F.array_distinct(F.percentile(v, F.array(*[F.lit(q) for q in REGIME_QUANTILES])).over(WHOLE))
-    df = vols.withColumns({"_edges": edges, "_n": F.count(v).over(WHOLE)})
+    edges = F.array_distinct(F.percentile(v, F.array(*[F.lit(q) for q in REGIME_QUANTILES])).over(whole()))
+    df = vols.withColumns({"_edges": edges, "_n": F.count(v).over(whole())})
     rank = F.greatest(F.size(F.filter("_edges", lambda e: e < v)), F.lit(1))
     df = df.withColumn("_cut", F.when(v.isNotNull(), F.get(labels, rank - 1)))
     fill = F.coalesce(
-        F.first("_cut", True).over(SERIES.rowsBetween(0, Window.unboundedFollowing)),
-        F.last("_cut", True).over(SERIES.rowsBetween(Window.unboundedPreceding, 0)),
-        F.mode("_cut", True).over(WHOLE),
+        F.last("_cut", True).over(by_date_desc().rowsBetween(Window.unboundedPreceding, 0)),
+        F.last("_cut", True).over(by_date().rowsBetween(Window.unboundedPreceding, 0)),
+        F.mode("_cut", True).over(whole()),
     )
     regime = (
         F.when(F.col("_n") <= len(REGIME_QUANTILES), "Unknown")

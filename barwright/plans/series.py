@@ -15,7 +15,7 @@ TAIL = f"{LAGGED}, tr AS (SELECT symbol, date, ln(close / pc) AS r FROM rets WHE
 _HIST = """hist AS (SELECT t.symbol, min(v) AS var, avg(r) FILTER (r <= v) AS cvar FROM tr t
   JOIN (SELECT symbol, quantile_cont(r, 0.05) AS v FROM tr GROUP BY symbol) q ON q.symbol = t.symbol GROUP BY t.symbol)"""
 _NORM = """norm AS (SELECT symbol, avg(r) - 1.6448536269514729::DOUBLE * stddev_samp(r) AS var,
-  avg(r) - stddev_samp(r) * exp(-1.6448536269514729::DOUBLE ** 2 / 2) / sqrt(2 * pi()) / 0.05::DOUBLE AS cvar
+  avg(r) - stddev_samp(r) * exp(-(1.6448536269514729::DOUBLE ** 2) / 2) / sqrt(2 * pi()) / 0.05::DOUBLE AS cvar
   FROM tr GROUP BY symbol HAVING stddev_samp(r) > 0)"""
 
 
