@@ -27,13 +27,13 @@ def formula_features(spark, sf):
 
 @query(
     "market_columns",
-    f"""WITH {LAGGED} SELECT symbol, date, {r('sr')} AS daily_return, {r('lr')} AS log_return, {r('exp(sum(lr) ' + _W + ') - 1')} AS cumulative_return,
-    {r('close - open')} AS open_close, {r('high - low')} AS high_low, {r('close / pc', 9)} AS close_prev_close FROM rets""",
+    f"""WITH {LAGGED} SELECT symbol, date, {r('sr', 9)} AS daily_return, {r('lr', 9)} AS log_return, {r('exp(sum(lr) ' + _W + ') - 1', 9)} AS cumulative_return,
+    {r('close - open', 9)} AS open_close, {r('high - low', 9)} AS high_low, {r('close / pc', 9)} AS close_prev_close FROM rets""",
 )
 def market_columns(spark, sf):
     out = fe.basic_market_columns(panel.bars(spark, sf))
     cols = ["daily_return", "log_return", "cumulative_return", "open_close", "high_low", "close_prev_close"]
-    return tidy(out.select("symbol", "date", *cols), close_prev_close=9)
+    return tidy(out.select("symbol", "date", *cols), 9)
 
 
 _FSET = f"""{LAGGED}, ff AS (SELECT symbol, date, (close - open) / open AS body, (high - low) / close AS spread, CAST(volume AS DOUBLE) AS volume,
@@ -170,12 +170,12 @@ _SIG = f"""{LAGGED}, s AS (SELECT symbol, date, close, sr AS p, CASE WHEN sr >=
 
 @query(
     "trading_signals",
-    f"""WITH {_SIG} SELECT symbol, date, action, {r("CASE WHEN action <> 'HOLD' THEN close * (1 + p) END", 4)} AS target_price,
+    f"""WITH {_SIG} SELECT symbol, date, action, {r("CASE WHEN action <> 'HOLD' THEN close * (1 + p) END", 8)} AS target_price,
     {r("CASE action WHEN 'BUY' THEN close * 0.95::DOUBLE WHEN 'SELL' THEN close * 1.05::DOUBLE END", 5)} AS stop_price FROM s""",
 )
 def trading_signals(spark, sf):
     p = panel.bars(spark, sf).select("symbol", "date", "close", simple_return().alias("predicted")).dropna(subset=["predicted"])
-    return tidy(fe.signals(p).select("symbol", "date", "action", "target_price", "stop_price"), 5, target_price=4)
+    return tidy(fe.signals(p).select("symbol", "date", "action", "target_price", "stop_price"), 5, target_price=8)
 
 
 @query("signals_by_action", f"WITH {_SIG} SELECT symbol, action, count(*) AS n FROM s GROUP BY symbol, action")
@@ -199,11 +199,11 @@ def models(spark, sf):
 
 @query(
     "model_search",
-    f"WITH {_MODELS} SELECT model_id, model_type, target, created_at, {r('r2')} AS r2 FROM models WHERE model_type = '2-HIGH' AND created_at >= DATE '1998-01-01' AND r2 >= 0.5",
+    f"WITH {_MODELS} SELECT model_id, model_type, target, created_at, {r('r2', 8)} AS r2 FROM models WHERE model_type = '2-HIGH' AND created_at >= DATE '1998-01-01' AND r2 >= 0.5",
 )
 def model_search(spark, sf):
     out = reg.search(models(spark, sf), {"model_type": "2-HIGH", "target": None}, {"created_at": "1998-01-01", "r2": 0.5})
-    return tidy(out)
+    return tidy(out, 8)
 
 
 @query("model_page", f"WITH {_MODELS} SELECT model_id, created_at FROM models ORDER BY created_at DESC, model_id LIMIT 25 OFFSET 50")
@@ -297,11 +297,11 @@ def equity_measures(spark, sf):
 
 @query(
     "trade_measures",
-    f"""WITH {BARS}, t AS (SELECT symbol, close - open AS p FROM bars) SELECT symbol, count(*) AS trades, {r('count(*) FILTER (p > 0) / count(*)')} AS win_rate,
-    {r('sum(p) FILTER (p > 0) / abs(sum(p) FILTER (p < 0))')} AS profit_factor, {r('avg(p) FILTER (p > 0)')} AS mean_win, {r('avg(p) FILTER (p < 0)')} AS mean_loss FROM t GROUP BY symbol""",
+    f"""WITH {BARS}, t AS (SELECT symbol, close - open AS p FROM bars) SELECT symbol, count(*) AS trades, {r('count(*) FILTER (p > 0) / count(*)', 8)} AS win_rate,
+    {r('sum(p) FILTER (p > 0) / abs(sum(p) FILTER (p < 0))', 8)} AS profit_factor, {r('avg(p) FILTER (p > 0)', 8)} AS mean_win, {r('avg(p) FILTER (p < 0)', 8)} AS mean_loss FROM t GROUP BY symbol""",
 )
 def trade_measures(spark, sf):
-    return tidy(reg.trade_measures(panel.bars(spark, sf).select("symbol", (F.col("close") - F.col("open")).alias("profit"))))
+    return tidy(reg.trade_measures(panel.bars(spark, sf).select("symbol", (F.col("close") - F.col("open")).alias("profit"))), 8)
 
 
 @query(
