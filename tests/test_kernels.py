@@ -1,0 +1,134 @@
+"""Kernels against direct definitions and known values."""
+
+import math
+
+import numpy as np
+
+from barwright.functions import kernels as k
+
+
+def rng():
+    return np.random.default_rng(7)
+
+
+def test_t_quantile_known_values():
+    assert abs(k.t_quantile(0.05, 5) + 2.015048373) < 1e-7
+    assert abs(k.t_quantile(0.975, 10) - 2.228138852) < 1e-7
+    assert abs(k.t_cdf(0.0, 3) - 0.5) < 1e-12
+
+
+def test_fit_t_recovers_parameters():
+    x = 0.1 + 2.0 * rng().standard_t(4, size=20000)
+    df, loc, scale = k.fit_t(x)
+    assert abs(df - 4) < 0.5 and abs(loc - 0.1) < 0.1 and abs(scale - 2) < 0.1
+
+
+def test_fit_pareto_recovers_parameters():
+    u = rng().random(20000)
+    shape, scale = k.fit_pareto(0.5 / 0.2 * ((1 - u) ** -0.2 - 1))
+    assert abs(shape - 0.2) < 0.05 and abs(scale - 0.5) < 0.05
+
+
+def test_rolling_pacf_equals_one_window_at_a_time():
+    x = rng().normal(size=200)
+    rolled = k.rolling_pacf_ols(x, 120, 10)
+    for m in (0, 17, 79):
+        assert np.allclose(rolled[m], k.pacf_ols(x[m : m + 120], 10)[1:], atol=1e-8)
+
+
+def test_adf_separates_stationary_from_random_walk():
+    noise = rng().normal(size=300)
+    assert k.adf(noise)[1] < 0.01
+    assert k.adf(np.cumsum(noise))[1] > 0.05
+    assert abs(k.unit_root_p(-2.86) - 0.05) < 0.002
+    assert abs(k.unit_root_p(-3.43) - 0.01) < 0.001
+
+
+def test_wavelet_keeps_energy_and_filters_constants():
+    x = rng().normal(size=256)
+    low = np.array(k.DB4_LOW)
+    assert abs((low**2).sum() - 1) < 1e-9 and abs(low.sum() - math.sqrt(2)) < 1e-9
+    parts = k.wavelet_levels(np.ones(256), 2)
+    assert all(np.abs(d).max() < 1e-9 for d in parts[1:])
+    assert np.allclose(parts[0], 2.0)
+    assert [len(p) for p in k.wavelet_levels(x, 2)] == [69, 69, 131]
+
+
+def test_spectrum_finds_a_sine():
+    t = np.arange(400)
+    amp = k.amplitude_spectrum(np.sin(2 * np.pi * t / 20))
+    assert amp.argmax() == 20 and abs(amp.max() - 0.5) < 1e-9
+    assert k.prominent_peaks(amp, 0.1, 5)[0][0] == 20
+
+
+def test_lomb_scargle_equals_least_squares():
+    r = rng()
+    t = np.sort(r.choice(500, 120, replace=False)).astype(float)
+    y = np.sin(2 * np.pi * 0.11 * t) + 0.3 * r.normal(size=120)
+    freq = np.array([0.05, 0.11, 0.23])
+    power = k.lomb_scargle(t, y, freq)
+    for f, p in zip(freq, power):
+        z = np.column_stack([np.ones(120), np.cos(2 * np.pi * f * t), np.sin(2 * np.pi * f * t)])
+        rss = ((y - z @ np.linalg.lstsq(z, y, rcond=None)[0]) ** 2).sum()
+        assert abs(p - (1 - rss / ((y - y.mean()) ** 2).sum())) < 1e-9
+
+
+def test_morlet_power_peaks_at_the_period():
+    t = np.arange(600)
+    scales = np.geomspace(2, 150, 60)
+    power = k.morlet_power(np.cos(2 * np.pi * t / 30), scales)
+    best = scales[power[:, 200:400].mean(axis=1).argmax()] / k.MORLET_CENTRE
+    assert 27 < best < 33
+
+
+def test_lowess_keeps_a_line_and_resists_an_outlier():
+    x = np.arange(60, dtype=float)
+    y = 2 * x + 1
+    assert np.allclose(k.lowess(x, y, 0.25), y, atol=1e-8)
+    y = y + rng().normal(size=60)
+    y[30] += 15
+    robust, plain = k.lowess(x, y, 0.5)[30], k.lowess(x, y, 0.5, passes=0)[30]
+    assert abs(robust - 61) < 0.7 * abs(plain - 61)
+
+
+def test_stl_parts_add_up_and_find_the_season():
+    t = np.arange(420)
+    season = np.sin(2 * np.pi * t / 21)
+    y = 0.05 * t + season + 0.01 * rng().normal(size=420)
+    trend, s, resid = k.stl(y, 21)
+    assert np.allclose(trend + s + resid, y)
+    assert np.abs(s - season)[42:-42].max() < 0.1
+    assert np.abs(trend - 0.05 * t)[42:-42].max() < 0.2
+
+
+def test_density_noise_equals_brute_force():
+    x = rng().normal(size=(150, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.5
+    core = d.sum(axis=1) >= 5
+    assert (k.density_noise(x, 0.5, 5, block=37) == ~(d & core).any(axis=1)).all()
+
+
+def test_isolation_scores_rank_an_outlier_first_and_repeat():
+    x = rng().normal(size=(400, 3))
+    x[13] = [9, 9, 9]
+    a = k.isolation_scores(x)
+    assert a.argmax() == 13 and (a == k.isolation_scores(x)).all()
+
+
+def test_rolling_hurst_matches_a_plain_loop():
+    price = 50 + np.cumsum(rng().normal(size=130)) * 0.1
+
+    def one(seg):
+        sizes = [10, 17, 31, 56, 100]
+        out = []
+        for w in sizes:
+            rs = []
+            for s in range(0, 100 - w + 1, w):
+                c = seg[s : s + w]
+                rs.append((c.max() / c.min() - 1) / np.std(c[1:] / c[:-1] - 1, ddof=1))
+            out.append(np.mean(rs))
+        return np.polyfit(np.log10(sizes), np.log10(out), 1)[0]
+
+    rolled = k.rolling_hurst(price)
+    assert len(rolled) == 30
+    assert np.allclose(rolled[[0, 29]], [one(price[:100]), one(price[29:129])])
