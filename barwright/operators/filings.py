@@ -46,8 +46,8 @@ def submissions(docs: DataFrame) -> DataFrame:
 
 
 def filings(subs: DataFrame) -> DataFrame:
-    """One row per filing; arrays shorter than the accession list give NULL."""
-    recent = [F.col(f"filings.recent.{src}").alias(src) for src in FILING_FIELDS.values()]
+    """One row per filing; arrays that are missing or shorter than the accession list give NULL."""
+    recent = [F.coalesce(F.col(f"filings.recent.{src}"), F.array()).alias(src) for src in FILING_FIELDS.values()]
     rows = subs.select("cik", F.col("name").alias("company_name"), *recent)
     zipped = F.slice(F.arrays_zip(*FILING_FIELDS.values()), F.lit(1), F.size("accessionNumber"))
     rows = rows.select("cik", "company_name", F.inline(zipped))

@@ -38,11 +38,11 @@ def test_short_series_has_unknown_regime(five):
 
 
 def test_known_holidays(spark):
-    days = ["2021-01-01", "2022-01-01", "2023-04-07", "2022-06-20", "2021-06-18", "2021-12-24", "2018-12-05", "2024-03-28"]
+    days = ["2021-01-01", "2021-12-31", "2023-04-07", "2022-06-20", "2021-06-18", "2021-12-24", "2018-12-05", "2024-03-28"]
     df = spark.createDataFrame([(dt.date.fromisoformat(d),) for d in days], "date date")
     got = {str(r.date): r.h for r in df.select("date", cal.is_holiday().alias("h")).collect()}
     assert got == {
-        "2021-01-01": True, "2022-01-01": False, "2023-04-07": True, "2022-06-20": True,
+        "2021-01-01": True, "2021-12-31": False, "2023-04-07": True, "2022-06-20": True,
         "2021-06-18": False, "2021-12-24": True, "2018-12-05": True, "2024-03-28": False,
     }
 

@@ -86,9 +86,9 @@ def test_lowess_keeps_a_line_and_resists_an_outlier():
     y = 2 * x + 1
     assert np.allclose(k.lowess(x, y, 0.25), y, atol=1e-8)
     y = y + rng().normal(size=60)
-    y[30] += 15
+    y[30] += 60
     robust, plain = k.lowess(x, y, 0.5)[30], k.lowess(x, y, 0.5, passes=0)[30]
-    assert abs(robust - 61) < 0.7 * abs(plain - 61)
+    assert abs(robust - 61) < 1.0 < abs(plain - 61)
 
 
 def test_stl_parts_add_up_and_find_the_season():
