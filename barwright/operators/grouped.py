@@ -20,7 +20,8 @@ def per_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
         return fn(pdf.sort_values("date", kind="stable").reset_index(drop=True))
 
     # The rows are few but each costs much: without a stated number of partitions
-    # adaptive execution would merge them by size into a handful of tasks.
+    # adaptive execution would merge them by size into a handful of tasks. The number
+    # must differ from the one below, or Spark drops the repartition as redundant.
     spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(parts, key).groupBy(key).applyInPandas(run, schema)
