@@ -170,12 +170,12 @@ _SIG = f"""{LAGGED}, s AS (SELECT symbol, date, close, sr AS p, CASE WHEN sr >=
 
 @query(
     "trading_signals",
-    f"""WITH {_SIG} SELECT symbol, date, action, {r("CASE WHEN action <> 'HOLD' THEN close * (1 + p) END", 8)} AS target_price,
+    f"""WITH {_SIG} SELECT symbol, date, action, {r("CASE WHEN action <> 'HOLD' THEN close * (1 + p) END", 9)} AS target_price,
     {r("CASE action WHEN 'BUY' THEN close * 0.95::DOUBLE WHEN 'SELL' THEN close * 1.05::DOUBLE END", 5)} AS stop_price FROM s""",
 )
 def trading_signals(spark, sf):
     p = panel.bars(spark, sf).select("symbol", "date", "close", simple_return().alias("predicted")).dropna(subset=["predicted"])
-    return tidy(fe.signals(p).select("symbol", "date", "action", "target_price", "stop_price"), 5, target_price=8)
+    return tidy(fe.signals(p).select("symbol", "date", "action", "target_price", "stop_price"), 5, target_price=9)
 
 
 @query("signals_by_action", f"WITH {_SIG} SELECT symbol, action, count(*) AS n FROM s GROUP BY symbol, action")

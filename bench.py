@@ -18,23 +18,16 @@ from barwright.sources import panel
 HEADLINE = [
     "regime_summary",
     "derived_metrics",
-    "rolling_volatility",
     "average_true_range",
     "gap_volume_heatmap",
-    "correlation_matrix",
-    "rolling_var",
     "hill_estimator",
     "z_anomalies",
-    "macd",
     "return_acf",
     "hurst_exponent",
-    "amplitude_spectrum",
     "missing_date_ranges",
     "bar_upsert",
     "split_adjusted_bars",
-    "key_metrics",
     "new_filings",
-    "equity_measures",
 ]
 
 
