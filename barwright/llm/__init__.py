@@ -3,7 +3,7 @@
 
 def load_all():
     """(queries, oracles) of the numbered operators."""
-    from barwright.llm import exact, license, mixing, simhash
+    from barwright.llm import bpe, exact, language, license, mixing, quality, simhash
 
-    modules = (simhash, license, mixing, exact)
+    modules = (simhash, license, quality, bpe, language, mixing, exact)
     return {m.NAME: m.query for m in modules}, {m.NAME: m.SQL for m in modules if m.SQL}

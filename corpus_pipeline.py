@@ -1,13 +1,24 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again.
+
+Documents that the classifier rejects go; of equal texts one row stays; of near duplicates
+one document stays; sources are mixed to their target weights, a document standing as often
+as the mix takes it; what is left is encoded. Every stage works on all that the one before
+kept. An empty table passes through all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import exact, mixing, simhash
+from barwright.llm import bpe, exact, mixing, quality, simhash
 from barwright.llm.common import documents, stored
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact.without_exact_duplicates(docs)
@@ -23,10 +34,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs)
 
 
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of each document of the mix, and of the bytes decoded from them."""
+    return bpe.digests(docs, bpe.vocabulary())
+
+
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
     ("simhash near-dedup", simhash_stage),
     ("mixing", mixing_stage),
+    ("byte-level bpe", encoding_stage),
 ]
 
 # The classifier's scores, the fingerprints' hash and the byte-pair ids are beyond SQL.
