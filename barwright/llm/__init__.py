@@ -3,7 +3,7 @@
 
 def load_all():
     """(queries, oracles) of the numbered operators."""
-    from barwright.llm import bpe, exact, language, lattice, license, mixing, quality, simhash, suffix
+    from barwright.llm import bpe, exact, language, lattice, license, mixing, quality, simhash, substring, suffix
 
-    modules = (simhash, lattice, license, quality, suffix, bpe, language, mixing, exact)
+    modules = (simhash, lattice, license, quality, substring, suffix, bpe, language, mixing, exact)
     return {m.NAME: m.query for m in modules}, {m.NAME: m.SQL for m in modules if m.SQL}
