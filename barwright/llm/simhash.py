@@ -25,6 +25,11 @@ THRESHOLD = 3
 SQL = None
 
 
+def signed(bits: int) -> int:
+    """64 bits as Spark's long holds them."""
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
 def shingles(text: Column, words: str = "words") -> Column:
     n = F.size(words)
     at = lambda i: F.get(words, i)
@@ -57,9 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     fp = F.lit(0).cast("long")
     for i in range(32):
         fp = fp.bitwiseOR(F.when(low(i), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        bit = 1 << (i + 32)
-        bit = bit - (1 << 64) if bit >= 1 << 63 else bit
-        fp = fp.bitwiseOR(F.when(high(i), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        fp = fp.bitwiseOR(F.when(high(i), F.lit(signed(1 << (i + 32))).cast("long")).otherwise(F.lit(0).cast("long")))
     return counts.select("doc_id", F.when(F.col("n") > 0, fp).otherwise(F.lit(0).cast("long")).alias("fp"))
 
 
@@ -86,7 +89,7 @@ def syndrome(block: Column, width: int) -> Column:
     out = F.lit(0)
     for k in range(r):
         mask = sum(1 << (s - 1) for s in range(1, 1 << r) if s >> k & 1)
-        out = out + F.bit_count(block.bitwiseAND(F.lit(mask).cast("long"))) % 2 * (1 << k)
+        out = out + F.bit_count(block.bitwiseAND(F.lit(signed(mask)).cast("long"))) % 2 * (1 << k)
     return out
 
 
@@ -96,8 +99,8 @@ def anchors(fps: DataFrame, threshold: int) -> DataFrame:
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     out = None
     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        block = F.shiftrightunsigned("id", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-        table = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in flips(b - a)])
+        block = F.shiftrightunsigned("id", a).bitwiseAND(F.lit(signed((1 << (b - a)) - 1)).cast("long"))
+        table = F.array(*[F.array(*[F.lit(signed(m)).cast("long") for m in row]) for row in flips(b - a)])
         rows = fps.select("id", block.alias("block")).select(
             "id", "block", F.posexplode(F.element_at(table, (syndrome(F.col("block"), b - a) + 1).cast("int"))).alias("p", "m")
         )
