@@ -2,22 +2,20 @@
 
 Holidays are a predicate on the date column, so the calendar needs no lookup table
 and no join: rules are evaluated inside the generated code that explodes the date
-span, with one set of dates for the only movable feast. A span holds one row per day, a few tens of thousands at most.
+span, with the only movable feast computed from its year. A span holds one row per day, a few tens of thousands at most.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.functions.series import by_date
 
-# Years for which Good Friday is tabulated from its rule.
-EASTER_YEARS = (1950, 2101)
-
-# Single-day closures outside the yearly rules.
+# Single-day closures outside the yearly rules, since 1963.
 SPECIAL_CLOSURES = [
+    "1963-11-25", "1968-04-09", "1969-02-10", "1969-03-31", "1969-07-21",
+    "1972-11-07", "1972-12-28", "1973-01-25", "1976-11-02", "1977-07-14",
+    "1980-11-04", "1985-09-27",
     "1994-04-27",
     "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14",
     "2004-06-11",
@@ -28,14 +26,18 @@ SPECIAL_CLOSURES = [
 ]
 
 
-def good_friday(year: int) -> dt.date:
-    """Friday before Easter Sunday (Gregorian computus)."""
-    golden, century = year % 19, year // 100
-    h = (century - century // 4 - (8 * century + 13) // 25 + 19 * golden + 15) % 30
-    i = h - (h // 28) * (1 - (h // 28) * (29 // (h + 1)) * ((21 - golden) // 11))
-    j = (year + year // 4 + i + 2 - century + century // 4) % 7
-    month = 3 + (i - j + 40) // 44
-    return dt.date(year, month, i - j + 28 - 31 * (month // 4)) - dt.timedelta(days=2)
+def good_friday(year: Column) -> Column:
+    """Friday before Easter Sunday of any Gregorian year, as an expression."""
+    golden, century = year % 19, _div(year, 100)
+    h = (century - _div(century, 4) - _div(8 * century + 13, 25) + 19 * golden + 15) % 30
+    i = h - F.when((h == 29) | ((h == 28) & (golden > 10)), 1).otherwise(0)
+    j = (year + _div(year, 4) + i + 2 - century + _div(century, 4)) % 7
+    # Days from the 28th of March to Easter Sunday.
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (i - j - 2).cast("int"))
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.floor(a / b).cast("int")
 
 
 def _dates(name: str, values: list[str]) -> Column:
@@ -55,9 +57,12 @@ def is_holiday(name: str = "date") -> Column:
     rules = [
         observed(1, 1, before=False),
         (y >= 1998) & (m == 1) & (w == 0) & d.between(15, 21),
-        (m == 2) & (w == 0) & d.between(15, 21),
-        m.isin(3, 4) & (w == 4) & _dates(name, [good_friday(x).isoformat() for x in range(*EASTER_YEARS)]),
-        (m == 5) & (w == 0) & (d >= 25),
+        # Mondays since 1971, fixed days before.
+        (y >= 1971) & (m == 2) & (w == 0) & d.between(15, 21),
+        (y < 1971) & observed(2, 22),
+        m.isin(3, 4) & (w == 4) & (day == good_friday(y)),
+        (y >= 1971) & (m == 5) & (w == 0) & (d >= 25),
+        (y < 1971) & observed(5, 30),
         (y >= 2022) & observed(6, 19),
         observed(7, 4),
         (m == 9) & (w == 0) & (d <= 7),

@@ -131,8 +131,8 @@ def as_integer(text: str):
     return F.expr(f"try_cast({text} AS decimal(38,0))")
 
 
-def tag_counts(parsed: DataFrame, taxonomy: str = "us-gaap", top: int | None = 40) -> DataFrame:
-    """Documents per tag, most frequent first."""
+def tag_counts(parsed: DataFrame, taxonomy: str = "us-gaap", top: int | None = None) -> DataFrame:
+    """Documents per tag, most frequent first; the first ``top`` where the caller asks for a report."""
     out = parsed.select(F.explode(F.map_keys(F.col("facts")[taxonomy])).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
     return out.orderBy(F.desc("n"), "tag").limit(top) if top else out
 

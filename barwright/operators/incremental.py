@@ -16,6 +16,11 @@ def day_after_latest(stored: DataFrame, symbols: DataFrame, start: Column) -> Da
     )
 
 
+def last_day(landed: DataFrame) -> Column:
+    """The as-of date of a load: the last day that has landed."""
+    return landed.agg(F.max("date")).scalar()
+
+
 def wanted_days(stored: DataFrame, symbols: DataFrame, start: Column, end: Column, tail_only: bool) -> DataFrame:
     """Trading days to load: after the latest bar only, or every one not stored."""
     if tail_only:

@@ -129,17 +129,19 @@ def return_levels(fit: DataFrame, periods=RETURN_PERIODS) -> DataFrame:
     return df.select("symbol", "period", (level * 100).alias("level_pct"))
 
 
-def hill(returns: DataFrame, start: int = 10, cap: int = 500) -> DataFrame:
+def hill(returns: DataFrame, start: int = 10, cap: int | None = None) -> DataFrame:
     """Tail index against the number of order statistics of absolute returns.
 
-    ``cap`` is part of the estimator: k stops at min(n - 2, max(start, n // 10), cap).
+    k stops at min(n - 2, max(start, n // 10)), and at ``cap`` where the caller sets one.
     """
     down = Window.partitionBy("symbol").orderBy(F.col("a").desc(), "date")
     df = returns.withColumn("a", F.abs("r")).withColumns({"n": F.count("*").over(whole()), "rank": F.row_number().over(down)})
-    df = df.filter(F.col("rank") <= cap + 1).withColumn("ln", F.when(F.col("a") > 1e-12, F.log("a")))
+    last = F.least(F.col("n") - 2, F.greatest(F.lit(start), F.floor(F.col("n") / 10)))
+    if cap is not None:
+        last = F.least(last, F.lit(cap))
+    df = df.filter(F.col("rank") <= last + 1).withColumn("ln", F.when(F.col("a") > 1e-12, F.log("a")))
     top = down.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"mean": F.avg("ln").over(top), "next": F.lead("ln").over(down)})
-    last = F.least(F.col("n") - 2, F.greatest(F.lit(start), F.floor(F.col("n") / 10)), F.lit(cap))
     df = df.filter((F.col("rank") >= start) & (F.col("rank") <= last) & F.col("next").isNotNull())
     xi = F.col("mean") - F.col("next")
     return df.filter(F.abs(xi) >= 1e-9).select("symbol", F.col("rank").alias("k"), xi.alias("xi"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barwright.functions.series import simple_return
 from barwright.operators import features as fe, registry as reg, upsert as up
 from barwright.plans.registry import query, tidy
-from barwright.plans.sqltext import BARS, BARS_AND_INDEX, LAGGED, STOCKS, YIELDS, r
+from barwright.plans.sqltext import BARS, BARS_AND_INDEX, LAGGED, STOCKS, YIELDS, r, sig
 from barwright.sources import panel
 
 _W = "OVER (PARTITION BY symbol ORDER BY date)"
@@ -285,14 +285,14 @@ ca AS (SELECT symbol, count(r) AS n, arg_max(e, date) / arg_min(e, date) - 1 AS
 
 @query(
     "equity_measures",
-    f"""WITH {_CURVE} SELECT symbol, {r('tr', 5)} AS total_return, {r('pow(1 + tr, 252 / n) - 1', 5)} AS annual_return, {r('dd')} AS max_drawdown, {r('m / s * sqrt(252)')} AS sharpe,
-    {r('m / down * sqrt(252)')} AS sortino, {r('(pow(1 + tr, 252 / n) - 1) / abs(dd)', 5)} AS calmar, {r('beta', 5)} AS beta, {r('(m - beta * mb) * 252', 4)} AS alpha,
+    f"""WITH {_CURVE} SELECT symbol, {sig('tr')} AS total_return, {sig('pow(1 + tr, 252 / n) - 1')} AS annual_return, {r('dd')} AS max_drawdown, {r('m / s * sqrt(252)')} AS sharpe,
+    {r('m / down * sqrt(252)')} AS sortino, {sig('(pow(1 + tr, 252 / n) - 1) / abs(dd)')} AS calmar, {sig('beta')} AS beta, {sig('(m - beta * mb) * 252')} AS alpha,
     {r('active / te * sqrt(252)')} AS information_ratio FROM ca""",
 )
 def equity_measures(spark, sf):
     spx = panel.index_bars(spark, sf).filter("symbol = 'SPX'").select("date", F.col("close").alias("benchmark"))
     curve = panel.bars(spark, sf).select("symbol", "date", F.col("close").alias("equity")).join(spx, "date")
-    return tidy(reg.equity_measures(curve), total_return=5, annual_return=5, calmar=5, beta=5, alpha=4)
+    return tidy(reg.equity_measures(curve), significant=("total_return", "annual_return", "calmar", "beta", "alpha"))
 
 
 @query(
@@ -306,14 +306,14 @@ def trade_measures(spark, sf):
 
 @query(
     "prediction_errors",
-    f"""WITH {LAGGED} SELECT symbol, {r('avg((close - pc) ** 2)', 3)} AS mse, {r('avg(abs(close - pc))', 5)} AS mae, {r('1 - avg((close - pc) ** 2) / var_pop(close)')} AS r2
+    f"""WITH {LAGGED} SELECT symbol, {sig('avg((close - pc) ** 2)')} AS mse, {sig('avg(abs(close - pc))')} AS mae, {r('1 - avg((close - pc) ** 2) / var_pop(close)')} AS r2
     FROM rets WHERE pc IS NOT NULL GROUP BY symbol""",
 )
 def prediction_errors(spark, sf):
     from barwright.functions.series import prev
 
     p = panel.bars(spark, sf).select("symbol", F.col("close").alias("actual"), prev("close").alias("predicted")).dropna()
-    return tidy(reg.regression_measures(p, "symbol"), 6, mse=3, mae=5)
+    return tidy(reg.regression_measures(p, "symbol"), 6, significant=("mse", "mae"))
 
 
 @query(
@@ -325,7 +325,8 @@ def feature_set_key(spark, sf):
     return part.select("p_partkey", F.md5(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).cast("binary")).alias("set_key"))
 
 
-@query("interval_symbols", f"WITH {BARS} SELECT DISTINCT symbol, '1d' AS interval FROM bars WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'")
+@query("interval_symbols", f"WITH {BARS} SELECT DISTINCT symbol, '1h' AS interval FROM bars WHERE volume % 3 = 0")
 def interval_symbols(spark, sf):
-    daily = panel.bars(spark, sf).withColumn("interval", F.lit("1d"))
-    return daily.filter("interval = '1d' AND date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'").select("symbol", "interval").distinct()
+    interval = F.when(F.col("volume") % 3 == 0, "1h").otherwise("1d")
+    table = panel.bars(spark, sf).withColumn("interval", interval)
+    return table.filter("interval = '1h'").select("symbol", "interval").distinct()

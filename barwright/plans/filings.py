@@ -95,7 +95,7 @@ def metric_insert(spark, sf):
 
 @query("fact_tag_counts", f"WITH {_FACTS} SELECT metric AS tag, count(*) AS n FROM orders0 GROUP BY metric ORDER BY n DESC, tag LIMIT 40")
 def fact_tag_counts(spark, sf):
-    return fi.tag_counts(parsed_facts(spark, sf))
+    return fi.tag_counts(parsed_facts(spark, sf), top=40)
 
 
 @query(

@@ -151,18 +151,20 @@ _DERIVED = {
     "vol_rogers_satchell": "greatest(ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open), 0)",
 }
 # Ratios of two-decimal prices end early, so they are compared at nine digits.
-_DIGITS = {"dollar_volume": 2, "sq_return": 4}
+_DIGITS = {"dollar_volume": 2}
+# One subtraction and one product: the same double in any engine.
+_EXACT = ("sq_return",)
 _DERIVED_SQL = f"WITH {LAGGED}, d AS (SELECT *, nullif(volume, 0) AS v FROM rets) SELECT symbol, date, "
 
 
 def _derived(*names):
-    cols = ", ".join(f"{r(_DERIVED[n], _DIGITS.get(n, 9))} AS {n}" for n in names)
+    cols = ", ".join(f"{_DERIVED[n] if n in _EXACT else r(_DERIVED[n], _DIGITS.get(n, 9))} AS {n}" for n in names)
     return f"{_DERIVED_SQL}{cols} FROM d WINDOW w AS (PARTITION BY symbol ORDER BY date)"
 
 
 @query("derived_metrics", _derived(*_DERIVED))
 def derived_metrics(spark, sf):
-    return tidy(ind.derived_metrics(panel.bars(spark, sf)), 9, **_DIGITS)
+    return tidy(ind.derived_metrics(panel.bars(spark, sf)), 9, exact=_EXACT, **_DIGITS)
 
 
 _VOLUME = ["volume_change", "volume_normalized", "dollar_volume"]
@@ -186,7 +188,7 @@ _RETURN = ["log_return", "abs_return", "sq_return", "range_return_open"]
 
 @query("return_metrics", _derived(*_RETURN))
 def return_metrics(spark, sf):
-    return tidy(ind.return_metrics(panel.bars(spark, sf)).select("symbol", "date", *_RETURN), 9, sq_return=4)
+    return tidy(ind.return_metrics(panel.bars(spark, sf)).select("symbol", "date", *_RETURN), 9, exact=_EXACT)
 
 
 _RANGE = ["price_range_norm", "true_range", "vol_garman_klass", "vol_rogers_satchell"]

@@ -530,15 +530,14 @@ def unprocessed_symbols(spark, sf):
 
 # --- incremental loads ---------------------------------------------------------
 
-_END = "DATE '1999-12-31'"
 _FULL = f"""{BARS}, {VALID}, {TRADING}, {_STORED}"""
 _MERGED = """SELECT * FROM stored UNION ALL SELECT symbol, date, open, high, low, close, volume FROM fresh"""
 
 
 def _refresh_sql(first: str) -> str:
-    return f"""WITH {_FULL}, want AS (SELECT s.symbol, t.date FROM (SELECT symbol, {first} AS first_date FROM bars b0
+    return f"""WITH {_FULL}, want AS (SELECT s.symbol, t.date FROM (SELECT symbol, {first} AS first_date, (SELECT max(date) FROM valid) AS last_date FROM bars b0
         LEFT JOIN (SELECT symbol, max(date) AS latest FROM stored GROUP BY symbol) l USING (symbol) GROUP BY symbol, latest) s
-      JOIN trading t ON t.date BETWEEN s.first_date AND {_END} ANTI JOIN stored st ON st.symbol = s.symbol AND st.date = t.date),
+      JOIN trading t ON t.date >= s.first_date AND t.date <= s.last_date ANTI JOIN stored st ON st.symbol = s.symbol AND st.date = t.date),
     fresh AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY v.symbol, v.date ORDER BY v.volume <= 0, {_O}) AS rn FROM valid v
       SEMI JOIN want w ON w.symbol = v.symbol AND w.date = v.date) WHERE rn = 1)
     {_MERGED}"""
@@ -550,18 +549,18 @@ def _symbols(spark, sf):
 
 @query("daily_update", _refresh_sql("coalesce(latest + 1, DATE '1995-01-01')"))
 def daily_update(spark, sf):
-    """Trading days after the latest stored bar of each symbol."""
-    stored = stored_bars(spark, sf)
-    want = inc.wanted_days(stored, _symbols(spark, sf), F.expr("DATE '1995-01-01'"), F.expr(_END), tail_only=True)
-    return inc.refresh(stored, landed_bars(spark, sf), want, _ORDER)
+    """Trading days after the latest stored bar of each symbol, up to the last landed day."""
+    stored, landed = stored_bars(spark, sf), landed_bars(spark, sf)
+    want = inc.wanted_days(stored, _symbols(spark, sf), F.expr("DATE '1995-01-01'"), inc.last_day(landed), tail_only=True)
+    return inc.refresh(stored, landed, want, _ORDER)
 
 
 @query("historical_load", _refresh_sql("DATE '1996-01-01'"))
 def historical_load(spark, sf):
-    """Every trading day of the range that is not stored."""
-    stored = stored_bars(spark, sf)
-    want = inc.wanted_days(stored, _symbols(spark, sf), F.expr("DATE '1996-01-01'"), F.expr(_END), tail_only=False)
-    return inc.refresh(stored, landed_bars(spark, sf), want, _ORDER)
+    """Every trading day from the start to the last landed day that is not stored."""
+    stored, landed = stored_bars(spark, sf), landed_bars(spark, sf)
+    want = inc.wanted_days(stored, _symbols(spark, sf), F.expr("DATE '1996-01-01'"), inc.last_day(landed), tail_only=False)
+    return inc.refresh(stored, landed, want, _ORDER)
 
 
 @query(

@@ -21,9 +21,9 @@ def bar_scan(spark, sf):
     return readers.scan_bars(panel.bars(spark, sf), "1996-01-01", "1999-12-31")
 
 
-@query("bar_load", f"WITH {BARS} SELECT {_B} FROM bars WHERE date >= DATE '1998-06-01'")
+@query("bar_load", f"WITH {BARS} SELECT {_B} FROM bars")
 def bar_load(spark, sf):
-    return readers.load_bars(panel.bars(spark, sf), "1998-06-01")
+    return readers.load_bars(panel.bars(spark, sf))
 
 
 @query("index_load", f"WITH {INDEX_BARS} SELECT {_B} FROM index_bars WHERE symbol = 'SPX'")
@@ -60,10 +60,10 @@ def market_wide(spark, sf):
 
 @query(
     "feature_index_bundle",
-    f"WITH {INDEX_BARS} SELECT {_B} FROM index_bars WHERE symbol <> 'OSX' AND date >= DATE '1997-01-01'",
+    f"WITH {INDEX_BARS} SELECT {_B} FROM index_bars WHERE symbol <> 'OSX'",
 )
 def feature_index_bundle(spark, sf):
-    return readers.feature_indices(panel.index_bars(spark, sf), "1997-01-01")
+    return readers.feature_indices(panel.index_bars(spark, sf))
 
 
 @query(
@@ -162,7 +162,7 @@ _EASTER = """easter AS (
     FROM (SELECT *, (19 * a + b - d - g + 15) % 30 AS h, c // 4 AS i, c % 4 AS k
      FROM (SELECT *, (b - f + 1) // 3 AS g
       FROM (SELECT *, (b + 8) // 25 AS f, b // 4 AS d, b % 4 AS e
-       FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT CAST(unnest(range(1990, 2040)) AS INTEGER) AS y))))))))"""
+       FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT CAST(unnest(range((SELECT year(min(l_shipdate)) FROM lineitem), (SELECT year(max(l_shipdate)) + 1 FROM lineitem))) AS INTEGER) AS y))))))))"""
 _DAYS = """days AS (SELECT CAST(unnest(generate_series(
     (SELECT min(l_shipdate) FROM lineitem), (SELECT max(l_shipdate) FROM lineitem), INTERVAL 1 DAY)) AS DATE) AS date)"""
 TRADING = f"""{_EASTER},

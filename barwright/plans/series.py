@@ -91,7 +91,7 @@ def return_levels(spark, sf):
     f"""WITH {TAIL}, o AS (SELECT symbol, ln(nullif(CASE WHEN abs(r) > 1e-12 THEN abs(r) END, 0)) AS ln, count(*) OVER (PARTITION BY symbol) AS n,
         row_number() OVER w AS k, abs(r) AS a, date FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY abs(r) DESC, date)),
     h AS (SELECT symbol, k, n, avg(ln) OVER (PARTITION BY symbol ORDER BY k) - lead(ln) OVER (PARTITION BY symbol ORDER BY k) AS xi FROM o)
-    SELECT symbol, k, {r('xi')} AS xi FROM h WHERE k BETWEEN 10 AND least(n - 2, greatest(10, n // 10), 500) AND xi IS NOT NULL AND abs(xi) >= 1e-9""",
+    SELECT symbol, k, {r('xi')} AS xi FROM h WHERE k BETWEEN 10 AND least(n - 2, greatest(10, n // 10)) AND xi IS NOT NULL AND abs(xi) >= 1e-9""",
 )
 def hill_estimator(spark, sf):
     return tidy(ta.hill(returns(spark, sf)))

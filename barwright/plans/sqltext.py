@@ -102,6 +102,11 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
 
 
+def sig(expr: str) -> str:
+    """Nine significant digits, whatever the size."""
+    return f"CAST(printf('%.8e', CAST({expr} AS DOUBLE)) AS DOUBLE)"
+
+
 def rolling(fn: str, value: str, n: int, extra: str = "") -> str:
     """Full-window rolling aggregate: NULL until ``n`` non-null values are in the frame."""
     frame = f"OVER (PARTITION BY symbol{extra} ORDER BY date ROWS {n - 1} PRECEDING)"
