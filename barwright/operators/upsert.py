@@ -1,24 +1,25 @@
 """Merges of a batch into stored rows, as DataFrames and as partition rewrites.
 
-Every merge is an aggregation or an equi-join on the key, both combined or split
-by Spark, so repeated keys never have to be gathered in one task.
+Every merge is one pass over the rows of a key in order, or an equi-join on the key that
+Spark may split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = True) -> DataFrame:
     """The last (or first) row of each key in the given order.
 
-    A partially combined max_by over the whole row, rather than a sort of each key.
-    NULL keys count as a value of their own.
+    One shuffle on the key and one sort behind it: the row before which none stands is
+    kept. Structs and strings have no fixed-width aggregation buffer, so a max_by would
+    sort the whole feed on both sides of the shuffle. NULL keys count as a value of their
+    own; NULLs in the order come first going up and last going down, as they do in max_by.
     """
-    rest = [c for c in df.columns if c not in keys]
-    row, rank = F.struct(*rest), F.struct(*order)
-    pick = F.max_by(row, rank) if last else F.min_by(row, rank)
-    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    ranked = [F.col(c).desc_nulls_last() if last else F.col(c).asc_nulls_first() for c in order]
+    spec = Window.partitionBy(*keys).orderBy(*ranked)
+    return df.withColumn("_before", F.lag(F.lit(1)).over(spec)).filter("_before IS NULL").select(*df.columns)
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

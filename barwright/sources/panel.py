@@ -64,8 +64,10 @@ def bars_of_totals(totals: DataFrame) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bar panel: one row per (symbol, date)."""
-    totals = quote_totals(line_quotes(spark, sf_dir), "l_suppkey")
-    return bars_of_totals(totals.withColumn("symbol", symbol_of("l_suppkey")))
+    # Named before it is grouped: merges and windows on (symbol, date) or symbol then find
+    # the rows dealt by a key they know, and need no second shuffle on another name for it.
+    lines = line_quotes(spark, sf_dir).withColumn("symbol", symbol_of("l_suppkey"))
+    return bars_of_totals(quote_totals(lines, "symbol"))
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,13 @@ HEADLINE = [
     "bar_upsert",
     "split_adjusted_bars",
     "new_filings",
+    "rolling_volatility",
+    "correlation_matrix",
+    "rolling_var",
+    "macd",
+    "key_metrics",
+    "equity_measures",
+    "monthly_distribution",
 ]
 
 
