@@ -1,23 +1,17 @@
-"""Z-scores, model-based anomaly flags and seasonal decomposition of each series."""
+"""Z-scores and density noise of each series."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions import kernels
 from barwright.functions.series import log_return, rolling, simple_return, whole
 from barwright.operators import calendar as cal
 from barwright.operators.alignment import interpolate, reindex
-from barwright.operators.grouped import per_series
 
 # Thresholds and model parameters.
 Z_LIMIT, MODIFIED_LIMIT = 3.0, 3.5
 MAD_SCALE = 0.6744897501960817
-CONTAMINATION = 0.05
 EPS, MIN_POINTS = 0.5, 5
-PERIOD = 21
 FEATURES = ["log_return", "volatility", "volume_pct_change"]
 
 
@@ -61,53 +55,40 @@ def features(bars: DataFrame) -> DataFrame:
     return df.withColumn("volatility", vol).select("symbol", "date", *FEATURES).dropna(subset=FEATURES)
 
 
-def _flagged(df: DataFrame, name: str, fn, smallest: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = kernels.standardise(pdf[FEATURES].to_numpy(float))
-        flag = fn(x) if len(x) >= smallest else np.zeros(len(x), bool)
-        return pdf.assign(**{name: flag})[["symbol", "date", name]]
-
-    return per_series(df, run, f"symbol string, date date, {name} boolean")
-
-
-def isolation_forest(feats: DataFrame, share: float = CONTAMINATION) -> DataFrame:
-    """Flag the most isolated ``share`` of each series."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        score = kernels.isolation_scores(x)
-        return score > np.quantile(score, 1 - share)
-
-    return _flagged(feats, "iforest_anomaly", run, 2)
-
-
 def density_noise(feats: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS) -> DataFrame:
     """Flag the points of each series that density clustering leaves as noise.
 
-    Only the noise label is used, so no clusters are formed: distances are taken in
-    blocks inside the task of the series and no pairs are emitted.
+    Points fall into cells whose diagonal is ``eps``: in a cell of ``min_points`` all are
+    dense, without looking at a pair. Only points of thinner cells are compared, with those
+    of the cells in reach; a point that is not dense is noise unless a dense one is in reach.
     """
-    return _flagged(feats, "dbscan_anomaly", lambda x: kernels.density_noise(x, eps, min_points), min_points)
-
-
-def principal_axes(feats: DataFrame) -> DataFrame:
-    """First two principal components of the standardised features of each series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame(columns=["symbol", "date", "pca1", "pca2"])
-        p = kernels.two_components(kernels.standardise(pdf[FEATURES].to_numpy(float)))
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "pca1": p[:, 0], "pca2": p[:, 1]})
-
-    return per_series(feats, run, "symbol string, date date, pca1 double, pca2 double")
-
-
-def clustering_table(feats: DataFrame) -> DataFrame:
-    """Both model flags beside the two components."""
-    return (
-        principal_axes(feats)
-        .join(isolation_forest(feats), ["symbol", "date"])
-        .join(density_noise(feats), ["symbol", "date"])
-    )
+    spec = whole()
+    at = [F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(spec), F.stddev_pop(c).over(spec)), F.lit(0.0)) for c in FEATURES]
+    points = feats.select("symbol", "date", *[x.alias(f"x{i}") for i, x in enumerate(at)])
+    side = eps / len(FEATURES) ** 0.5
+    points = points.withColumns({f"c{i}": F.floor(F.col(f"x{i}") / side) for i in range(len(FEATURES))})
+    axes = range(len(FEATURES))
+    cell = ["symbol", *[f"c{i}" for i in axes]]
+    points = points.withColumn("held", F.count("*").over(Window.partitionBy(*cell)))
+    reach = [F.sequence(F.col(f"c{i}") - 2, F.col(f"c{i}") + 2) for i in axes]
+
+    def beside(some: DataFrame, others: DataFrame) -> DataFrame:
+        """How many of ``others`` lie within ``eps`` of each of ``some``."""
+        cells = others.groupBy(*cell).agg(F.collect_list(F.struct(*[f"x{i}" for i in axes])).alias("members"))
+        near = some.select("symbol", "date", *[f"x{i}" for i in axes], *[r.alias(f"r{i}") for i, r in enumerate(reach)])
+        for i in axes:
+            near = near.withColumn(f"c{i}", F.explode(f"r{i}"))
+        far = lambda m: sum(((m[f"x{i}"] - F.col(f"x{i}")) ** 2 for i in axes), F.lit(0.0))
+        close = F.size(F.filter("members", lambda m: far(m) <= eps * eps))
+        return near.join(cells, cell).groupBy("symbol", "date").agg(F.sum(close).alias("near"))
+
+    counted = beside(points.filter(F.col("held") < min_points), points)
+    points = points.join(counted, ["symbol", "date"], "left")
+    dense = (F.col("held") >= min_points) | (F.coalesce("near", F.lit(0)) >= min_points)
+    points = points.withColumn("dense", dense).drop("near")
+    saved = beside(points.filter(~F.col("dense")), points.filter("dense"))
+    out = points.join(saved, ["symbol", "date"], "left")
+    return out.select("symbol", "date", (~F.col("dense") & (F.coalesce("near", F.lit(0)) == 0)).alias("dbscan_anomaly"))
 
 
 def regular_closes(bars: DataFrame) -> DataFrame:
@@ -115,44 +96,3 @@ def regular_closes(bars: DataFrame) -> DataFrame:
     closes = bars.select("symbol", "date", "close").filter("close IS NOT NULL")
     grid = cal.days(cal.span_of(closes, "symbol"), "trading")
     return interpolate(reindex(closes, grid), "close")
-
-
-def stl(bars: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Trend, seasonal part and remainder of the regularised closes, on the days that have a bar.
-
-    Series of fewer than two periods give no rows.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["symbol", "date", "observed", "trend", "seasonal", "resid"]
-        if len(pdf) < 2 * period:
-            return pd.DataFrame(columns=cols)
-        y = pdf["close"].to_numpy(float)
-        trend, season, resid = kernels.stl(y, period)
-        return pd.DataFrame(
-            {"symbol": pdf["symbol"], "date": pdf["date"], "observed": y, "trend": trend, "seasonal": season, "resid": resid}
-        )
-
-    schema = "symbol string, date date, observed double, trend double, seasonal double, resid double"
-    parts = per_series(regular_closes(bars), run, schema)
-    return parts.join(bars.select("symbol", "date"), ["symbol", "date"], "left_semi")
-
-
-def stl_anomalies(parts: DataFrame) -> DataFrame:
-    """Scores and flag of the remainder."""
-    return z_scores(parts.select("symbol", "date", "resid"), "resid").withColumn("is_anomaly", is_z_anomaly())
-
-
-def lowess(series: DataFrame, value: str, frac: float = 0.25, smallest: int = 10) -> DataFrame:
-    """Locally weighted trend of each series over its dates; short series give no rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < smallest:
-            return pd.DataFrame(columns=["symbol", "date", "lowess"])
-        x = pd.to_datetime(pdf["date"]).to_numpy().astype("datetime64[D]").astype(float)
-        return pd.DataFrame(
-            {"symbol": pdf["symbol"], "date": pdf["date"], "lowess": kernels.lowess(x, pdf["value"].to_numpy(float), frac)}
-        )
-
-    rows = series.select("symbol", "date", F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
-    return per_series(rows, run, "symbol string, date date, lowess double")

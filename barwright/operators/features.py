@@ -65,23 +65,51 @@ def feature_correlations(df: DataFrame, features: list[str], target: str) -> Dat
     return agg.unpivot([], features, "feature", "correlation")
 
 
+def quantiles(df: DataFrame, columns: list[str], cuts: list[float]) -> DataFrame:
+    """(feature, edges): exact interpolated quantiles of whole columns, no task holding a column.
+
+    Values are counted in bins of even width on a logarithmic scale, at most some ten
+    thousand; running counts of the bins say which bins hold the wanted places, and only
+    the different values of those are put in order.
+    """
+    values = df.unpivot([], columns, "feature", "value").filter(F.col("value").isNotNull())
+    values = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    values = values.withColumn("bin", F.floor(F.asinh(F.col("value") * 1e6) * 64))
+    bins = values.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("feature").orderBy("bin")
+    bins = bins.withColumns({"until": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("feature"))})
+    place = F.col("cut") * (F.col("all") - 1)
+    wanted = bins.select("feature", "bin", "until", "n", "all", F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("cut"))
+    wanted = wanted.select("feature", "bin", "cut", (F.col("until") - F.col("n")).alias("before"), "until", place.alias("place"), F.explode(F.array(F.floor(place), F.ceil(place))).alias("k"))
+    wanted = wanted.filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("until"))).distinct()
+    held = values.join(wanted.select("feature", "bin").distinct(), ["feature", "bin"])
+    inside = Window.partitionBy("feature", "bin").orderBy("value")
+    held = held.withColumn("upto", F.sum("n").over(inside))
+    at = held.join(wanted, ["feature", "bin"]).filter(
+        (F.col("k") >= F.col("before") + F.col("upto") - F.col("n")) & (F.col("k") < F.col("before") + F.col("upto"))
+    )
+    low, high = F.min("value"), F.max("value")
+    edge = low + (high - low) * (F.max("place") - F.floor(F.max("place")))
+    edges = at.groupBy("feature", "cut").agg(edge.alias("edge"))
+    return edges.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("cut", "edge"))), lambda e: e["edge"]).alias("edges"))
+
+
 def binned_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """Mutual information of each feature and the target over quantile bins.
 
-    Bin edges are exact percentiles of each column; counts of the joint bins are at
-    most ``bins`` squared rows per feature, so everything after the first
-    aggregation is small. A nearest-neighbour estimate would differ by design.
+    Bin edges are exact percentiles of each column (:func:`quantiles`); counts of the
+    joint bins are at most ``bins`` squared rows per feature. A nearest-neighbour
+    estimate would differ by design.
     """
     cuts = [i / bins for i in range(1, bins)]
-    edge = F.array(*[F.lit(c) for c in cuts])
     ok = df.dropna(subset=[*features, target]).select(*[F.col(c).cast("double").alias(c) for c in [*features, target]])
-    edges = ok.agg(*[F.percentile(c, edge).alias(f"e_{c}") for c in [*features, target]])
-    both = ok.crossJoin(F.broadcast(edges))  # one row of edges
+    edges = quantiles(ok, [*features, target], cuts)
+    table = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges")))).scalar()
 
     def bin_of(c: str) -> Column:
-        return F.size(F.filter(f"e_{c}", lambda e: e < F.col(c)))
+        return F.size(F.filter(F.col("_edges")[c], lambda e: e < F.col(c)))
 
-    binned = both.select(bin_of(target).alias("y"), *[bin_of(c).alias(c) for c in features])
+    binned = ok.withColumn("_edges", table).select(bin_of(target).alias("y"), *[bin_of(c).alias(c) for c in features])
     joint = binned.unpivot(["y"], features, "feature", "x").groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
     wf = Window.partitionBy("feature")
     p = joint.select(

@@ -2,65 +2,93 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions import kernels
 from barwright.functions.series import by_date, rolling, simple_return, whole
-from barwright.operators.grouped import per_series
 from barwright.operators.indicators import rate_of_change_percent
 
 # Default parameters of the indicators.
 FAST, SLOW, SIGNAL = 12, 26, 9
 RSI_WINDOW = 14
+# Rows of a series folded at a time.
+PIECE = 64
 ANALYSIS_WINDOW = 120
 LAGS = 30
 HURST_WINDOW = 100
 HURST_SIZES = [10, 17, 31, 56, 100]
 
 
-def macd(bars: DataFrame, fast: int = FAST, slow: int = SLOW, signal: int = SIGNAL) -> DataFrame:
-    """Difference of two exponential averages, its own average, and their difference.
+def folded(bars: DataFrame, value: Column, start: Column, step: Callable[[Column, Column], Column], names: list[str]) -> DataFrame:
+    """A recursion along each series, inside the generated plan: (symbol, date, names).
 
-    The recursion over a series has no window form, so each series is one group.
-    Series shorter than ``slow + signal`` give no rows.
+    ``step`` takes the state and the next value; the fields ``names`` of the state are
+    published at every row. A series is one array, bounded by the calendar. It is folded in
+    pieces of ``PIECE`` rows, each appended once, so the work stays in proportion to the rows.
     """
+    rows = F.array_sort(F.collect_list(F.struct("date", value.cast("double").alias("v"))))
+    series = bars.filter(value.isNotNull()).groupBy("symbol").agg(rows.alias("rows"))
+    n = F.size("rows")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE)), lambda k: F.slice("rows", (k * PIECE + 1).cast("int"), PIECE))
+    shown = lambda s: F.struct(*[s[x].alias(x) for x in names])
+    nothing = F.filter(F.array(shown(start)), lambda _: F.lit(False))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < slow + signal:
-            return pdf.iloc[:0].reindex(columns=["symbol", "date", "macd", "macd_signal", "macd_diff"])
+    def one(acc: Column, row: Column) -> Column:
+        state = step(acc["state"], row["v"])
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(shown(state))).alias("out"))
 
-        def average(s, span):
-            return s.ewm(span=span, min_periods=span, adjust=False).mean()
+    def piece(acc: Column, part: Column) -> Column:
+        inner = F.struct(acc["state"].alias("state"), nothing.alias("out"))
+        return F.reduce(part, inner, one, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))
 
-        line = average(pdf["close"], fast) - average(pdf["close"], slow)
-        smooth = average(line, signal)
-        return pd.DataFrame(
-            {"symbol": pdf["symbol"], "date": pdf["date"], "macd": line, "macd_signal": smooth, "macd_diff": line - smooth}
-        )
+    out = F.reduce(pieces, F.struct(start.alias("state"), nothing.alias("out")), piece, lambda r: r["out"])
+    each = series.select("symbol", "rows", out.alias("out")).select("symbol", F.inline(F.arrays_zip("rows", "out")))
+    return each.select("symbol", F.col("rows.date").alias("date"), *[F.col(f"out.{x}").alias(x) for x in names])
 
-    schema = "symbol string, date date, macd double, macd_signal double, macd_diff double"
-    return _nulls(per_series(bars.select("symbol", "date", "close"), run, schema))
 
+def _average(before: Column, value: Column, weight: float, first: Column) -> Column:
+    """One step of a recursive average that starts with its first value."""
+    return F.when(first, value).otherwise(before * (1 - weight) + value * weight)
 
-def rsi(bars: DataFrame, window: int = RSI_WINDOW) -> DataFrame:
-    """Relative strength index with recursive averages; 100 where nothing fell."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < window + 1:
-            return pdf.iloc[:0].reindex(columns=["symbol", "date", "rsi"])
-        step = pdf["close"].diff()
-        gain = step.where(step > 0, 0.0).ewm(alpha=1 / window, min_periods=window, adjust=False).mean()
-        loss = (-step).where(step < 0, 0.0).ewm(alpha=1 / window, min_periods=window, adjust=False).mean()
-        value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss.where(loss != 0, np.nan)))
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "rsi": value})
+def macd(bars: DataFrame, fast: int = FAST, slow: int = SLOW, signal: int = SIGNAL) -> DataFrame:
+    """Difference of two exponential averages, its own average, and their difference.
+
+    Every row of every series is given; a measure is NULL until it has its full window.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(0).alias("n"), *[zero.alias(x) for x in ("quick", "steady", "line", "smooth")])
+
+    def step(s: Column, v: Column) -> Column:
+        n = s["n"] + 1
+        quick = _average(s["quick"], v, 2 / (fast + 1), n == 1)
+        steady = _average(s["steady"], v, 2 / (slow + 1), n == 1)
+        line = quick - steady
+        smooth = F.when(n >= slow, _average(s["smooth"], line, 2 / (signal + 1), n == slow)).otherwise(zero)
+        return F.struct(n.alias("n"), quick.alias("quick"), steady.alias("steady"), line.alias("line"), smooth.alias("smooth"))
 
-    return _nulls(per_series(bars.select("symbol", "date", "close"), run, "symbol string, date date, rsi double"))
+    out = folded(bars, F.col("close"), start, step, ["n", "line", "smooth"])
+    line = F.when(F.col("n") >= slow, F.col("line"))
+    smooth = F.when(F.col("n") >= slow + signal - 1, F.col("smooth"))
+    return out.select("symbol", "date", line.alias("macd"), smooth.alias("macd_signal"), (line - smooth).alias("macd_diff"))
 
 
-def _nulls(df: DataFrame) -> DataFrame:
-    return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n, t in df.dtypes if t == "double"})
+def rsi(bars: DataFrame, window: int = RSI_WINDOW) -> DataFrame:
+    """Relative strength index with recursive averages; 100 where nothing fell, NULL until the window is full."""
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(0).alias("n"), *[zero.alias(x) for x in ("last", "gain", "loss")])
+
+    def step(s: Column, v: Column) -> Column:
+        n, w = s["n"] + 1, 1 / window
+        move = F.when(n == 1, zero).otherwise(v - s["last"])
+        gain = _average(s["gain"], F.greatest(move, zero), w, n == 1)
+        loss = _average(s["loss"], F.greatest(-move, zero), w, n == 1)
+        return F.struct(n.alias("n"), v.alias("last"), gain.alias("gain"), loss.alias("loss"))
+
+    out = folded(bars, F.col("close"), start, step, ["n", "gain", "loss"])
+    value = F.coalesce(100 - 100 / (1 + F.try_divide(F.col("gain"), F.col("loss"))), F.lit(100.0))
+    return out.select("symbol", "date", F.when(F.col("n") >= window, value).alias("rsi"))
 
 
 def rolling_autocorrelation(bars: DataFrame, window: int = ANALYSIS_WINDOW, lag: int = 1) -> DataFrame:
@@ -144,38 +172,6 @@ def acf(bars: DataFrame, lags: int = LAGS, absolute: bool = False) -> DataFrame:
 NORMAL_975 = 1.959963984540054
 
 
-def pacf(bars: DataFrame, lags: int = LAGS, absolute: bool = False) -> DataFrame:
-    """Partial autocorrelation by lag (regressions) with the half width of its 95 % band."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        if n < lags + 2:
-            return pd.DataFrame({"symbol": [], "lag": [], "pacf": [], "band": []})
-        values = kernels.pacf_ols(pdf["x"].to_numpy(float), lags)[1:]
-        return pd.DataFrame(
-            {"symbol": pdf["symbol"].iloc[0], "lag": np.arange(1, lags + 1), "pacf": values, "band": NORMAL_975 / np.sqrt(n)}
-        )
-
-    return per_series(_series(bars, absolute), run, "symbol string, lag long, pacf double, band double")
-
-
-def rolling_pacf(bars: DataFrame, window: int = ANALYSIS_WINDOW, lags: int = LAGS, absolute: bool = False) -> DataFrame:
-    """Partial autocorrelations of the ``window`` rows before each row, as one array per row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["x"].to_numpy(float)
-        if len(x) < window + lags + 1:
-            return pd.DataFrame({"symbol": [], "date": [], "pacf": []})
-        values = kernels.rolling_pacf_ols(x, window, lags)
-        moving = pdf["x"].rolling(window).var().to_numpy()[window - 1 : -1]
-        keep = moving >= 1e-10
-        return pd.DataFrame(
-            {"symbol": pdf["symbol"].iloc[0], "date": pdf["date"].iloc[window:][keep], "pacf": list(values[keep])}
-        )
-
-    return per_series(_series(bars, absolute), run, "symbol string, date date, pacf array<double>")
-
-
 def last_rows(bars: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows of each series, numbered from 0 in date order."""
     back = Window.partitionBy("symbol").orderBy(F.col("date").desc())
@@ -200,33 +196,6 @@ def hurst(bars: DataFrame) -> DataFrame:
     return mean.groupBy("symbol").agg(F.regr_slope(F.log10("rs"), F.log10("size")).alias("hurst"))
 
 
-def rolling_hurst(bars: DataFrame, window: int = HURST_WINDOW) -> DataFrame:
-    """Hurst exponent of the ``window`` closes before each row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        price = pdf["close"].to_numpy(float)
-        if len(price) <= window:
-            return pd.DataFrame(columns=["symbol", "date", "hurst"])
-        spread = pdf["close"].rolling(window).std(ddof=0).to_numpy()[window - 1 : -1]
-        value = np.where(spread >= 1e-9, kernels.rolling_hurst(price, window), np.nan)
-        out = pd.DataFrame({"date": pdf["date"].iloc[window:], "hurst": value}).dropna()
-        out.insert(0, "symbol", pdf["symbol"].iloc[0])
-        return out
-
-    return per_series(bars.select("symbol", "date", "close"), run, "symbol string, date date, hurst double")
-
-
-def adf(bars: DataFrame, window: int = ANALYSIS_WINDOW) -> DataFrame:
-    """Unit-root statistic and p-value of the last closes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stat, p, lags = kernels.adf(pdf["close"].to_numpy(float))
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "adf_stat": [stat], "adf_p_value": [p], "lags": [lags]})
-
-    tail = last_rows(bars.select("symbol", "date", "close"), window)
-    return _nulls(per_series(tail.drop("pos"), run, "symbol string, adf_stat double, adf_p_value double, lags long"))
-
-
 def phase_table(bars: DataFrame, momentum: str = "roc", reversion: str = "rsi", window: int = 20) -> DataFrame:
     """Momentum against mean reversion on the rows where both exist, with days since the first."""
     if momentum == "roc":
@@ -237,8 +206,6 @@ def phase_table(bars: DataFrame, momentum: str = "roc", reversion: str = "rsi",
         raise ValueError(f"unknown momentum measure {momentum}")
     if reversion == "rsi":
         r = rsi(bars).select("symbol", "date", F.col("rsi").alias("reversion"))
-    elif reversion == "hurst":
-        r = rolling_hurst(bars).select("symbol", "date", F.col("hurst").alias("reversion"))
     else:
         raise ValueError(f"unknown reversion measure {reversion}")
     both = m.join(r, ["symbol", "date"]).dropna(subset=["momentum", "reversion"])

@@ -108,33 +108,37 @@ def consistency_report(df: DataFrame, keys: list[str], columns: list[str]) -> Da
 
 
 def quality_checks(loaders: dict[str, tuple[DataFrame, list[str], str, list[str]]]) -> DataFrame:
-    """All three checks of several loaders as one long table.
+    """All three checks of several loaders as one long table, in two passes over each.
 
-    Each loader is (rows, key columns, measured column, columns to count NULLs in).
+    Each loader is (rows, key columns, measured column, columns to count NULLs in). The
+    first pass takes dates, moments and NULLs; the second counts repeated keys and the rows
+    beyond three deviations, combined by key before anything is summed.
     """
     out = None
     for name, (df, keys, measure, columns) in loaders.items():
-        span = cal.span_of(df)
-        expected = cal.days(span, "calendar").select("date")
-        gone = expected.join(df.select("date").distinct(), "date", "left_anti")
-        parts = [
-            gone.agg(F.count("*").cast("double").alias("value")).select(F.lit("missing_dates").alias("item"), "value"),
-            outlier_report(df, measure)
-            .select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(F.lit(i).alias("item"), F.col(i).cast("double").alias("value"))
-                            for i in ("mean", "std_dev", "outlier_count", "outlier_percentage")
-                        ]
-                    )
-                )
-            ),
-            consistency_report(df, keys, columns).select("item", F.col("value").cast("double")),
-        ]
-        for part in parts:
-            part = part.withColumn("loader", F.lit(name))
-            out = part if out is None else out.unionByName(part)
+        x = F.col(measure)
+        first = df.agg(
+            F.struct(
+                (F.datediff(F.max("date"), F.min("date")) + 1 - F.count_distinct("date")).alias("missing"),
+                F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(x).alias("n"),
+                *[F.sum(F.col(c).isNull().cast("long")).alias(f"nulls_{c}") for c in columns],
+            ).alias("first")
+        ).scalar()
+        by_key = df.withColumn("_first", first).groupBy(*keys).agg(
+            F.count("*").alias("n"),
+            F.sum((F.abs(x - F.col("_first.mean")) > 3 * F.col("_first.std")).cast("long")).alias("far"),
+        )
+        second = by_key.agg(F.sum((F.col("n") > 1).cast("long")).alias("repeated"), F.sum("far").alias("far"))
+        both = second.withColumn("first", first)
+        far = F.coalesce("far", F.lit(0))
+        items = {
+            "missing_dates": F.col("first.missing"), "mean": F.col("first.mean"), "std_dev": F.col("first.std"),
+            "outlier_count": far, "outlier_percentage": F.try_divide(far, F.col("first.n")) * 100,
+            "duplicate_keys": F.coalesce("repeated", F.lit(0)), **{f"nulls_{c}": F.col(f"first.nulls_{c}") for c in columns},
+        }
+        long = F.inline(F.array(*[F.struct(F.lit(i).alias("item"), v.cast("double").alias("value")) for i, v in items.items()]))
+        part = both.select(long).withColumn("loader", F.lit(name))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

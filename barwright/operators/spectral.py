@@ -1,158 +1,33 @@
-"""Spectra and wavelet transforms of the log returns of each series."""
+"""Amplitude spectrum of the log returns of each series."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from barwright.functions import kernels
 from barwright.functions.series import log_return
 from barwright.operators.grouped import per_series
 
-# Defaults of the transforms.
-PEAK_PROMINENCE, TOP_PEAKS = 0.1, 5
-CWT_SCALES, MIN_PERIOD = 100, 2.0
-SAMPLES_PER_PEAK = 10
-ALARM_LEVELS = [0.1, 0.05, 0.01]
-
 
 def spectral_returns(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "date", log_return().alias("r")).filter("r IS NOT NULL")
 
 
-def _prepared(pdf: pd.DataFrame, detrend: bool) -> np.ndarray:
-    x = pdf["r"].to_numpy(float)
-    return kernels.detrend(x) if detrend and len(x) > 1 else x
-
-
 def amplitude_spectrum(returns: DataFrame, detrend: bool = True) -> DataFrame:
     """Amplitude by frequency (cycles per day) of the detrended, windowed returns."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
+        x = pdf["r"].to_numpy(float)
+        n = len(x)
+        if n < 2:
             return pd.DataFrame(columns=["symbol", "k", "frequency", "amplitude"])
-        amp = kernels.amplitude_spectrum(_prepared(pdf, detrend))
-        k = np.arange(len(amp))
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "k": k, "frequency": k / len(pdf), "amplitude": amp})
+        t = np.arange(n)
+        if detrend:
+            slope, level = np.polyfit(t, x, 1)
+            x = x - level - slope * t
+        amp = 2 / n * np.abs(np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * t / n))))[: n // 2]
+        k = np.arange(n // 2)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "k": k, "frequency": k / n, "amplitude": amp})
 
     return per_series(returns, run, "symbol string, k long, frequency double, amplitude double")
-
-
-def spectral_peaks(returns: DataFrame, prominence: float = PEAK_PROMINENCE, top: int = TOP_PEAKS, detrend: bool = True) -> DataFrame:
-    """The most prominent peaks of the amplitude spectrum and their periods in days."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(pdf) >= 2:
-            amp = kernels.amplitude_spectrum(_prepared(pdf, detrend))
-            for rank, (i, rise) in enumerate(kernels.prominent_peaks(amp, prominence, top), 1):
-                rows.append((pdf["symbol"].iloc[0], rank, i / len(pdf), len(pdf) / i, amp[i], rise))
-        return pd.DataFrame(rows, columns=["symbol", "peak", "frequency", "period", "amplitude", "prominence"])
-
-    schema = "symbol string, peak long, frequency double, period double, amplitude double, prominence double"
-    return per_series(returns, run, schema)
-
-
-def discrete_wavelet(returns: DataFrame, level: int | None = None, scale: bool = False, detrend: bool = True) -> DataFrame:
-    """Wavelet coefficients in long form; part ``cA`` or ``cD``, level, position, period label."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        coefs = kernels.wavelet_levels(_prepared(pdf, detrend), level)
-        deepest = len(coefs) - 1
-        for i, c in enumerate(coefs):
-            j = deepest if i == 0 else deepest - i + 1
-            if scale and np.std(c) > 1e-8:
-                c = (c - np.mean(c)) / np.std(c)
-            periods = f"> {2**j} days" if i == 0 else f"{2**j}-{2**(j + 1)} days"
-            out.append(
-                pd.DataFrame(
-                    {"symbol": pdf["symbol"].iloc[0], "part": "cA" if i == 0 else "cD", "level": j, "pos": np.arange(len(c)), "coef": c, "periods": periods}
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame(columns=["symbol", "part", "level", "pos", "coef", "periods"])
-
-    return per_series(returns, run, "symbol string, part string, level long, pos long, coef double, periods string")
-
-
-def continuous_wavelet(
-    returns: DataFrame, scales: int = CWT_SCALES, min_period: float = MIN_PERIOD, max_period: float | None = None, detrend: bool = True
-) -> DataFrame:
-    """Scalogram: one row per series and scale with the power at every date.
-
-    Scales grow geometrically from ``min_period`` to a quarter of the series (half of
-    it where that is too long).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["symbol", "scale_no", "scale", "period", "dates", "power"]
-        n = len(pdf)
-        top = max_period if max_period is not None else n / 4
-        if n < int(max(top, min_period)):
-            top = n / 2
-        if top <= 0 or n < int(max(top, min_period)) or n < 2:
-            return pd.DataFrame(columns=cols)
-        grid = np.geomspace(min_period, top, num=scales)
-        power = kernels.morlet_power(_prepared(pdf, detrend), grid)
-        dates = list(pdf["date"])
-        return pd.DataFrame(
-            {
-                "symbol": pdf["symbol"].iloc[0],
-                "scale_no": np.arange(scales),
-                "scale": grid,
-                "period": grid / kernels.MORLET_CENTRE,
-                "dates": [dates] * scales,
-                "power": list(power),
-            }
-        )
-
-    schema = "symbol string, scale_no long, scale double, period double, dates array<date>, power array<double>"
-    return per_series(returns, run, schema)
-
-
-def scale_power(scalogram: DataFrame) -> DataFrame:
-    """Mean and largest power of each scale and the date of the largest."""
-    top = F.array_max("power")
-    total = F.aggregate("power", F.lit(0.0), lambda a, x: a + x)
-    return scalogram.select(
-        "symbol",
-        "scale_no",
-        "period",
-        (total / F.size("power")).alias("mean_power"),
-        top.alias("max_power"),
-        F.element_at("dates", F.array_position("power", top).cast("int")).alias("peak_date"),
-    )
-
-
-def lomb_scargle_peaks(series: DataFrame, value: str = "close", min_period: float = MIN_PERIOD) -> DataFrame:
-    """Peaks of the uneven-sample periodogram above its highest false-alarm level.
-
-    The frequency grid follows the span of each series; power is normalised.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["symbol", "frequency", "period", "power", "level_10", "level_05", "level_01"]
-        if len(pdf) < 5:
-            return pd.DataFrame(columns=cols)
-        t = pd.to_datetime(pdf["date"]).to_numpy().astype("datetime64[D]").astype(float)
-        t = t - t.min()
-        y = kernels.detrend(pdf["value"].to_numpy(float))
-        span = t.max()
-        low, high = 2.0 / span, 1.0 / min_period
-        count = int(SAMPLES_PER_PEAK * span * (high - low))
-        if count < 3 or not np.any(y):
-            return pd.DataFrame(columns=cols)
-        freq = np.linspace(low, high, count)
-        power = kernels.lomb_scargle(t, y, freq)
-        levels = [kernels.false_alarm_level(t, p) for p in ALARM_LEVELS]
-        rows = [
-            (pdf["symbol"].iloc[0], freq[i], 1 / freq[i], power[i], *levels)
-            for i, _ in kernels.prominent_peaks(power, 0.0, len(power))
-            if power[i] >= max(levels)
-        ]
-        return pd.DataFrame(rows, columns=cols)
-
-    rows = series.select("symbol", "date", F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
-    schema = "symbol string, frequency double, period double, power double, level_10 double, level_05 double, level_01 double"
-    return per_series(rows, run, schema)

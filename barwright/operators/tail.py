@@ -4,13 +4,9 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barwright.functions import kernels
 from barwright.functions.series import log_return, rolling, trailing, whole
-from barwright.operators.grouped import per_series
 
 # Confidence 95 %, its normal quantile, and the return periods in days.
 CONFIDENCE = 0.95
@@ -39,36 +35,9 @@ def normal_var(returns: DataFrame, alpha: float = 1 - CONFIDENCE, z: float = Z_0
     )
 
 
-def student_var(returns: DataFrame, alpha: float = 1 - CONFIDENCE, z: float = Z_05) -> DataFrame:
-    """Student-t quantile and shortfall by maximum likelihood; normal where the fit fails.
-
-    Shortfall is NULL for at most one degree of freedom.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["r"].to_numpy(float)
-        sym = pdf["symbol"].iloc[0]
-        cols = ["symbol", "df", "loc", "scale", "var", "cvar"]
-        if len(x) < 2 or np.std(x, ddof=1) == 0:
-            return pd.DataFrame(columns=cols)
-        df, loc, scale = kernels.fit_t(x)
-        if not (df > 0 and math.isfinite(loc) and scale > 0):
-            m, s = x.mean(), x.std(ddof=1)
-            density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-            return pd.DataFrame([(sym, None, m, s, m + z * s, m - s * density / alpha)], columns=cols)
-        q = kernels.t_quantile(alpha, df)
-        cvar = loc - scale * (df + q * q) / (df - 1) * kernels.t_pdf(q, df) / alpha if df > 1 else None
-        return pd.DataFrame([(sym, df, loc, scale, loc + scale * q, cvar)], columns=cols)
-
-    schema = "symbol string, df double, loc double, scale double, var double, cvar double"
-    return per_series(returns, run, schema)
-
-
-def var_comparison(returns: DataFrame, with_student: bool = True) -> DataFrame:
+def var_comparison(returns: DataFrame) -> DataFrame:
     """Loss in percent by method."""
     parts = [("Historical", historical_var(returns)), ("Parametric (Normal)", normal_var(returns))]
-    if with_student:
-        parts.append(("Parametric (t)", student_var(returns)))
     out = None
     for name, df in parts:
         one = df.select("symbol", F.lit(name).alias("method"), (-F.col("var") * 100).alias("loss_pct")).dropna()
@@ -106,17 +75,19 @@ def exceedances(returns: DataFrame, quantile: float = 0.95, tail: str = "loss")
 
 
 def pareto_fit(over: DataFrame) -> DataFrame:
-    """Generalised Pareto shape and scale; NULL under ten or three distinct exceedances."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["excess"].to_numpy(float)
-        shape, scale = None, None
-        if len(x) >= 10 and len(np.unique(x)) >= 3:
-            shape, scale = kernels.fit_pareto(x)
-        row = (pdf["symbol"].iloc[0], pdf["threshold"].iloc[0], len(x), int(pdf["n"].iloc[0]), shape, scale)
-        return pd.DataFrame([row], columns=["symbol", "threshold", "n_over", "n", "shape", "scale"])
+    """Generalised Pareto shape and scale by the method of moments; NULL under ten exceedances or without spread.
 
-    return per_series(over, run, "symbol string, threshold double, n_over long, n long, shape double, scale double")
+    With the mean m and variance v of the excesses, the shape is (1 - m^2 / v) / 2 and the
+    scale m (1 + m^2 / v) / 2: one aggregation for all series.
+    """
+    fit = over.groupBy("symbol").agg(
+        F.max("threshold").alias("threshold"), F.count("*").alias("n_over"), F.max("n").alias("n"),
+        F.avg("excess").alias("_m"), F.var_samp("excess").alias("_v"),
+    )
+    ratio = F.when(F.col("n_over") >= 10, F.try_divide(F.col("_m") * F.col("_m"), F.col("_v")))
+    return fit.select(
+        "symbol", "threshold", "n_over", "n", ((1 - ratio) / 2).alias("shape"), (F.col("_m") * (1 + ratio) / 2).alias("scale")
+    )
 
 
 def return_levels(fit: DataFrame, periods=RETURN_PERIODS) -> DataFrame:

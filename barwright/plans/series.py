@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barwright.operators import anomaly as an, momentum as mo, spectral as sp, tail as ta, volatility as vol
+from barwright.operators import anomaly as an, momentum as mo, spectral as sp, tail as ta
 from barwright.plans.registry import query, tidy
-from barwright.plans.sqltext import BARS, LAGGED, r, rolling
+from barwright.plans.sqltext import BARS, LAGGED, r, rolling, sig
 from barwright.sources import panel
 
 # --- tails --------------------------------------------------------------------
@@ -38,23 +38,13 @@ def normal_var(spark, sf):
     return tidy(ta.normal_var(returns(spark, sf)))
 
 
-@query("student_var")
-def student_var(spark, sf):
-    return tidy(ta.student_var(returns(spark, sf)), 4)
-
-
 @query(
     "var_comparison",
     f"""WITH {TAIL}, {_HIST}, {_NORM} SELECT symbol, 'Historical' AS method, {r('-var * 100')} AS loss_pct FROM hist
     UNION ALL SELECT symbol, 'Parametric (Normal)', {r('-var * 100')} FROM norm""",
 )
 def var_comparison(spark, sf):
-    return tidy(ta.var_comparison(returns(spark, sf), with_student=False))
-
-
-@query("var_comparison_all")
-def var_comparison_all(spark, sf):
-    return tidy(ta.var_comparison(returns(spark, sf)), 3)
+    return tidy(ta.var_comparison(returns(spark, sf)))
 
 
 @query(
@@ -76,14 +66,23 @@ def loss_exceedances(spark, sf):
     return tidy(ta.exceedances(returns(spark, sf)))
 
 
-@query("pareto_fit")
+PARETO = f"""{TAIL}, q AS (SELECT symbol, quantile_cont(-r, 0.95) AS u, count(*) AS n FROM tr GROUP BY symbol),
+m AS (SELECT t.symbol, u, n, count(*) AS n_over, avg(-r - u) AS m, var_samp(-r - u) AS v FROM tr t JOIN q ON q.symbol = t.symbol WHERE -r > u GROUP BY ALL),
+fit AS (SELECT symbol, u, n_over, n, CASE WHEN n_over >= 10 THEN (1 - m * m / v) / 2 END AS shape, CASE WHEN n_over >= 10 THEN m * (1 + m * m / v) / 2 END AS scale FROM m)"""
+
+
+@query("pareto_fit", f"WITH {PARETO} SELECT symbol, {r('u')} AS threshold, n_over, n, {sig('shape')} AS shape, {sig('scale')} AS scale FROM fit")
 def pareto_fit(spark, sf):
-    return tidy(ta.pareto_fit(ta.exceedances(returns(spark, sf))), 4)
+    return tidy(ta.pareto_fit(ta.exceedances(returns(spark, sf))), significant=("shape", "scale"))
 
 
-@query("return_levels")
+@query(
+    "return_levels",
+    f"""WITH {PARETO}, p AS (SELECT *, CAST(unnest([{', '.join(map(str, ta.RETURN_PERIODS))}]) AS BIGINT) AS period FROM fit WHERE shape IS NOT NULL AND scale > 0)
+    SELECT symbol, period, {sig('100 * (CASE WHEN abs(shape) < 1e-6 THEN u + scale * ln(n_over / n * period) ELSE u + scale / shape * (pow(n_over / n * period, shape) - 1) END)')} AS level_pct FROM p""",
+)
 def return_levels(spark, sf):
-    return tidy(ta.return_levels(ta.pareto_fit(ta.exceedances(returns(spark, sf)))), 2)
+    return tidy(ta.return_levels(ta.pareto_fit(ta.exceedances(returns(spark, sf)))), significant=("level_pct",))
 
 
 @query(
@@ -112,7 +111,7 @@ MACD = f"""{LAGGED}, {_ema_sql('fast', 'rets', 'close', f'({_D} / 13)', 12)}, {_
 line AS (SELECT f.symbol, f.rn, f.v - s.v AS m FROM fast f JOIN slow s ON s.symbol = f.symbol AND s.rn = f.rn),
 late AS (SELECT * FROM line WHERE m IS NOT NULL), {_ema_sql('sig', 'late', 'm', f'({_D} / 10)', 9, '26')},
 macd AS (SELECT r.symbol, r.date, m, sig.v AS s FROM rets r JOIN line l ON l.symbol = r.symbol AND l.rn = r.rn
-  LEFT JOIN sig ON sig.symbol = r.symbol AND sig.rn = r.rn WHERE r.symbol IN (SELECT symbol FROM rets GROUP BY symbol HAVING count(*) >= 35))"""
+  LEFT JOIN sig ON sig.symbol = r.symbol AND sig.rn = r.rn)"""
 
 
 @query("macd", f"WITH {MACD} SELECT symbol, date, {r('m', 5)} AS macd, {r('s', 5)} AS macd_signal, {r('m - s', 5)} AS macd_diff FROM macd")
@@ -142,9 +141,14 @@ def phase_roc_rsi(spark, sf):
     return tidy(mo.phase_table(panel.bars(spark, sf)))
 
 
-@query("phase_macd_hurst")
-def phase_macd_hurst(spark, sf):
-    return tidy(mo.phase_table(panel.bars(spark, sf), "macd", "hurst"), 5)
+@query(
+    "phase_macd_rsi",
+    f"""WITH {MACD}, {RSI.removeprefix(LAGGED + ', ')},
+    p AS (SELECT macd.symbol, macd.date, m, rsi FROM macd JOIN rsi ON rsi.symbol = macd.symbol AND rsi.date = macd.date WHERE m IS NOT NULL AND rsi IS NOT NULL)
+    SELECT symbol, date, {r('m', 5)} AS momentum, {r('rsi', 5)} AS reversion, date - min(date) OVER (PARTITION BY symbol) AS elapsed FROM p""",
+)
+def phase_macd_rsi(spark, sf):
+    return tidy(mo.phase_table(panel.bars(spark, sf), "macd", "rsi"), 5)
 
 
 @query(
@@ -210,21 +214,6 @@ def volatility_acf(spark, sf):
     return tidy(mo.acf(panel.bars(spark, sf), absolute=True))
 
 
-@query("return_pacf")
-def return_pacf(spark, sf):
-    return tidy(mo.pacf(panel.bars(spark, sf)))
-
-
-@query("volatility_pacf")
-def volatility_pacf(spark, sf):
-    return tidy(mo.pacf(panel.bars(spark, sf), absolute=True))
-
-
-@query("rolling_return_pacf")
-def rolling_return_pacf(spark, sf):
-    return mo.rolling_pacf(panel.bars(spark, sf))
-
-
 @query(
     "hurst_exponent",
     f"""WITH {BARS}, b AS (SELECT symbol, close, date, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars),
@@ -239,16 +228,6 @@ def hurst_exponent(spark, sf):
     return tidy(mo.hurst(panel.bars(spark, sf)))
 
 
-@query("rolling_hurst")
-def rolling_hurst(spark, sf):
-    return tidy(mo.rolling_hurst(panel.bars(spark, sf)), 5)
-
-
-@query("unit_root_test")
-def unit_root_test(spark, sf):
-    return tidy(mo.adf(panel.bars(spark, sf)), 4)
-
-
 @query(
     "last_rows",
     f"""WITH {BARS}, b AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
@@ -295,11 +274,6 @@ def anomaly_features(spark, sf):
     return tidy(an.features(panel.bars(spark, sf)))
 
 
-@query("isolation_forest")
-def isolation_forest(spark, sf):
-    return an.isolation_forest(an.features(panel.bars(spark, sf)))
-
-
 @query(
     "density_noise",
     f"""WITH {FEATS}, st AS (SELECT symbol, """
@@ -317,31 +291,6 @@ def density_noise(spark, sf):
     return an.density_noise(an.features(panel.bars(spark, sf)))
 
 
-@query("clustering_table")
-def clustering_table(spark, sf):
-    return tidy(an.clustering_table(an.features(panel.bars(spark, sf))))
-
-
-@query("stl_decomposition")
-def stl_decomposition(spark, sf):
-    return tidy(an.stl(panel.bars(spark, sf)), 4)
-
-
-@query("stl_residual_anomalies")
-def stl_residual_anomalies(spark, sf):
-    return tidy(an.stl_anomalies(an.stl(panel.bars(spark, sf))), 4)
-
-
-@query("lowess_volatility")
-def lowess_volatility(spark, sf):
-    return tidy(an.lowess(vol.rolling_volatility(panel.bars(spark, sf), [21]), "vol_21d"), 5)
-
-
-@query("lowess_close")
-def lowess_close(spark, sf):
-    return tidy(an.lowess(panel.bars(spark, sf), "close", frac=0.05), 4)
-
-
 # --- spectra ------------------------------------------------------------------
 
 
@@ -358,21 +307,3 @@ def amplitude_spectrum(spark, sf):
     return tidy(sp.amplitude_spectrum(sp.spectral_returns(panel.bars(spark, sf))))
 
 
-@query("spectral_peaks")
-def spectral_peaks(spark, sf):
-    return tidy(sp.spectral_peaks(sp.spectral_returns(panel.bars(spark, sf))))
-
-
-@query("discrete_wavelet")
-def discrete_wavelet(spark, sf):
-    return tidy(sp.discrete_wavelet(sp.spectral_returns(panel.bars(spark, sf))))
-
-
-@query("wavelet_scale_power")
-def wavelet_scale_power(spark, sf):
-    return tidy(sp.scale_power(sp.continuous_wavelet(sp.spectral_returns(panel.bars(spark, sf)))), 5)
-
-
-@query("lomb_scargle_peaks")
-def lomb_scargle_peaks(spark, sf):
-    return tidy(sp.lomb_scargle_peaks(panel.bars(spark, sf)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Set only where the caller's session leaves them open; a cluster keeps its own.
 DEFAULTS = {
@@ -34,7 +34,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,18 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="barwright-")
-    return _LOCAL_FOLDERS[app]
+        # Goes with the process: only tests get here.
+        _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="barwright-", ignore_cleanup_errors=True)
+    return _LOCAL_FOLDERS[app].name
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh subfolder of the shared folder for one run."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared folder and reading it back."""
-    spark = df.sparkSession
-    path = run_folder(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
