@@ -210,3 +210,10 @@ def latest_dates(df: DataFrame, key: str = "symbol") -> DataFrame:
 def oldest_latest(df: DataFrame, key: str = "symbol") -> DataFrame:
     """Smallest of the per-key latest dates: the point up to which every key is loaded."""
     return latest_dates(df, key).agg(F.min("latest_date").alias("latest_date"))
+
+
+def month_order(bars: DataFrame) -> DataFrame:
+    """Month labels of each series with their chronological rank and how many rows they hold."""
+    months = bars.groupBy("symbol", F.trunc("date", "month").alias("m")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("m")).cast("long")
+    return months.select("symbol", F.date_format("m", "MMM yyyy").alias("label"), rank.alias("month_rank"), "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.operators.upsert import insert_absent, keep_one, overwrite
+from barwright.operators.upsert import insert_absent, overwrite
 from barwright.schema import FACTS_FLAT, FACTS_NESTED, SUBMISSIONS, TICKERS
 
 # The metrics picked from the facts of a company.
@@ -54,6 +54,16 @@ def filings(subs: DataFrame) -> DataFrame:
     return rows.select("cik", "company_name", *[F.col(src).alias(out) for out, src in FILING_FIELDS.items()])
 
 
+def filing_keys(docs: DataFrame) -> DataFrame:
+    """(cik, accession_number, filing_date) of documents: the parser is asked for three fields only."""
+    schema = "cik string, filings struct<recent: struct<accessionNumber: array<string>, filingDate: array<string>>>"
+    recent = docs.select(F.from_json("doc", schema).alias("s")).select("s.cik", "s.filings.recent.*")
+    dates = F.coalesce("filingDate", F.array().cast("array<string>")).alias("filingDate")
+    names = F.coalesce("accessionNumber", F.array().cast("array<string>")).alias("accessionNumber")
+    zipped = recent.select("cik", names, dates).select("cik", F.inline(F.slice(F.arrays_zip("accessionNumber", "filingDate"), F.lit(1), F.size("accessionNumber"))))
+    return zipped.select("cik", F.col("accessionNumber").alias("accession_number"), F.col("filingDate").alias("filing_date"))
+
+
 def latest_filings(rows: DataFrame) -> DataFrame:
     """Accession of the latest-dated filing of each company."""
     rank = F.struct("filing_date", "accession_number")
@@ -168,5 +178,22 @@ def upsert_companies(stored: DataFrame, rows: DataFrame) -> DataFrame:
     return overwrite(stored, rows, ["cik"], ["updated_at"])
 
 
-def one_per_accession(rows: DataFrame) -> DataFrame:
-    return keep_one(rows, ["accession_number"], ["filing_date", "cik"])
+def with_company(metrics: DataFrame, companies: DataFrame, captured_at) -> DataFrame:
+    """Metrics with the company's name, sector and industry, NULL where it is unknown, and when they were taken."""
+    names = companies.select("symbol", "company_name", "sector", "industry")
+    return metrics.join(names, "symbol", "left").withColumn("captured_at", captured_at)
+
+
+def schema_of_facts(parsed: DataFrame) -> DataFrame:
+    """Taxonomies, tags and units with the number of values and the first by period and accession."""
+    tags = parsed.select(F.explode("facts").alias("taxonomy", "tags")).select("taxonomy", F.explode("tags").alias("metric", "body"))
+    points = tags.select("taxonomy", "metric", F.explode("body.units").alias("unit", "points")).select("taxonomy", "metric", "unit", F.inline("points"))
+    order = F.struct("end", "accn", F.length("val"))
+    return points.groupBy("taxonomy", "metric", "unit").agg(F.count("*").alias("points"), F.min_by("val", order).alias("first_value"))
+
+
+def tickers_of_lines(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Directory entries of lines ``ticker TAB number``; lines without both are dropped."""
+    parts = F.split(column, "\t")
+    rows = lines.select(F.trim(F.get(parts, 0)).alias("ticker"), F.trim(F.get(parts, 1)).alias("cik"))
+    return rows.filter("ticker <> '' AND cik <> ''").select("ticker", F.lpad("cik", 10, "0").alias("cik"))

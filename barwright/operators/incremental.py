@@ -51,6 +51,12 @@ def reload(stored: DataFrame, landed: DataFrame, start: Column, end: Column) ->
     return stored.filter(~inside).unionByName(landed.filter(inside).select(*stored.columns))
 
 
+def reload_last(stored: DataFrame, landed: DataFrame, n: int) -> DataFrame:
+    """Replace the last ``n`` days that are stored by what has landed for them."""
+    end = last_day(stored)
+    return reload(stored, landed, F.date_sub(end, n - 1), end)
+
+
 def received_check(spans: DataFrame, received: DataFrame) -> DataFrame:
     """Weekdays of each loaded span for which no row came."""
     return cal.missing_days(received, spans, "weekday")

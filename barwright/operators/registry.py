@@ -104,3 +104,8 @@ def ensemble_mean(predictions: DataFrame, members: DataFrame) -> DataFrame:
     return predictions.join(members, "model_id").groupBy("ensemble_id", "symbol", "date").agg(
         F.try_divide(F.sum(F.col("predicted") * w), F.sum(w)).alias("predicted")
     )
+
+
+def fold_measures(measures: DataFrame, *keys: str) -> DataFrame:
+    """Mean and deviation of the squared error over folds."""
+    return measures.groupBy(*keys).agg(F.count("*").alias("folds"), F.avg("mse").alias("mean_mse"), F.stddev_samp("mse").alias("std_mse"))

@@ -42,7 +42,7 @@ _CUT = "1998-06-01"
 
 @query("new_filings", f"WITH {_SUBS} SELECT cik, accession_number, filing_date FROM filings WHERE filing_date >= '{_CUT}'")
 def new_filings(spark, sf):
-    rows = filing_rows(spark, sf)
+    rows = fi.filing_keys(src.submission_documents(spark, sf))
     return fi.new_filings(rows, rows.filter(F.col("filing_date") < _CUT)).select("cik", "accession_number", "filing_date")
 
 
@@ -52,7 +52,7 @@ def new_filings(spark, sf):
     SELECT f.cik, accession_number, filing_date FROM filings f LEFT JOIN m ON m.cik = f.cik WHERE mark IS NULL OR accession_number > mark""",
 )
 def filings_above_mark(spark, sf):
-    rows = filing_rows(spark, sf)
+    rows = fi.filing_keys(src.submission_documents(spark, sf))
     return fi.new_filings(rows, rows.filter(F.col("filing_date") < _CUT), high_water=True).select(
         "cik", "accession_number", "filing_date"
     )

@@ -58,36 +58,49 @@ def above_mark(rows: DataFrame) -> DataFrame:
     )
 
 
-def append_new(path: str):
+def append_new(path: str, stored: str | None = None):
     """Sink for ``foreachBatch``: each batch goes to a folder of its own number.
 
-    A batch that is run again after a failure replaces its own folder, so rows are
-    stored once.
+    Filings that ``stored`` or an earlier batch holds are left out, so no state has to
+    remember them. A batch that is run again after a failure replaces its own folder, so
+    rows are stored once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = batch.dropDuplicates(KEY)
+        reader = batch.sparkSession.read
+        if stored:
+            fresh = fresh.join(reader.schema(batch.schema).parquet(stored).select(*KEY), KEY, "left_anti")
+        if number:
+            earlier = reader.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+            fresh = fresh.join(earlier.filter(F.col("batch") < number).select(*KEY), KEY, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def poll(rows: DataFrame, target: str, state: str, every: str | None = None):
+def poll(rows: DataFrame, target: str, state: str, every: str | None = None, stored: str | None = None):
     """Start the poll: ``every`` such as ``'600 seconds'`` keeps it running, None drains once."""
-    writer = rows.writeStream.foreachBatch(append_new(target)).option("checkpointLocation", state).outputMode("append")
+    writer = rows.writeStream.foreachBatch(append_new(target, stored)).option("checkpointLocation", state).outputMode("append")
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def drain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poll the orders as filings once and read back what was stored."""
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    rows = raw.select(
+def order_filings(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"),
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accession_number"),
         F.to_date("o_orderdate").alias("filing_date"),
     )
+
+
+def drain_orders(spark: SparkSession, sf_dir: str, stored: str | None = None) -> DataFrame:
+    """Poll the orders as filings once and read back what was stored."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    rows = order_filings(raw)
     run = run_folder(spark, "poll")
-    query = poll(without_repeats(rows), f"{run}/rows", f"{run}/state")
+    # Each batch is held against what is stored; nothing grows in the stream's own state.
+    query = poll(rows, f"{run}/rows", f"{run}/state", stored=stored)
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{run}/rows").select(*rows.columns)
