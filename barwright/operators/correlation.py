@@ -11,7 +11,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.functions.series import by_date, log_ratio, rolling
+from barwright.functions.series import by_date, log_ratio, rolling, whole
 
 STOCK = "STOCK"
 
@@ -33,18 +33,23 @@ def joint_returns(joint: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(returns: DataFrame) -> DataFrame:
-    """Every pair of columns per symbol, both ways round, with a two-decimal label."""
+    """Every pair of columns per symbol, both ways round, with a two-decimal label.
+
+    Cases are complete, so each column is centred once and a pair costs one sum of products,
+    where a correlation aggregate of each pair would keep six buffers.
+    """
     assets = [c for c in returns.columns if c not in ("symbol", "date")]
     pairs = list(combinations_with_replacement(assets, 2))
-    agg = returns.groupBy("symbol").agg(
-        F.count("*").alias("n"), *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    centred = returns.select("symbol", *[(F.col(a) - F.avg(a).over(whole())).alias(a) for a in assets])
+    agg = centred.groupBy("symbol").agg(
+        F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     )
+    own = {a: F.col(f"p{i}") for i, (a, b) in enumerate(pairs) if a == b}
     cells = []
     for i, (a, b) in enumerate(pairs):
+        value = F.when(F.col("n") > 1, F.try_divide(F.col(f"p{i}"), F.sqrt(own[a]) * F.sqrt(own[b])))
         for x, y in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(F.lit(x).alias("asset_x"), F.lit(y).alias("asset_y"), F.col(f"c{i}").alias("correlation"))
-            )
+            cells.append(F.struct(F.lit(x).alias("asset_x"), F.lit(y).alias("asset_y"), value.alias("correlation")))
     out = agg.select("symbol", "n", F.inline(F.array(*cells)))
     return out.withColumn("label", F.round("correlation", 2).cast("decimal(4,2)").cast("string"))
 
