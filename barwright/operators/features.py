@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.series import by_date, log_return, prev, simple_return, trailing, whole
+from barwright.functions.series import by_date, log_return, prev, rolling, simple_return, trailing, whole
 from barwright.operators import indicators as ind, volatility as vol
 
 
@@ -34,12 +34,33 @@ FEATURE_SETS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def feature_set(bars: DataFrame, *names: str) -> DataFrame:
-    """Compose feature sets by name; unknown names raise."""
+def _with_sector(bars: DataFrame, stocks: DataFrame) -> DataFrame:
+    return bars.join(sector_strength(bars, stocks), ["symbol", "date"], "left")
+
+
+def _with_yield_curve(bars: DataFrame, yields: DataFrame) -> DataFrame:
+    return bars.join(yield_curve(yields), "date", "left")
+
+
+# Sets that need a table beside the bars, and that table.
+JOINED_SETS: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
+    "sector": ("stocks", _with_sector),
+    "yield_curve": ("yields", _with_yield_curve),
+}
+
+
+def feature_set(bars: DataFrame, *names: str, **tables: DataFrame) -> DataFrame:
+    """Compose feature sets by name; unknown names, and tables not given, raise."""
     for name in names:
-        if name not in FEATURE_SETS:
+        if name in FEATURE_SETS:
+            bars = bars.transform(FEATURE_SETS[name])
+        elif name in JOINED_SETS:
+            table, join = JOINED_SETS[name]
+            if table not in tables:
+                raise ValueError(f"feature set {name} needs the table {table}")
+            bars = join(bars, tables[table])
+        else:
             raise ValueError(f"unknown feature set {name}")
-        bars = bars.transform(FEATURE_SETS[name])
     return bars
 
 
@@ -175,6 +196,23 @@ def targets(bars: DataFrame, horizon: int = 5, bins: int = 4) -> DataFrame:
     return known.withColumn("target_bin", F.ntile(bins).over(ranked)).drop("_lr")
 
 
+def alpha_target(bars: DataFrame, market: DataFrame, horizon: int = 5, threshold: float = 0.0, vol_adjust: bool = False) -> DataFrame:
+    """(symbol, date, target_alpha, beats): forward return over that of the market (date, close).
+
+    ``vol_adjust`` divides by the deviation of the last 21 log returns; ``beats`` is whether
+    the target passes ``threshold``. Dates the market lacks are left out.
+    """
+    ahead = lambda c, spec: F.lead(c, horizon).over(spec) / F.col(c) - 1
+    both = bars.join(market.select("date", F.col("close").alias("_m")), "date")
+    alpha = ahead("close", by_date()) - ahead("_m", by_date())
+    df = both.withColumns({"target_alpha": alpha, "_lr": log_return()})
+    if vol_adjust:
+        spread = rolling(F.stddev_samp("_lr"), "_lr", 21)
+        df = df.withColumn("target_alpha", F.try_divide(F.col("target_alpha"), spread))
+    df = df.filter("target_alpha IS NOT NULL")
+    return df.select("symbol", "date", "target_alpha", (F.col("target_alpha") > threshold).alias("beats"))
+
+
 def signals(predictions: DataFrame, buy: float = 0.02, sell: float = -0.02, stop: float = 0.05) -> DataFrame:
     """BUY, SELL or HOLD by predicted return, with target and stop prices."""
     p, c = F.col("predicted"), F.col("close")

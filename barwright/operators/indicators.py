@@ -116,6 +116,11 @@ def close_position_clipped() -> Column:
     return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
 
 
+def close_position_or_null() -> Column:
+    """Position of the close in the range; NULL for a flat bar."""
+    return F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low"))
+
+
 def close_position_or_middle() -> Column:
     """Position of the close in the range; 0.5 for a flat bar."""
     return F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))

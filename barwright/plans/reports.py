@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.functions.series import by_date, log_return, prev, rolling
-from barwright.operators import calendar as cal, distribution as dist, filings as fi, incremental as inc, quality as q, registry as reg, tail as ta, upsert as up
+from barwright.functions.series import by_date, log_return, prev, rolling, simple_return
+from barwright.operators import (
+    calendar as cal, distribution as dist, features as fe, filings as fi, incremental as inc, indicators as ind, models as mdl, quality as q, registry as reg,
+    tail as ta, upsert as up, volatility as vol,
+)
 from barwright.plans.features import _MODELS, backtests, ensembles, models
 from barwright.plans.filings import _FACTS, _METRIC, _SUBS, filing_rows, parsed_facts
 from barwright.plans.quality import _B, _FULL, _MERGED, _O, _ORDER, _STORED, _checks_sql, _symbols, feed_frame, landed_bars, stored_bars
 from barwright.plans.registry import query, tidy
 from barwright.plans.series import TAIL, _HIST, _NORM
-from barwright.plans.sqltext import BARS, BARS_AND_INDEX, FEED, LAGGED, LISTINGS, STOCKS, YIELDS, r, sig
+from barwright.plans.sqltext import BARS, BARS_AND_INDEX, FEED, LAGGED, LISTINGS, STOCKS, YIELDS, r, rolling as roll, sig
 from barwright.schema import TENORS
 from barwright.session import run_folder
 from barwright.sources import panel
@@ -340,6 +343,59 @@ def ensemble_predictions(spark, sf):
     return tidy(reg.ensemble_mean(long, members).drop("ensemble_id"))
 
 
+# --- features, models and chart tables ------------------------------------------------
+
+
+@query(
+    "joined_feature_sets",
+    f"""WITH {LAGGED}, {STOCKS}, {YIELDS}, x AS (SELECT r.symbol, date, sr - avg(sr) OVER (PARTITION BY sector, date) AS strength FROM rets r JOIN stocks s ON s.symbol = r.symbol
+      WHERE sr IS NOT NULL AND sector IS NOT NULL)
+    SELECT r.symbol, r.date, {r('strength')} AS strength, {r('yr10 - yr2')} AS slope_10y_2y FROM rets r LEFT JOIN x ON x.symbol = r.symbol AND x.date = r.date
+    LEFT JOIN yields y ON y.date = r.date""",
+)
+def joined_feature_sets(spark, sf):
+    bars = panel.bars(spark, sf)
+    out = fe.feature_set(bars, "sector", "yield_curve", stocks=panel.stocks(spark, sf), yields=panel.yields(spark, sf))
+    return tidy(out.select("symbol", "date", "strength", "slope_10y_2y"))
+
+
+@query(
+    "alpha_targets",
+    f"""WITH {BARS_AND_INDEX}, j AS (SELECT b.symbol, b.date, b.close, i.close AS m FROM bars b JOIN index_bars i ON i.symbol = 'SPX' AND i.date = b.date),
+    t AS (SELECT symbol, date, lead(close, 5) OVER w / close - 1 - (lead(m, 5) OVER w / m - 1) AS a FROM j WINDOW w AS (PARTITION BY symbol ORDER BY date))
+    SELECT symbol, date, {r('a')} AS target_alpha, a > 0.01 AS beats FROM t WHERE a IS NOT NULL""",
+)
+def alpha_targets(spark, sf):
+    market = panel.index_bars(spark, sf).filter("symbol = 'SPX'")
+    return tidy(fe.alpha_target(panel.bars(spark, sf), market, threshold=0.01))
+
+
+@query("close_position_nullable", f"WITH {BARS} SELECT symbol, date, {r('(close - low) / nullif(high - low, 0)', 9)} AS close_position FROM bars")
+def close_position_nullable(spark, sf):
+    return tidy(panel.bars(spark, sf).select("symbol", "date", ind.close_position_or_null().alias("close_position")), 9)
+
+
+@query(
+    "volatility_chart",
+    f"""WITH {LAGGED}, v AS (SELECT symbol, date, close, ({roll('stddev_samp(lr)', 'lr', 5)}) * sqrt(252) AS short, ({roll('stddev_samp(lr)', 'lr', 21)}) * sqrt(252) AS long FROM rets)
+    SELECT symbol, date, close, {r('short')} AS vol_5d, {r('long')} AS vol_21d, short > long AS rising FROM v WHERE long IS NOT NULL AND short IS NOT NULL""",
+)
+def volatility_chart(spark, sf):
+    """Short against long volatility beside the close, ready to draw."""
+    v = vol.rolling_volatility(panel.bars(spark, sf), [5, 21]).filter("vol_5d IS NOT NULL AND vol_21d IS NOT NULL")
+    return tidy(v.select("symbol", "date", "close", "vol_5d", "vol_21d", (F.col("vol_5d") > F.col("vol_21d")).alias("rising")))
+
+
+@query("model_holdout")
+def model_holdout(spark, sf):
+    """Four model types on whether the next close is higher, judged on the last part of each series."""
+    bars = ind.candle_metrics(panel.bars(spark, sf)).withColumn("r1", simple_return())
+    frame = bars.withColumn("label", (F.lead("close").over(by_date()) > F.col("close")).cast("double")).dropna(subset=["label", "r1"])
+    part = fe.chronological_split(frame)
+    features = ["r1", "body_size_norm", "upper_shadow_norm", "lower_shadow_norm", "close_position"]
+    return mdl.holdout(part.filter("part = 'train'"), part.filter("part = 'test'"), features)
+
+
 # --- all analyses of one panel ------------------------------------------------------
 
 
