@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import regex
 
 LETTER, NUMBER, BLANK, OTHER = range(4)
 # Code points of one array: bounds a task's memory; a longer document has an array of its own.
@@ -16,15 +16,17 @@ POINTS = 0x110000
 
 @cache
 def classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space (Unicode's property), other."""
-    first = np.full(POINTS, ord("C"), np.uint8)
-    for c in range(POINTS):
-        first[c] = ord(unicodedata.category(chr(c))[0])
+    """Class of every code point: letter, number, white space, other.
+
+    Filled once in a process by the property classes of the regex package, which follow a
+    newer Unicode than the standard library; texts themselves are never matched.
+    """
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, POINTS)])
+    text = every.astype(np.uint32).tobytes().decode("utf-32-le")
     out = np.full(POINTS, OTHER, np.uint8)
-    out[first == ord("L")] = LETTER
-    out[first == ord("N")] = NUMBER
-    out[first == ord("Z")] = BLANK
-    out[[*range(0x09, 0x0E), 0x85]] = BLANK
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for run in regex.finditer(name, text):
+            out[every[run.start() : run.end()]] = kind
     return out
 
 

@@ -184,6 +184,11 @@ def test_ids_equal_the_library(texts):
     assert ids_of(texts) == [REFERENCE.encode_ordinary(t) for t in texts]
 
 
+def test_classes_of_every_plane_follow_the_library():
+    texts = [f"a{chr(c)}a 1{chr(c)}1" for c in range(0x80, 0x32000, 7) if not 0xD800 <= c < 0xE000]
+    assert ids_of(texts) == [REFERENCE.encode_ordinary(t) for t in texts]
+
+
 def test_long_slices_and_whole_documents(spark, sf_dir):
     texts = ["ab" * 4000, " " * 3000, "x" * 20001, "", "'ll" * 50] + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert ids_of(texts) == [REFERENCE.encode_ordinary(t) for t in texts]
