@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 import xxhash
-from conftest import BASE, rows
+from samples import BASE, rows
 
 from barwright.llm import exact, lattice, simhash, tiles
 from barwright.llm.common import components

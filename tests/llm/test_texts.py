@@ -9,7 +9,7 @@ import oracle
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import BASE, rows
+from samples import BASE, rows
 from hypothesis import given, settings, strategies as st
 
 from barwright import llm
