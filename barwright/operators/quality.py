@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.series import finite
 from barwright.operators import calendar as cal
-from barwright.operators.distribution import duplicate_keys, null_counts, outlier_report
+from barwright.operators.distribution import duplicate_keys, null_counts
 from barwright.schema import TENORS
 
 OHLCV = ["open", "high", "low", "close", "volume"]
@@ -147,24 +147,20 @@ def guarded_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in columns})
 
 
-def require_columns(df: DataFrame, columns=("date", "close"), max_columns: int | None = None) -> DataFrame:
-    """Raise when a needed column is missing or too many features are asked for."""
+def require_columns(df: DataFrame, columns=("date", "close")) -> DataFrame:
+    """Raise when a needed column is missing."""
     lost = [c for c in columns if c not in df.columns]
     if lost:
         raise ValueError(f"missing columns: {', '.join(lost)}")
-    if max_columns is not None and len(df.columns) > max_columns:
-        raise ValueError(f"at most {max_columns} columns")
     return df
 
 
-def require_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Raise when the frame is empty or holds more rows than allowed."""
-    n = df.limit(max_rows + 1).count() if max_rows is not None else len(df.head(1))
-    if n == 0:
-        raise ValueError("the frame is empty")
-    if max_rows is not None and n > max_rows:
-        raise ValueError(f"more than {max_rows} rows")
-    return df
+def frame_report(df: DataFrame, *keys: str, columns=("date", "close")) -> DataFrame:
+    """Rows of each key, how many values each needed column has, and whether all have as many and any."""
+    counts = require_columns(df, columns).groupBy(*keys).agg(F.count("*").alias("rows"), *[F.count(c).alias(f"{c}s") for c in columns])
+    names = [f"{c}s" for c in columns]
+    equal = F.greatest(*names) == F.least(*names)
+    return counts.withColumns({"equal_lengths": equal, "empty": F.greatest(*names) == 0})
 
 
 # Accepted names of the close column, first match wins.

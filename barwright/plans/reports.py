@@ -9,7 +9,7 @@ from barwright.operators import (
     calendar as cal, distribution as dist, features as fe, filings as fi, incremental as inc, indicators as ind, models as mdl, quality as q, registry as reg,
     tail as ta, upsert as up, volatility as vol,
 )
-from barwright.plans.features import _MODELS, backtests, ensembles, models
+from barwright.plans.features import _MODELS, backtests, models
 from barwright.plans.filings import _FACTS, _METRIC, _SUBS, filing_rows, parsed_facts
 from barwright.plans.quality import _B, _FULL, _MERGED, _O, _ORDER, _STORED, _checks_sql, _symbols, feed_frame, landed_bars, stored_bars
 from barwright.plans.registry import query, tidy
@@ -86,6 +86,17 @@ def cleaning_issues(spark, sf):
     return own.unionByName(names.select("symbol", F.explode(found).alias("issue"), "n"))
 
 
+@query(
+    "frame_report",
+    f"""WITH {FEED}, f AS (SELECT symbol, date, TRY_CAST(close_text AS DOUBLE) AS close FROM feed)
+    SELECT symbol, count(*) AS rows, count(date) AS dates, count(close) AS closes, count(date) = count(close) AS equal_lengths, false AS empty FROM f GROUP BY symbol""",
+)
+def frame_report(spark, sf):
+    """What a request frame needs, for each symbol of the raw feed."""
+    feed = feed_frame(spark, sf).withColumn("close", F.col("close").try_cast("double"))
+    return q.frame_report(feed, "symbol")
+
+
 _LAST = 365
 
 

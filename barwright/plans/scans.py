@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barwright.operators import calendar as cal
-from barwright.plans.registry import query, tidy
+from barwright.plans.registry import query
 from barwright.plans.sqltext import BARS, BARS_AND_INDEX, FEED, INDEX_BARS, SPLITS, STOCKS, YIELDS
 from barwright.schema import INDEX_SYMBOLS, TENORS
 from barwright.sources import panel, readers

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from barwright.operators import anomaly as an, momentum as mo, spectral as sp, tail as ta
 from barwright.plans.registry import query, tidy

@@ -78,10 +78,9 @@ def test_infinities_leave_as_null(spark):
 def test_frame_guards(five):
     with pytest.raises(ValueError):
         q.require_columns(five.drop("close"))
-    with pytest.raises(ValueError):
-        q.require_rows(five, 3)
-    with pytest.raises(ValueError):
-        q.require_rows(five.filter("false"))
+    row = q.frame_report(five.withColumn("close", F.when(F.dayofmonth("date") > 1, F.col("close")))).first()
+    assert (row.rows, row.dates, row.closes, row.equal_lengths, row.empty) == (5, 5, 4, False, False)
+    assert q.frame_report(five.filter("false")).first().empty
     assert q.close_column(five) == "close"
 
 
