@@ -241,8 +241,18 @@ def intervals(prefix: list[int], left: list[int], least: int) -> Iterator[tuple[
             raise AssertionError("an open interval is longer than the shared prefix")
 
 
+def strings(data: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the ``least`` bytes from each place on."""
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((stir(data.astype(np.uint64)) | np.uint64(1)) * up[:-1], out=sums[1:])
+    return (sums[least:] - sums[:-least]) * down[: len(data) - least + 1]
+
+
 def suffix_array(pieces: list[bytes], least: int):
-    """(piece, place in it, common prefix, byte before) of the sorted suffixes of ``least`` bytes or more."""
+    """(piece, place in it, common prefix, byte before) of the sorted suffixes that begin with a string of
+    ``least`` bytes that another begins with too; the others share too little to be in any interval.
+    """
     size = np.array([len(p) for p in pieces], np.int64)
     most = int(size.max())
     # One is added to each byte, so that the zeros that fill up a suffix come before all bytes.
@@ -251,6 +261,12 @@ def suffix_array(pieces: list[bytes], least: int):
     each = np.maximum(size - least + 1, 0)
     piece = np.repeat(np.arange(len(pieces)), each)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(each) - each, each)
+    h = strings(data, least)[begin[piece] + place]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    several = np.zeros(len(h), bool)
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    piece, place = piece[several], place[several]
     rest = size[piece] - place
     where = (begin[piece] + place)[:, None] + np.arange(most)
     table = data[where]
