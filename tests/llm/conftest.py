@@ -2,6 +2,8 @@ import pytest
 from samples import BASE, rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, key long, words string"
+
+
 @pytest.fixture(scope="session")
 def frame(spark):
     return lambda data: spark.createDataFrame(data, SCHEMA)
