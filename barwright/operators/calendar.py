@@ -7,6 +7,8 @@ span, with the only movable feast computed from its year. A span holds one row p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.functions.series import by_date
@@ -27,13 +29,22 @@ SPECIAL_CLOSURES = [
 
 
 def good_friday(year: Column) -> Column:
-    """Friday before Easter Sunday of any Gregorian year, as an expression."""
+    """Friday before Easter Sunday of any Gregorian year, as an expression.
+
+    Steps are bound to names by one-element arrays: written out, they would repeat each
+    other until the generated method is too long to be compiled.
+    """
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     golden, century = year % 19, _div(year, 100)
     h = (century - _div(century, 4) - _div(8 * century + 13, 25) + 19 * golden + 15) % 30
-    i = h - F.when((h == 29) | ((h == 28) & (golden > 10)), 1).otherwise(0)
-    j = (year + _div(year, 4) + i + 2 - century + _div(century, 4)) % 7
-    # Days from the 28th of March to Easter Sunday.
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (i - j - 2).cast("int"))
+    moon = lambda h: h - F.when((h == 29) | ((h == 28) & (golden > 10)), 1).otherwise(0)
+    week = lambda i: i - (year + _div(year, 4) + i + 2 - century + _div(century, 4)) % 7
+    # Days from the 28th of March to Easter Sunday, then two back.
+    days = bound(h, lambda h: bound(moon(h), week))
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (days - 2).cast("int"))
 
 
 def _div(a: Column, b: int) -> Column:
