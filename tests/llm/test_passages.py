@@ -28,3 +28,29 @@ def test_passages_of_lines_that_stand_apart_in_earlier_documents(spark):
             want.add((len(texts) - 1, len(texts) - 2))
     for tasks in (1, 5):
         assert found(spark, texts, tasks) == want
+
+
+def test_passages_near_the_least_similarity(spark):
+    """50 to 60 words, every fifth or sixth of them or as many at random replaced."""
+    rng = random.Random(4)
+    texts, want = [], set()
+    for n in range(50, 61):
+        for step in (5, 6, 0):
+            shared = passage(rng, n).split()
+            texts.append(f"{passage(rng, 40)} {' '.join(shared)} {passage(rng, 40)}")
+            # The ends stay, as a passage begins and ends with equal words.
+            for i in range(step - 1, n - 1, step) if step else rng.sample(range(1, n - 1), n // 5):
+                shared[i] = f"new{i}"
+            texts.append(f"{passage(rng, 30)} {' '.join(shared)} {passage(rng, 30)}")
+            want.add((len(texts) - 1, len(texts) - 2))
+    assert found(spark, texts) == want
+
+
+def test_passages_of_one_word_or_phrase_repeated(spark):
+    rng = random.Random(6)
+    texts, want = [], set()
+    for phrase, copies in (("ha", 60), ("ho hum", 30), ("one two three", 25), ("a b c d e f g", 9)):
+        for _ in range(2):
+            texts.append(f"{passage(rng, 30)} {' '.join([phrase] * copies)} {passage(rng, 30)}")
+        want.add((len(texts) - 1, len(texts) - 2))
+    assert found(spark, texts) == want
