@@ -15,6 +15,10 @@ Neighbouring strings with one seed form a segment of less than 2 x ``LEAST`` byt
    suffixes are preceded by different bytes is a maximal repeat; it is given with all its
    occurrences.
 
+4. A bucket of many different segments (a short line that unique text surrounds) is not sorted in
+   one task: each of its strings of ``LEAST`` bytes goes by its own hash, and all but those of the
+   smallest document are removed, which is the same result.
+
 A byte goes if an occurrence covers it and a document with a smaller doc_id has another.
 """
 
@@ -37,6 +41,8 @@ SEED = 16
 # Segments or bytes that a task holds before it decides what it can: bounds memory.
 HELD = 1 << 20
 BYTES = 1 << 20
+#: Different segments that a bucket may have; the strings of larger ones are dealt by their own hashes.
+SPLIT = 1 << 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -337,25 +343,38 @@ def bucketed(pieces, doc, at, seed, least) -> tuple[tuple, tuple]:
     return removed, left
 
 
-def compared(asked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """(doc, a, b, part): bytes [a, b) to remove from the segments ``asked`` (doc, at, seed)."""
-    lists = asked.groupBy("doc").agg(F.collect_list(F.struct("at", "seed")).alias("wanted"))
+def dealt(asked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(seed, doc, at, piece, a, b, part): the bytes ``piece`` of the segments ``asked`` (doc, at, seed);
+    or, in buckets of more than ``SPLIT`` segments, the place ``a`` of each string under its hash ``seed``;
+    or, with ``b``, bytes [a, b) to remove."""
+    # Seeds are few bits of a hash, so strings and buckets are told apart by what they have, not by the key.
+    large = asked.groupBy("seed").count().where(F.col("count") > SPLIT).select("seed", F.lit(True).alias("large"))
+    asked = asked.join(large, "seed", "left").select("doc", "at", "seed", F.coalesce("large", F.lit(False)).alias("large"))
+    lists = asked.groupBy("doc").agg(F.collect_list(F.struct("at", "seed", "large")).alias("wanted"))
     joined = texts.join(lists, texts.doc_id == lists.doc).select("doc", "text", "wanted")
-    schema = "seed long, doc long, at long, piece binary, a long, b long, part long"
+    names = ["seed", "doc", "at", "piece", "a", "b", "part"]
 
-    def rows(removed, left):
+    def rows(removed, left, large):
         d, a, b, part = removed
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(d), pa.array(d), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary()), pa.array(a), pa.array(b), pa.array(part)],
-            names=["seed", "doc", "at", "piece", "a", "b", "part"],
-        )
-        if left is not None:
-            d, at, seed, piece = left
-            none = pa.nulls(len(d), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seed), pa.array(d), pa.array(at), pa.array(piece, pa.binary()), none, none, none],
-                names=["seed", "doc", "at", "piece", "a", "b", "part"],
-            )
+        none = pa.nulls(len(d), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), none, pa.nulls(len(d), pa.binary()), pa.array(a), pa.array(b), pa.array(part)], names=names)
+        d, at, seed, piece = left
+        split = np.isin(seed, large)
+        whole = [p for p, x in zip(piece, split.tolist(), strict=True) if not x]
+        none = pa.nulls(len(whole), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(seed[~split]), pa.array(d[~split]), pa.array(at[~split]), pa.array(whole, pa.binary()), none, none, none], names=names)
+        if split.any():
+            own = [p for p, x in zip(piece, split.tolist(), strict=True) if x]
+            size = np.array([len(p) for p in own], np.int64)
+            o = np.repeat(np.arange(len(own)), size - least + 1)
+            i = np.arange(len(o)) - np.repeat(np.cumsum(size - least + 1) - (size - least + 1), size - least + 1)
+            h = stir(strings(np.frombuffer(b"".join(own), np.uint8), least)[(np.cumsum(size) - size)[o] + i]).view(np.int64)
+            first, _, part = unpack(at[split])
+            d = d[split]
+            for k in range(0, len(o), 1 << 17):
+                c = slice(k, k + (1 << 17))
+                none = pa.nulls(len(o[c]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(h[c]), pa.array(d[o[c]]), none, pa.nulls(len(o[c]), pa.binary()), pa.array(first[o[c]] + i[c]), none, pa.array(part[o[c]])], names=names)
 
     def fetch(batches):
         held, size = [], 0
@@ -366,27 +385,49 @@ def compared(asked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 for w in wanted:
                     a, n, part = w["at"] >> 24, (w["at"] >> 16) & 255, w["at"] & 65535
                     if part == own:
-                        held.append((data[a : a + n], doc, w["at"], w["seed"]))
+                        held.append((data[a : a + n], doc, w["at"], w["seed"], w["large"]))
                         size += n
                 if size >= BYTES:
-                    yield from rows(*bucketed(*columns(held), least))
+                    yield from reduced(held)
                     held, size = [], 0
         if held:
-            yield from rows(*bucketed(*columns(held), least))
+            yield from reduced(held)
+
+    def reduced(held):
+        large = list({x[3] for x in held if x[4]})
+        yield from rows(*bucketed(*columns([x[:4] for x in held]), least), large)
 
-    def columns(held):
-        p, d, at, s = zip(*held, strict=True)
-        return list(p), np.array(d, np.int64), np.array(at, np.int64), np.array(s, np.int64)
+    return joined.mapInArrow(fetch, "seed long, doc long, at long, piece binary, a long, b long, part long")
+
+
+def columns(held):
+    p, d, at, s = zip(*held, strict=True)
+    return list(p), np.array(d, np.int64), np.array(at, np.int64), np.array(s, np.int64)
+
+
+def compared(asked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(doc, a, b, part): bytes [a, b) to remove from the segments ``asked`` (doc, at, seed)."""
 
     def scan(batches):
         held, size, last = [], 0, None
+        string = low = None  # the last string and its smallest document
         for batch in batches:
-            done = np.flatnonzero(batch.column(3).is_null().to_numpy(zero_copy_only=False))
+            whole = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            ranged = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            done = np.flatnonzero(ranged)
             if len(done):
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(done)) for k in (1, 4, 5, 6)], names=["doc", "a", "b", "part"])
-            for seed, doc, at, piece in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                if piece is None:
-                    continue
+            alone = np.flatnonzero(~whole & ~ranged)
+            if len(alone):
+                h, d, a, part = (batch.column(k).take(pa.array(alone)).to_numpy() for k in (0, 1, 4, 6))
+                new = np.append(h[0] != string, h[1:] != h[:-1])
+                k = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+                least_doc = np.where(k >= 0, d[np.maximum(k, 0)], 0 if low is None else low)
+                string, low = h[-1], least_doc[-1]
+                m = d > least_doc
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[m], a[m], a[m] + least, part[m])], names=["doc", "a", "b", "part"])
+            bucket = batch.filter(pa.array(whole))
+            for seed, doc, at, piece in zip(*[bucket.column(k).to_pylist() for k in range(4)], strict=True):
                 if size >= BYTES and seed != last:
                     yield final(held)
                     held, size = [], 0
@@ -400,7 +441,7 @@ def compared(asked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
         d, a, b, part = bucketed(*columns(held), least)[0]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (d, a, b, part)], names=["doc", "a", "b", "part"])
 
-    pieces = joined.mapInArrow(fetch, schema).repartition("seed").sortWithinPartitions("seed")
+    pieces = dealt(asked, texts, least).repartition("seed").sortWithinPartitions("seed", "doc")
     return pieces.mapInArrow(scan, "doc long, a long, b long, part long")
 
 

@@ -2,9 +2,10 @@
 
 import random
 
-from test_texts import passage
+from pyspark.sql import functions as F
+from test_texts import digest, passage, removal
 
-from barwright.llm import substring
+from barwright.llm import substring, suffix
 
 
 def found(spark, texts, tasks=3):
@@ -54,3 +55,21 @@ def test_passages_of_one_word_or_phrase_repeated(spark):
             texts.append(f"{passage(rng, 30)} {' '.join([phrase] * copies)} {passage(rng, 30)}")
         want.add((len(texts) - 1, len(texts) - 2))
     assert found(spark, texts) == want
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """A short line in every document, with text of its own around it in most and shared in some."""
+    monkeypatch.setattr(suffix, "SPLIT", 20)
+    rng = random.Random(8)
+    texts = [f"{passage(rng, 12)} All rights reserved by us. {passage(rng, 12)}" for _ in range(150)]
+    texts += [texts[i][len(texts[i]) // 2 - 45 :] + passage(rng, 5) for i in range(0, 150, 3)]
+    texts += [passage(rng, 5) + texts[i][: len(texts[i]) // 2 + 45] for i in range(1, 150, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = removal([(i, t.encode()) for i, t in enumerate(texts)], 50)
+    for tasks in (1, 7):
+        assert digest(suffix.without_repeats(docs.repartition(tasks)).collect()) == want
+    asked = suffix.decided(suffix.marked(docs, 50, suffix.SEED)).where("seed is not null")
+    assert asked.groupBy("seed").count().agg(F.max("count")).first()[0] > 20
+    pieces = suffix.dealt(asked, docs, 50).where("b is null")
+    assert pieces.where("piece is not null").groupBy("seed").count().agg(F.max("count")).first()[0] <= 20
+    assert pieces.where("piece is null").groupBy("seed").count().agg(F.max("count")).first()[0] <= 20
