@@ -36,10 +36,12 @@ COVER = 50
 #: Bits of a level's bitmap, as a power of two.
 BITS = 26
 #: Bytes of the keys of one trie.
-TRIE_BYTES = 2 << 20
+TRIE_BYTES = 8 << 20
 BLOCK = 1 << 20
 #: Distinct hashes that a task holds before it hands them on.
 HELD = 1 << 21
+#: Rows of one batch that a task hands on.
+ROWS = 1 << 16
 #: Parts of a language that are ranked by themselves before the rest is ranked together.
 PARTS = 64
 
@@ -81,26 +83,47 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of one block: bytes in lower case, where words start and end, which are joined.
+    """The words of one block in lower case, each followed by one space, with their starts and ends.
 
-    ``next_`` tells how many words follow within the piece, two at most. Only the first
+    ``follow`` tells how many words follow within the piece, two at most. Only the first
     ``count`` words begin phrases here; the two behind them belong to the next block.
     """
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, follow: np.ndarray, count: int):
-        self.data, self.start, self.end, self.follow, self.count = data, start, end, follow, count
+    def __init__(self, data: np.ndarray, size: np.ndarray, follow: np.ndarray, count: int):
+        self.data, self.follow, self.count = data, follow, count
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+        self.data[self.end] = 32
 
     def hashes(self, seed: int) -> np.ndarray:
         """A 64-bit hash of each word; ``seed`` stands for the language."""
-        low, high = int(self.start[0]), int(self.end[-1])
-        power, inverse = _powers(high - low)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
+        power, inverse = _powers(len(self.data))
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
         # The inverse takes away how far into the block a word stands.
-        h = (sums[self.end - low] - sums[self.start - low]) * inverse[self.start - low]
+        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
         return _mixed(h ^ np.uint64(seed)) + (self.end - self.start).astype(np.uint64)
 
 
+    def phrases(self, at: np.ndarray, level: int, h: np.ndarray, lang: str) -> pa.RecordBatch:
+        """(h, lang, phrase, words) of the phrases of ``level`` words that begin at the words ``at``."""
+        size = self.end[at + level - 1] - self.start[at]
+        offsets = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(size, out=offsets[1:])
+        text = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(_spans(self.data, self.start[at], size)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), pa.repeat(pa.scalar(lang, pa.string()), len(at)), text, pa.repeat(pa.scalar(level, pa.int32()), len(at))],
+            names=["h", "lang", "phrase", "words"],
+        )
+
+
+def _spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one behind the other; what lies behind the data is its last byte."""
+    total = int(size.sum())
+    at = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+    return data[np.minimum(at, len(data) - 1, out=at)]
+
+
 def blocks(text: np.ndarray, size: int = BLOCK) -> Iterator[Words]:
     """The words of a text given as bytes, a block at a time."""
     kind, low = _tables()
@@ -121,28 +144,42 @@ def blocks(text: np.ndarray, size: int = BLOCK) -> Iterator[Words]:
         piece = text[at:far]
         k = kind[piece]
         word = k == 0
-        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(start):
-            breaks = np.cumsum(k == 2)
-            group = breaks[start]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.concatenate([[0], edge])
+        if word[-1]:
+            edge = np.concatenate([edge, [len(piece)]])
+        start, end = edge[::2], edge[1::2]
+        count = int(np.searchsorted(start, cut - at))
+        if count:
+            # The strongest kind of byte between a word and the next one.
+            gap = np.maximum.reduceat(k[: end[-1]], end[:-1]) if len(end) > 1 else k[:0]
+            joined = gap < 2
             follow = np.zeros(len(start), np.int8)
-            follow[:-1] += group[1:] == group[:-1]
-            follow[:-2] += group[2:] == group[:-2]
-            count = int(np.searchsorted(start, cut - at))
-            if count:
-                yield Words(low[piece], start, end, follow, count)
+            follow[:-1] += joined
+            follow[:-2] += joined[:-1] & joined[1:]
+            # Each word keeps one byte behind it, which becomes a space.
+            keep = word.copy()
+            keep[1:] |= word[:-1]
+            data = low[piece[keep]]
+            if word[-1]:
+                data = np.append(data, np.uint8(32))
+            yield Words(data, end - start, follow, count)
         at = cut
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    """(language, all texts of it in the batch as bytes), texts parted by the end of a piece."""
-    langs, texts = batch.column(0), batch.column(1)
-    by: dict[str, list[bytes]] = {}
-    for lang, text in zip(langs.to_pylist(), texts.cast(pa.binary()), strict=True):
+    """(language, several texts of it as bytes), texts parted by the end of a piece; about ``BLOCK`` bytes, or one text."""
+    by: dict[str, list] = {}
+    held: dict[str, int] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
         view = text.as_buffer()
         if view is not None and view.size:
             by.setdefault(lang, []).append(view)
+            held[lang] = held.get(lang, 0) + view.size
+            if held[lang] >= BLOCK:
+                yield lang, np.frombuffer(b"\n".join(by.pop(lang)), np.uint8)
+                held[lang] = 0
     for lang, views in by.items():
         yield lang, np.frombuffer(b"\n".join(views), np.uint8)
 
@@ -154,26 +191,23 @@ def _seed(lang: str) -> int:
     return h
 
 
-def levels(words: Words, seed: int, level: int, bitmaps: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the phrases of ``level`` words, one for each word; 0 where there is no candidate.
+def levels(words: Words, seed: int, bitmaps: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Level by level, hashes of the phrases that begin at each word; 0 where there is no candidate.
 
-    ``bitmaps`` are those of the levels below: both parts of a phrase must be in them.
+    ``bitmaps`` are those of the levels below: both shorter parts of a phrase must be in them.
     """
     one = words.hashes(seed)
     one[one == 0] = 1
     found = one
-    for k in range(2, level + 1):
-        ok = np.zeros(len(one), bool)
-        if len(one) >= k:
-            ok[: 1 - k] = words.follow[: 1 - k] >= k - 1
-        if k - 2 < len(bitmaps):
-            alive = within(bitmaps[k - 2], found)
-            ok &= alive
-            ok[:-1] &= alive[1:]
+    yield found
+    for k, below in enumerate(bitmaps, 2):
         deeper = np.zeros(len(one), np.uint64)
-        deeper[: 1 - k] = _mixed(found[: 1 - k] * np.uint64(0xD6E8FEB86659FD93) + one[k - 1 :]) | np.uint64(1)
-        found = np.where(ok, deeper, np.uint64(0))
-    return found
+        if len(one) >= k:
+            alive = within(below, found)
+            ok = np.flatnonzero((words.follow[: 1 - k] >= k - 1) & alive[: 1 - k] & alive[1 : len(one) + 2 - k])
+            deeper[ok] = _mixed(found[ok] * np.uint64(0xD6E8FEB86659FD93) + one[ok + (k - 1)]) | np.uint64(1)
+        found = deeper
+        yield found
 
 
 def within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -181,10 +215,6 @@ def within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (h != 0)
 
 
-def _pairs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
-
-
 def hashed(docs: DataFrame, level: int, bitmaps) -> DataFrame:
     """(h, n): hashes of the phrases of ``level`` words with the occurrences that a task has seen."""
 
@@ -192,30 +222,39 @@ def hashed(docs: DataFrame, level: int, bitmaps) -> DataFrame:
         maps = [b.value for b in bitmaps]
         held, size = [], 0
 
-        def flush():
+        def together():
             keys = np.concatenate([k for k, _ in held])
             counts = np.concatenate([c for _, c in held])
-            keys, place = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(place, counts).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            return keys[first], np.add.reduceat(counts, first)
+
+        def out(keys, counts):
+            for i in range(0, len(keys), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + ROWS].view(np.int64)), pa.array(counts[i : i + ROWS])], names=["h", "n"])
 
         for batch in batches:
             for lang, text in _texts(batch):
                 seed = _seed(lang)
                 for words in blocks(text):
-                    h = levels(words, seed, level, maps)[: words.count]
+                    *_, h = levels(words, seed, maps)
+                    h = h[: words.count]
                     keys, counts = np.unique(h[h != 0], return_counts=True)
-                    held.append((keys, counts))
-                    size += len(keys)
+                    if len(keys):
+                        held.append((keys, counts))
+                        size += len(keys)
                     if size > HELD:
-                        held = [flush()]
+                        held = [together()]
                         size = len(held[0][0])
                         if size > HELD // 2:
-                            yield _pairs(*held[0])
+                            yield from out(*held[0])
                             held, size = [], 0
         if held:
-            yield _pairs(*flush())
+            yield from out(*together())
 
-    return docs.mapInArrow(work, "h long, n long")
+    # Tasks have combined what they can, so that another sum before the shuffle would find nothing.
+    return docs.mapInArrow(work, "h long, n long").repartition("h")
 
 
 def bitmap(heavy: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -228,79 +267,93 @@ def bitmap(heavy: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS) -> DataFrame:
-    """(lang, phrase, words): every phrase that may occur ``least`` times, and by hash collisions a few others."""
-    spark = docs.sparkSession
-    bitmaps, heavy = [], []
+def sieved(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS):
+    """(heavy, bitmaps): hashes (h, words) that occur ``least`` times or more, and a broadcast bitmap for each level."""
+    bitmaps, heavy = [], None
     for level in range(1, longest + 1):
         sums = hashed(docs, level, bitmaps).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        heavy.append(stored(sums.select("h", F.lit(level).alias("words")), f"heavy-{level}"))
-        bitmaps = [*bitmaps, spark.sparkContext.broadcast(bitmap(heavy[-1], bits))]
+        sums = stored(sums.select("h", F.lit(level).alias("words")), f"heavy-{level}")
+        heavy = sums if heavy is None else heavy.unionAll(sums)
+        bitmaps = [*bitmaps, docs.sparkSession.sparkContext.broadcast(bitmap(sums, bits))]
+    return heavy, bitmaps
+
+
+def _places(words: Words, seed: int, maps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, places, hashes) of the candidates that begin in the block."""
+    for level, (h, own) in enumerate(zip(levels(words, seed, maps[:-1]), maps, strict=True), 1):
+        at = np.flatnonzero(within(own, h[: words.count]))
+        yield level, at, h[at]
+
+
+def candidates(docs: DataFrame, heavy: DataFrame, bitmaps) -> DataFrame:
+    """(h, twin, lang, phrase, words): the phrases behind the hashes ``heavy``.
+
+    By collisions of hashes a few others may be among them; ``twin`` numbers those of one hash.
+    """
 
     def work(batches):
         maps = [b.value for b in bitmaps]
-        seen: dict[int, set] = {}
-        size = 0
+        known = np.zeros(0, np.uint64)
+        rows, size = [], 0
+
+        def out():
+            yield from pa.Table.from_batches(rows).combine_chunks().to_batches(max_chunksize=ROWS)
+
         for batch in batches:
-            langs, names, hs, levels_ = [], [], [], []
             for lang, text in _texts(batch):
                 seed = _seed(lang)
-                known = seen.setdefault(seed, set())
                 for words in blocks(text):
-                    raw = words.data.tobytes()
-                    for level in range(1, len(maps) + 1):
-                        h = levels(words, seed, level, maps[: level - 1])[: words.count]
-                        h = np.where(within(maps[level - 1], h), h, np.uint64(0))
-                        keys, first = np.unique(h, return_index=True)
-                        for key, i in zip(keys.tolist(), first.tolist(), strict=True):
-                            if key and key not in known:
-                                known.add(key)
-                                size += 1
-                                langs.append(lang)
-                                hs.append(key)
-                                levels_.append(level)
-                                names.append(b" ".join(raw[words.start[j] : words.end[j]] for j in range(i, i + level)).decode())
-            # What was handed on may be handed on again: it is made distinct behind the shuffle.
-            if size > HELD:
-                seen, size = {}, 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(levels_, pa.int32()), pa.array(np.array(hs, np.uint64).view(np.int64))],
-                names=["lang", "phrase", "words", "h"],
-            )
-
-    found = docs.mapInArrow(work, "lang string, phrase string, words int, h long")
-    every = heavy[0]
-    for more in heavy[1:]:
-        every = every.unionAll(more)
+                    for level, at, h in _places(words, seed, maps):
+                        # A phrase of another length with the same hash is another candidate.
+                        keys, first = np.unique(h ^ np.uint64(level), return_index=True)
+                        place = np.searchsorted(known, keys)
+                        new = np.ones(len(keys), bool)
+                        new[place < len(known)] = known[place[place < len(known)]] != keys[place < len(known)]
+                        known = np.sort(np.concatenate([known, keys[new]]), kind="stable")
+                        at = at[first[new]]
+                        if len(at):
+                            rows.append(words.phrases(at, level, h[first[new]], lang))
+                            size += len(at)
+                    if size > ROWS:
+                        yield from out()
+                        rows, size = [], 0
+                    # What was handed on may be handed on again: it is made distinct behind the shuffle.
+                    if len(known) > HELD:
+                        known = np.zeros(0, np.uint64)
+        if rows:
+            yield from out()
+
+    found = docs.mapInArrow(work, "h long, lang string, phrase string, words int").repartition("h")
     # Bits may be shared; hashes of 64 bits leave next to nothing that is not wanted.
-    found = found.join(every, ["h", "words"], "left_semi")
-    return stored(found.select("lang", "phrase", "words").distinct(), "candidates")
+    found = found.distinct().join(heavy.select("h"), "h", "left_semi")
+    twin = F.row_number().over(Window.partitionBy("h").orderBy("lang", "phrase"))
+    return stored(found.select("h", twin.alias("twin"), "lang", "phrase", "words"), "candidates")
 
 
-def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(base, check, accept, at): the trie of ``keys`` as a double array, and each key's state.
+def double_array(flat: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(base, check, accept, at): the trie of distinct keys as a double array, and each key's state.
 
-    From state s a byte b leads to base[s] + b if check says s there. accept has the number of
-    the key that ends in a state, else -1. The root is state 0.
+    Key i is ``flat[offset[i]:offset[i + 1]]``. From state s a byte b leads to base[s] + b if
+    check says s there. accept has the number of the key that ends in a state, else -1. The
+    root is state 0.
     """
-    flat = np.frombuffer(b"".join(keys), np.uint8)
-    size = np.array([len(k) for k in keys], np.int64)
-    offset = np.cumsum(size) - size
+    size = np.diff(offset)
+    keys = len(size)
     # Nodes level by level: a node is a distinct (parent, byte).
-    node = np.zeros(len(keys), np.int64)
+    node = np.zeros(keys, np.int64)
     parents, bytes_, count, depth = [], [], 1, 0
     alive = np.flatnonzero(size > 0)
     while len(alive):
         code = node[alive] * 256 + flat[offset[alive] + depth]
         fresh, place = np.unique(code, return_inverse=True)
-        parents.append(fresh // 256)
-        bytes_.append(fresh % 256)
+        parents.append((fresh // 256).astype(np.int32))
+        bytes_.append((fresh % 256).astype(np.uint8))
         node[alive] = count + place
         count += len(fresh)
         depth += 1
         alive = alive[size[alive] > depth]
-    parent = np.concatenate([np.zeros(0, np.int64), *parents])
-    byte = np.concatenate([np.zeros(0, np.int64), *bytes_])
+    parent = np.concatenate([np.zeros(0, np.int32), *parents])
+    byte = np.concatenate([np.zeros(0, np.uint8), *bytes_])
     # Children of a node stand together, as codes were sorted. Nodes with many children take
     # their places first; each round all that are left try a place, and those without a clash keep it.
     first = np.flatnonzero(np.diff(parent, prepend=-1))
@@ -309,8 +362,8 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     room = 2 * count + 512
     taken = np.zeros(room, bool)
     taken[0] = True
-    base = np.zeros(count, np.int64)
-    slot = np.zeros(count, np.int64)
+    base = np.zeros(count, np.int32)
+    slot = np.zeros(count, np.int32)
     rng = np.random.default_rng(7)
     todo = np.argsort(-kids, kind="stable")
     while len(todo):
@@ -341,37 +394,26 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     accept = np.full(room, -1, np.int32)
     bases[slot] = base
     check[slot[1:]] = slot[parent]
-    accept[slot[node]] = np.arange(len(keys))
+    accept[slot[node]] = np.arange(keys)
     return bases, check, accept, slot[node]
 
 
-def advance(words: Words, root: int, trie, longest: int) -> np.ndarray:
-    """Numbers of the keys that are met: one for each phrase that begins in the block and is accepted."""
-    base, check, accept = trie
-    pos = words.start[: words.count].copy()
-    state = np.full(words.count, root, np.int32)
-    word = np.arange(words.count)
-    first = word.copy()
+def advance(words: Words, first: np.ndarray, level: int, root: int, trie) -> np.ndarray:
+    """Numbers of the keys of ``level`` words that the trie accepts at the words ``first``."""
+    base, check, accept = trie[:3]
+    pos, stop = words.start[first], words.end[first + level - 1]
+    state = np.full(len(first), root, np.int32)
     met = []
     while len(pos):
         to = base[state] + words.data[pos]
+        pos = pos + 1
+        done = pos == stop
         ok = check[to] == state
-        state, pos, word, first = to[ok], pos[ok] + 1, word[ok], first[ok]
-        done = pos == words.end[word]
-        if done.any():
-            hit = accept[state[done]]
-            met.append(hit[hit >= 0])
-            # Over the gap into the next word of the piece, if there is one.
-            on = done & (words.follow[first] > word - first) & (word - first < longest - 1)
-            to = base[state[on]] + 32
-            ok = check[to] == state[on]
-            stay = ~done
-            word_on = word[on][ok] + 1
-            state = np.concatenate([state[stay], to[ok]])
-            pos = np.concatenate([pos[stay], words.start[word_on]])
-            first = np.concatenate([first[stay], first[on][ok]])
-            word = np.concatenate([word[stay], word_on])
-    return np.concatenate([np.zeros(0, np.int32), *met])
+        met.append(accept[to[done & ok]])
+        ok &= ~done
+        state, pos, stop = to[ok], pos[ok], stop[ok]
+    met = np.concatenate([np.zeros(0, np.int32), *met])
+    return met[met >= 0]
 
 
 def _walk(trie, key: bytes) -> int:
@@ -385,44 +427,48 @@ def _walk(trie, key: bytes) -> int:
     return state
 
 
-def counted(docs: DataFrame, found: DataFrame, longest: int = LONGEST, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """``found`` (lang, phrase, words) with f, the exact occurrences in all texts."""
+def counted(docs: DataFrame, found: DataFrame, bitmaps, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """``found`` (see :func:`candidates`) with f, the exact occurrences in all texts."""
     spark = docs.sparkSession
     size = F.octet_length("lang") + F.octet_length("phrase") + 1
     total = found.agg(F.sum(size.cast("long"))).first()[0] or 0
-    shards = -(-total // trie_bytes) or 1
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
-    sums = []
-    for shard in range(shards):
-        # One trie's keys, about ``trie_bytes`` of them, whatever the corpus.
-        part = dealt.where(F.col("shard") == shard).select("lang", "phrase").toArrow()
-        langs, phrases = part.column("lang").to_pylist(), part.column("phrase").to_pylist()
+    tries = -(-total // trie_bytes) or 1
+    every = None
+    for number in range(tries):
+        # The keys of one trie, about ``trie_bytes`` of them, whatever the corpus.
         # A phrase has no line end, so the last one in a key ends the language.
-        arrays = double_array([f"{a}\n{b}".encode() for a, b in zip(langs, phrases, strict=True)])[:3]
-        shared = spark.sparkContext.broadcast((arrays, langs, phrases))
-
-        def work(batches, shared=shared):
-            trie, langs, phrases = shared.value
-            counts = np.zeros(len(phrases), np.int64)
+        key = F.concat("lang", F.lit("\n"), "phrase").alias("key")
+        part = found.where(F.pmod("h", F.lit(tries)) == number).select("h", "twin", key).toArrow()
+        part = part.combine_chunks()
+        key = part.column("key").cast(pa.large_binary()).combine_chunks()
+        _, offset, flat = key.buffers() if len(key) else (None, None, None)
+        offset = np.frombuffer(offset, np.int64, len(key) + 1, 8 * key.offset) if len(key) else np.zeros(1, np.int64)
+        arrays = double_array(np.frombuffer(flat, np.uint8) if flat else np.zeros(0, np.uint8), offset)[:3]
+        shared = spark.sparkContext.broadcast((*arrays, part.column("h").to_numpy(), part.column("twin").to_numpy()))
+        del part, key, offset, flat, arrays
+
+        def work(batches, shared=shared, number=number):
+            maps = [b.value for b in bitmaps]
+            trie = shared.value
+            counts = np.zeros(len(trie[3]), np.int64)
             for batch in batches:
                 for lang, text in _texts(batch):
-                    root = _walk(trie, f"{lang}\n".encode())
+                    root, seed = _walk(trie, f"{lang}\n".encode()), _seed(lang)
                     if root >= 0:
                         for words in blocks(text):
-                            counts += np.bincount(advance(words, root, trie, longest), minlength=len(phrases))
-            for i in range(0, len(counts), 1 << 14):
-                at = np.flatnonzero(counts[i : i + (1 << 14)]) + i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[k] for k in at], pa.string()), pa.array([phrases[k] for k in at], pa.string()), pa.array(counts[at])], names=["lang", "phrase", "f"]
-                )
-
-        each = docs.mapInArrow(work, "lang string, phrase string, f long")
-        sums.append(stored(each.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), f"counts-{shard}"))
+                            for level, at, h in _places(words, seed, maps):
+                                here = at if tries == 1 else at[h.view(np.int64) % tries == number]
+                                counts += np.bincount(advance(words, here, level, root, trie), minlength=len(counts))
+            at = np.flatnonzero(counts)
+            for i in range(0, len(at), 1 << 16):
+                k = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(trie[3][k]), pa.array(trie[4][k]), pa.array(counts[k])], names=["h", "twin", "f"])
+
+        each = docs.mapInArrow(work, "h long, twin int, f long").groupBy("h", "twin").agg(F.sum("f").alias("f"))
+        each = stored(each, f"counts-{number}")
         shared.unpersist()
-    every = sums[0]
-    for more in sums[1:]:
-        every = every.unionAll(more)
-    return every.withColumn("words", F.size(F.split("phrase", " ")))
+        every = each if every is None else every.unionAll(each)
+    return found.join(every, ["h", "twin"]).select("lang", "phrase", "words", "f")
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
@@ -483,8 +529,8 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
     occurs ``least`` times, gives no rows. Very long texts are read whole. Other columns are ignored.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(rows, least)
-    counts = stored(counted(rows, found), "counts")
+    heavy, bitmaps = sieved(rows, least)
+    counts = stored(counted(rows, candidates(rows, heavy, bitmaps), bitmaps), "counts")
     phrases = stored(scored(counts, word_totals(rows), least), "scored")
     return first_of_each(without_covered(phrases), first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

@@ -60,8 +60,8 @@ def test_equals_counts_by_hand_with_all_bounds_small(spark, monkeypatch):
     monkeypatch.setattr(co, "BLOCK", 16)
     monkeypatch.setattr(co, "HELD", 8)
     docs = frame(spark, rows).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition(4)
-    found = co.candidates(docs, 4, bits=6)
-    counts = co.counted(docs, found, trie_bytes=400)
+    heavy, bitmaps = co.sieved(docs, 4, bits=6)
+    counts = co.counted(docs, co.candidates(docs, heavy, bitmaps), bitmaps, trie_bytes=1000)
     phrases = co.scored(counts, co.word_totals(docs), 4)
     got = co.first_of_each(co.without_covered(phrases)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert {tuple(r) for r in got.collect()} == by_hand(rows, 4)
@@ -89,7 +89,7 @@ def test_double_array_accepts_its_keys_only():
     rng = random.Random(8)
     for n in (0, 1, 2, 40, 3000):
         keys = list({bytes(rng.choice(b"abc\x00\xff ") for _ in range(rng.randint(1, 9))) for _ in range(n)})
-        base, check, accept, at = co.double_array(keys)
+        base, check, accept, at = co.double_array(np.frombuffer(b"".join(keys), np.uint8), np.cumsum([0, *map(len, keys)]))
         for i, k in enumerate(keys):
             assert co._walk((base, check), k) == at[i] and accept[at[i]] == i
         for _ in range(300):
