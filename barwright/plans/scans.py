@@ -8,7 +8,8 @@ from barwright.operators import calendar as cal
 from barwright.plans.registry import query
 from barwright.plans.sqltext import BARS, BARS_AND_INDEX, FEED, INDEX_BARS, SPLITS, STOCKS, YIELDS
 from barwright.schema import INDEX_SYMBOLS, TENORS
-from barwright.sources import panel, readers
+from barwright.session import run_folder
+from barwright.sources import loaders, panel, readers
 
 _B = "symbol, date, open, high, low, close, volume"
 
@@ -256,3 +257,35 @@ def common_market_days(spark, sf):
 
     market = readers.market_series(panel.index_bars(spark, sf), panel.yields(spark, sf))
     return panel.bars(spark, sf).join(complete_dates(market, 8), "date").select("symbol", "date", "close")
+
+
+# --- registered loaders ------------------------------------------------------------
+
+_YEAR = "date BETWEEN DATE '1996-02-01' AND DATE '1997-01-31'"
+
+
+def _landed(spark, sf):
+    """Folder of each loader, with provider files written from the given tables."""
+    tables = {"stock": panel.bars(spark, sf), "index": panel.index_bars(spark, sf), "treasury": panel.yields(spark, sf)}
+    folders = {name: run_folder(spark, f"landed-{name}") for name in tables}
+    for name, df in tables.items():
+        loaders.land(name, df, folders[name])
+    return folders
+
+
+@query(
+    "registered_loader",
+    f"""WITH {BARS_AND_INDEX} SELECT 'stock' AS loader, symbol, date, open, high, low, close, volume FROM bars WHERE {_YEAR}
+    UNION ALL SELECT 'index', symbol, date, open, high, low, close, volume FROM index_bars WHERE {_YEAR} AND symbol = 'SPX'""",
+)
+def registered_loader(spark, sf):
+    """Landed CSV and JSON read back through the registered loaders, range and symbol pushed to the source."""
+    folders = _landed(spark, sf)
+    stock = loaders.load(spark, "stock", folders["stock"], "1996-02-01", "1997-01-31")
+    index = loaders.load(spark, "index", folders["index"], "1996-02-01", "1997-01-31", "SPX")
+    return stock.select(F.lit("stock").alias("loader"), "*").unionByName(index.select(F.lit("index").alias("loader"), "*"))
+
+
+@query("registered_treasury_loader", f"WITH {YIELDS} SELECT * FROM yields")
+def registered_treasury_loader(spark, sf):
+    return loaders.load(spark, "treasury", _landed(spark, sf)["treasury"])
