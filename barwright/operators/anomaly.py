@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barwright.functions.series import log_return, rolling, simple_return, whole
 from barwright.operators import calendar as cal
 from barwright.operators.alignment import interpolate, reindex
+from barwright.operators.solver import bound
 
 # Thresholds and model parameters.
 Z_LIMIT, MODIFIED_LIMIT = 3.0, 3.5
@@ -91,6 +92,73 @@ def density_noise(feats: DataFrame, eps: float = EPS, min_points: int = MIN_POIN
     return out.select("symbol", "date", (~F.col("dense") & (F.coalesce("near", F.lit(0)) == 0)).alias("dbscan_anomaly"))
 
 
+# Fixed value: pairs of axes of one sweep of rotations; a symmetric matrix of three is diagonal long before ten sweeps.
+ROTATIONS = [(0, 1), (0, 2), (1, 2)] * 10
+
+
+def _times(a: Column, b: Column, flip: bool = False) -> Column:
+    """Product of two matrices of three, as arrays of nine; ``flip`` takes the first one's transpose."""
+    at = lambda i, k: F.get(a, F.lit(3 * k + i if flip else 3 * i + k))
+    return F.array(*[sum((at(i, k) * F.get(b, F.lit(3 * k + j)) for k in range(1, 3)), at(i, 0) * F.get(b, F.lit(j))) for i in range(3) for j in range(3)])
+
+
+def principal_axes(matrix: Column) -> Column:
+    """array<struct<value, axis>> of a symmetric matrix of three (an array of nine), largest value first.
+
+    Jacobi's rotations, a fixed number of them. The largest loading of an axis is positive.
+    """
+    one = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+
+    def rotated(state: Column, pair: Column) -> Column:
+        def turn(angle: Column) -> Column:
+            tan = F.when(angle.off == 0, 0.0).otherwise(F.try_divide(F.when(angle.tau >= 0, 1.0).otherwise(-1.0), F.abs(angle.tau) + F.sqrt(1 + angle.tau * angle.tau)))
+            return bound(F.coalesce(tan, F.lit(0.0)), lambda t: bound(1 / F.sqrt(1 + t * t), lambda c: plane(c, t * c)))
+
+        def plane(c: Column, s: Column) -> Column:
+            cell = lambda i, j: F.when((pair.p == i) & (pair.p == j) | (pair.q == i) & (pair.q == j), c).when(
+                (pair.p == i) & (pair.q == j), s).when((pair.q == i) & (pair.p == j), -s).otherwise(1.0 if i == j else 0.0)
+            return F.array(*[cell(i, j) for i in range(3) for j in range(3)])
+
+        def applied(r: Column) -> Column:
+            return F.struct(bound(_times(r, state.m, True), lambda x: _times(x, r)).alias("m"), _times(state.v, r).alias("v"))
+
+        off = F.get(state.m, 3 * pair.p + pair.q)
+        tau = F.coalesce(F.try_divide(F.get(state.m, 4 * pair.q) - F.get(state.m, 4 * pair.p), 2 * off), F.lit(0.0))
+        return bound(bound(F.struct(off.alias("off"), tau.alias("tau")), turn), applied)
+
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in ROTATIONS])
+
+    def ordered(s: Column) -> Column:
+        axes = F.array(*[F.struct(F.get(s.m, F.lit(4 * i)).alias("value"), F.array(*[F.get(s.v, F.lit(3 * k + i)) for k in range(3)]).alias("axis")) for i in range(3)])
+        most = lambda a: F.array_max(F.transform(a, lambda x: F.abs(x)))
+        sign = lambda a: F.when(F.get(F.filter(a, lambda x: F.abs(x) == most(a)), F.lit(0)) < 0, -1.0).otherwise(1.0)
+        return F.transform(F.reverse(F.array_sort(axes)), lambda x: F.struct(x.value.alias("value"), F.transform(x.axis, lambda y: y * sign(x.axis)).alias("axis")))
+
+    return bound(F.aggregate(pairs, F.struct(matrix.alias("m"), one.alias("v")), rotated), ordered)
+
+
+def projected(feats: DataFrame) -> DataFrame:
+    """(symbol, date, pca_1, pca_2): the features of each series on their two main axes.
+
+    Features are standardised first, so the axes are those of the correlations: one aggregate
+    a series. A feature that does not vary is zero everywhere.
+    """
+    pairs = [(a, b) for a in range(3) for b in range(3)]
+    corr = lambda a, b: F.lit(1.0) if a == b else F.coalesce(F.corr(FEATURES[min(a, b)], FEATURES[max(a, b)]), F.lit(0.0))
+    moments = [f(c).alias(f"{k}_{c}") for c in FEATURES for k, f in (("mean", F.avg), ("spread", F.stddev_pop))]
+    axes = feats.groupBy("symbol").agg(*moments, F.array(*[corr(a, b) for a, b in pairs]).alias("matrix"))
+    axes = axes.withColumn("axes", principal_axes(F.col("matrix"))).select("*", F.col("axes")[0]["axis"].alias("first"), F.col("axes")[1]["axis"].alias("second"))
+    df = feats.join(axes, "symbol")
+    z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"spread_{c}")), F.lit(0.0)) for c in FEATURES]
+    on = lambda axis: sum((z[i] * F.get(axis, F.lit(i)) for i in range(1, 3)), z[0] * F.get(axis, F.lit(0)))
+    return df.select("symbol", "date", on("first").alias("pca_1"), on("second").alias("pca_2"))
+
+
+def clustering_table(feats: DataFrame) -> DataFrame:
+    """Both axes of every point with the flag of density clustering."""
+    return projected(feats).join(density_noise(feats), ["symbol", "date"])
+
+
 def regular_closes(bars: DataFrame) -> DataFrame:
     """Closes on every trading day between the first and last bar, gaps blended by time."""
     closes = bars.select("symbol", "date", "close").filter("close IS NOT NULL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -196,6 +197,32 @@ def hurst(bars: DataFrame) -> DataFrame:
     return mean.groupBy("symbol").agg(F.regr_slope(F.log10("rs"), F.log10("size")).alias("hurst"))
 
 
+def rolling_hurst(bars: DataFrame, window: int = HURST_WINDOW, sizes=tuple(HURST_SIZES)) -> DataFrame:
+    """Hurst exponent of the ``window`` closes before each row, as in :func:`hurst`.
+
+    The rescaled range of each chunk is a frame of the chunk's size at its last row; the chunks
+    of a window are then fixed lags of those columns, and the slope is a closed form, as the
+    sizes never change. Windows of constant closes are left out; the exponent is NULL where a
+    size has no chunk that moves.
+    """
+    df = bars.select("symbol", "date", "close").withColumn("step", F.try_divide(F.col("close"), F.lag("close").over(by_date())) - 1)
+    ranges = {}
+    for s in sizes:
+        high, low = (f("close").over(by_date().rowsBetween(-(s - 1), 0)) for f in (F.max, F.min))
+        spread = F.stddev_samp("step").over(by_date().rowsBetween(-(s - 2), 0))
+        ranges[f"rs{s}"] = F.nullif(F.try_divide(F.try_divide(high, low) - 1, spread), F.lit(0.0))
+    still = F.stddev_pop("close").over(by_date().rowsBetween(-window, -1)) < 1e-9
+    df = df.withColumns(ranges | {"i": F.row_number().over(by_date()), "still": still})
+    lagged = {f"rs{s}": F.array_compact(F.array(*[F.lag(f"rs{s}", window + 1 - (j + 1) * s).over(by_date()) for j in range(window // s)])) for s in sizes}
+    df = df.select("symbol", "date", "i", "still", *[c.alias(k) for k, c in lagged.items()]).filter((F.col("i") > window) & ~F.col("still"))
+    xs = [math.log10(s) for s in sizes]
+    mean = sum(xs) / len(xs)
+    total = sum((x - mean) ** 2 for x in xs)
+    level = lambda s: F.log10(F.try_divide(F.aggregate(f"rs{s}", F.lit(0.0), lambda a, x: a + x), F.size(f"rs{s}").cast("double")))
+    slope = sum((level(s) * ((x - mean) / total) for s, x in zip(sizes, xs, strict=True)), F.lit(0.0))
+    return df.select("symbol", "date", slope.alias("hurst"))
+
+
 def phase_table(bars: DataFrame, momentum: str = "roc", reversion: str = "rsi", window: int = 20) -> DataFrame:
     """Momentum against mean reversion on the rows where both exist, with days since the first."""
     if momentum == "roc":
@@ -206,6 +233,8 @@ def phase_table(bars: DataFrame, momentum: str = "roc", reversion: str = "rsi",
         raise ValueError(f"unknown momentum measure {momentum}")
     if reversion == "rsi":
         r = rsi(bars).select("symbol", "date", F.col("rsi").alias("reversion"))
+    elif reversion == "hurst":
+        r = rolling_hurst(bars).select("symbol", "date", F.col("hurst").alias("reversion"))
     else:
         raise ValueError(f"unknown reversion measure {reversion}")
     both = m.join(r, ["symbol", "date"]).dropna(subset=["momentum", "reversion"])

@@ -359,10 +359,9 @@ def ensemble_predictions(spark, sf):
 
 @query(
     "joined_feature_sets",
-    f"""WITH {LAGGED}, {STOCKS}, {YIELDS}, x AS (SELECT r.symbol, date, sr - avg(sr) OVER (PARTITION BY sector, date) AS strength FROM rets r JOIN stocks s ON s.symbol = r.symbol
-      WHERE sr IS NOT NULL AND sector IS NOT NULL)
-    SELECT r.symbol, r.date, {r('strength')} AS strength, {r('yr10 - yr2')} AS slope_10y_2y FROM rets r LEFT JOIN x ON x.symbol = r.symbol AND x.date = r.date
-    LEFT JOIN yields y ON y.date = r.date""",
+    f"""WITH {LAGGED}, {STOCKS}, {YIELDS}, m AS (SELECT sector, date, avg(sr) AS mean FROM rets JOIN stocks USING (symbol) WHERE sr IS NOT NULL AND sector IS NOT NULL GROUP BY sector, date)
+    SELECT r.symbol, r.date, {r('r.sr - m.mean')} AS strength, {r('yr10 - yr2')} AS slope_10y_2y FROM rets r LEFT JOIN stocks s ON s.symbol = r.symbol
+    LEFT JOIN m ON m.sector = s.sector AND m.date = r.date LEFT JOIN yields y ON y.date = r.date""",
 )
 def joined_feature_sets(spark, sf):
     bars = panel.bars(spark, sf)
@@ -402,8 +401,11 @@ def model_holdout(spark, sf):
     """Four model types on whether the next close is higher, judged on the last part of each series."""
     bars = ind.candle_metrics(panel.bars(spark, sf)).withColumn("r1", simple_return())
     frame = bars.withColumn("label", (F.lead("close").over(by_date()) > F.col("close")).cast("double")).dropna(subset=["label", "r1"])
-    part = fe.chronological_split(frame)
     features = ["r1", "body_size_norm", "upper_shadow_norm", "lower_shadow_norm", "close_position"]
+    # The learners pass over their rows many times: they read what they need from files, and not the whole plan.
+    path = run_folder(spark, "model-frame")
+    fe.chronological_split(frame).select("part", "label", *features).write.parquet(path)
+    part = spark.read.parquet(path)
     return mdl.holdout(part.filter("part = 'train'"), part.filter("part = 'test'"), features)
 
 

@@ -227,6 +227,47 @@ def hurst_exponent(spark, sf):
     return tidy(mo.hurst(panel.bars(spark, sf)))
 
 
+def _rolling_hurst_sql():
+    """Each chunk as its own frame before the row, sizes and offsets as the operator has them."""
+    chunks = [(n, j) for n in mo.HURST_SIZES for j in range(100 // n)]
+    frame = lambda n, j, cut: f"OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {100 - j * n - cut} PRECEDING AND {100 - (j + 1) * n + 1} PRECEDING)"
+    cells = ", ".join(
+        f"nullif((max(close) {frame(n, j, 0)} / min(close) {frame(n, j, 0)} - 1) / nullif(stddev_samp(step) {frame(n, j, 1)}, 0), 0) AS c{n}_{j}" for n, j in chunks
+    )
+    means = ", ".join(f"log10(list_avg([{', '.join(f'c{n}_{j}' for m, j in chunks if m == n)}])) AS m{n}" for n in mo.HURST_SIZES)
+    points = ", ".join(f"(log10({n}::DOUBLE), m{n})" for n in mo.HURST_SIZES)
+    return f"""{BARS}, st AS (SELECT symbol, date, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS step FROM bars),
+    ch AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i,
+      stddev_pop(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS sd, {cells} FROM st),
+    ms AS (SELECT symbol, date, {means} FROM ch WHERE i > 100 AND sd >= 1e-9),
+    hurst AS (SELECT symbol, date, (SELECT CASE WHEN count(y) = 5 THEN regr_slope(y, x) END FROM (VALUES {points}) p(x, y)) AS h FROM ms)"""
+
+
+@query("rolling_hurst", f"WITH {_rolling_hurst_sql()} SELECT symbol, date, {r('h')} AS hurst FROM hurst")
+def rolling_hurst(spark, sf):
+    return tidy(mo.rolling_hurst(panel.bars(spark, sf)))
+
+
+@query(
+    "phase_macd_hurst",
+    f"""WITH {_rolling_hurst_sql()}, {MACD.removeprefix(BARS + ',')},
+    p AS (SELECT macd.symbol, macd.date, m, h FROM macd JOIN hurst ON hurst.symbol = macd.symbol AND hurst.date = macd.date WHERE m IS NOT NULL AND h IS NOT NULL)
+    SELECT symbol, date, {r('m', 5)} AS momentum, {r('h', 5)} AS reversion, date - min(date) OVER (PARTITION BY symbol) AS elapsed FROM p""",
+)
+def phase_macd_hurst(spark, sf):
+    return tidy(mo.phase_table(panel.bars(spark, sf), "macd", "hurst"), 5)
+
+
+@query(
+    "phase_roc_hurst",
+    f"""WITH {_rolling_hurst_sql()}, roc AS (SELECT symbol, date, (close / nullif(lag(close, 20) OVER (PARTITION BY symbol ORDER BY date), 0) - 1) * 100 AS m FROM bars),
+    p AS (SELECT roc.symbol, roc.date, m, h FROM roc JOIN hurst ON hurst.symbol = roc.symbol AND hurst.date = roc.date WHERE m IS NOT NULL AND h IS NOT NULL)
+    SELECT symbol, date, {r('m', 5)} AS momentum, {r('h', 5)} AS reversion, date - min(date) OVER (PARTITION BY symbol) AS elapsed FROM p""",
+)
+def phase_roc_hurst(spark, sf):
+    return tidy(mo.phase_table(panel.bars(spark, sf), "roc", "hurst"), 5)
+
+
 @query(
     "last_rows",
     f"""WITH {BARS}, b AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
@@ -273,36 +314,91 @@ def anomaly_features(spark, sf):
     return tidy(an.features(panel.bars(spark, sf)))
 
 
-@query(
-    "density_noise",
-    f"""WITH {FEATS}, st AS (SELECT symbol, """
+_NOISE = (
+    f"{FEATS}, st AS (SELECT symbol, "
     + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in an.FEATURES)
+    + ", "
+    + ", ".join(f"corr({an.FEATURES[a]}, {an.FEATURES[b]}) AS c{a}{b}" for a, b in ((0, 1), (0, 2), (1, 2)))
     + " FROM feats GROUP BY symbol), p AS (SELECT f.symbol, date, "
     + ", ".join(f"(f.{c} - m_{c}) / s_{c} AS x{i}" for i, c in enumerate(an.FEATURES))
     + """ FROM feats f JOIN st ON st.symbol = f.symbol),
     near AS (SELECT a.symbol, a.date, b.date AS other FROM p a JOIN p b ON a.symbol = b.symbol AND
       (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2 <= 0.25),
     core AS (SELECT symbol, date FROM near GROUP BY ALL HAVING count(*) >= 5),
-    ok AS (SELECT DISTINCT n.symbol, n.date FROM near n JOIN core c ON c.symbol = n.symbol AND c.date = n.other)
-    SELECT p.symbol, p.date, ok.date IS NULL AS dbscan_anomaly FROM p LEFT JOIN ok ON ok.symbol = p.symbol AND ok.date = p.date""",
+    ok AS (SELECT DISTINCT n.symbol, n.date FROM near n JOIN core c ON c.symbol = n.symbol AND c.date = n.other),
+    noise AS (SELECT p.*, ok.date IS NULL AS dbscan_anomaly FROM p LEFT JOIN ok ON ok.symbol = p.symbol AND ok.date = p.date)"""
 )
+
+
+@query("density_noise", f"WITH {_NOISE} SELECT symbol, date, dbscan_anomaly FROM noise")
 def density_noise(spark, sf):
     return an.density_noise(an.features(panel.bars(spark, sf)))
 
 
-# --- spectra ------------------------------------------------------------------
+# Eigenvalues by the cosine form of the cubic; an eigenvector is the longest cross product of two rows.
+_AXES = """ev AS (SELECT *, 1 + 2 * q * cos(phi) AS l1, 1 + 2 * q * cos(phi + 2 * pi() / 3) AS l3 FROM (
+      SELECT *, acos(greatest(-1, least(1, c01 * c02 * c12 / q ** 3))) / 3 AS phi FROM (SELECT *, sqrt((c01 ** 2 + c02 ** 2 + c12 ** 2) / 3) AS q FROM st))),
+    lam AS (SELECT symbol, c01, c02, c12, 1 AS axis, 1 - l1 AS d FROM ev UNION ALL SELECT symbol, c01, c02, c12, 2, 1 - (3 - l1 - l3) FROM ev),
+    cp AS (SELECT symbol, axis, [c01 * c12 - c02 * d, c02 * c01 - d * c12, d * d - c01 * c01] AS v FROM lam
+      UNION ALL SELECT symbol, axis, [c01 * d - c02 * c12, c02 * c02 - d * d, d * c12 - c01 * c02] FROM lam
+      UNION ALL SELECT symbol, axis, [d * d - c12 * c12, c12 * c02 - c01 * d, c01 * c12 - d * c02] FROM lam),
+    best AS (SELECT symbol, axis, v, list_sum(list_transform(v, lambda x: x * x)) AS len FROM cp
+      QUALIFY row_number() OVER (PARTITION BY symbol, axis ORDER BY len DESC) = 1),
+    axes AS (SELECT symbol, axis, list_transform(v, lambda x: x / sqrt(len) * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v FROM best)"""
 
 
 @query(
-    "amplitude_spectrum",
-    f"""WITH {LAGGED}, s AS (SELECT symbol, lr, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE lr IS NOT NULL),
+    "clustering_table",
+    f"""WITH {_NOISE}, {_AXES} SELECT n.symbol, n.date, {r('x0 * a.v[1] + x1 * a.v[2] + x2 * a.v[3]', 5)} AS pca_1,
+    {r('x0 * b.v[1] + x1 * b.v[2] + x2 * b.v[3]', 5)} AS pca_2, dbscan_anomaly
+    FROM noise n JOIN axes a ON a.symbol = n.symbol AND a.axis = 1 JOIN axes b ON b.symbol = n.symbol AND b.axis = 2""",
+)
+def clustering_table(spark, sf):
+    return tidy(an.clustering_table(an.features(panel.bars(spark, sf))), 5)
+
+
+# --- spectra ------------------------------------------------------------------
+
+
+_SPECTRUM = f"""{LAGGED}, s AS (SELECT symbol, lr, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE lr IS NOT NULL),
     f AS (SELECT symbol, regr_slope(lr, t) AS b, regr_intercept(lr, t) AS a FROM s GROUP BY symbol),
     x AS (SELECT s.symbol, t, n, (lr - a - b * t) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * t / n)) AS x FROM s JOIN f ON f.symbol = s.symbol),
-    k AS (SELECT symbol, n, CAST(unnest(range(n // 2)) AS BIGINT) AS k FROM (SELECT DISTINCT symbol, n FROM x))
-    SELECT x.symbol, k, {r('k / min(x.n)')} AS frequency, {r('2 / min(x.n) * sqrt(sum(x * cos(2 * pi() * ((k * t) % x.n) / x.n)) ** 2 + sum(x * sin(2 * pi() * ((k * t) % x.n) / x.n)) ** 2)')} AS amplitude
-    FROM x JOIN k ON k.symbol = x.symbol GROUP BY x.symbol, k""",
-)
+    k AS (SELECT symbol, n, CAST(unnest(range(n // 2)) AS BIGINT) AS k FROM (SELECT DISTINCT symbol, n FROM x)),
+    sp AS (SELECT x.symbol, k, k / min(x.n) AS f, 2 / min(x.n) * sqrt(sum(x * cos(2 * pi() * ((k * t) % x.n) / x.n)) ** 2 + sum(x * sin(2 * pi() * ((k * t) % x.n) / x.n)) ** 2) AS a
+      FROM x JOIN k ON k.symbol = x.symbol GROUP BY x.symbol, k)"""
+
+
+@query("amplitude_spectrum", f"WITH {_SPECTRUM} SELECT symbol, k, {r('f')} AS frequency, {r('a')} AS amplitude FROM sp")
 def amplitude_spectrum(spark, sf):
     return tidy(sp.amplitude_spectrum(sp.spectral_returns(panel.bars(spark, sf))))
 
 
+@query(
+    "spectral_peaks",
+    f"""WITH {_SPECTRUM}, w AS (SELECT *, lag(a) OVER o AS b, lead(a) OVER o AS c FROM sp WINDOW o AS (PARTITION BY symbol ORDER BY k)),
+    pk AS (SELECT * FROM w WHERE a > b AND a > c),
+    higher AS (SELECT p.symbol, p.k, max(o.k) FILTER (o.k < p.k) AS l, min(o.k) FILTER (o.k > p.k) AS r FROM pk p LEFT JOIN sp o ON o.symbol = p.symbol AND o.a > p.a GROUP BY ALL),
+    low AS (SELECT h.symbol, h.k, min(o.a) FILTER (o.k < h.k) AS l, min(o.a) FILTER (o.k > h.k) AS r FROM higher h JOIN sp o ON o.symbol = h.symbol AND o.k > coalesce(h.l, -1) AND o.k < coalesce(h.r, 1000000000) GROUP BY ALL),
+    pr AS (SELECT pk.symbol, pk.k, f, a, a - greatest(l, r) AS p FROM pk JOIN low ON low.symbol = pk.symbol AND low.k = pk.k),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p DESC, k) AS rank FROM pr WHERE p >= 0.01)
+    SELECT symbol, rank, k, {r('f')} AS frequency, {r('1 / f')} AS period, {r('a')} AS amplitude, {r('p')} AS prominence FROM rk WHERE rank <= 5""",
+)
+def spectral_peaks(spark, sf):
+    """The five most prominent peaks of each spectrum that stand out by 0.01 at least."""
+    return tidy(sp.spectral_peaks(sp.amplitude_spectrum(sp.spectral_returns(panel.bars(spark, sf))), 0.01))
+
+
+@query(
+    "uneven_periodogram",
+    f"""WITH {BARS}, b AS (SELECT symbol, close AS v, date - min(date) OVER (PARTITION BY symbol) AS t, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM bars WHERE close IS NOT NULL),
+    g AS (SELECT symbol, regr_slope(v, i) AS m, regr_intercept(v, i) AS k, max(t) AS span, count(*) AS n FROM b GROUP BY symbol HAVING count(*) >= 3 AND max(t) > 0),
+    fr AS (SELECT symbol, span, CAST(unnest(range(cnt)) AS BIGINT) AS j, cnt FROM (SELECT symbol, span, CAST(floor(1 * span * (0.5::DOUBLE - 2.0::DOUBLE / span)) AS BIGINT) AS cnt FROM g) WHERE cnt > 1),
+    w AS (SELECT symbol, j, 2 * pi() * (2.0::DOUBLE / span + j * (0.5::DOUBLE - 2.0::DOUBLE / span) / (cnt - 1)) AS w FROM fr),
+    x AS (SELECT b.symbol, t, v - k - m * i AS x FROM b JOIN g ON g.symbol = b.symbol),
+    e AS (SELECT w.symbol, j, w, x, cos(w * t) AS c, sin(w * t) AS s FROM w JOIN x ON x.symbol = w.symbol),
+    q AS (SELECT symbol, j, w, count(*) * covar_pop(x, c) AS xc, count(*) * covar_pop(x, s) AS xs, count(*) * var_pop(c) AS cc, count(*) * var_pop(s) AS ss, count(*) * covar_pop(c, s) AS cs, count(*) * var_pop(x) AS xx FROM e GROUP BY ALL)
+    SELECT symbol, j, {r('w / (2 * pi())')} AS frequency, {r('2 * pi() / w')} AS period, {r('(ss * xc * xc + cc * xs * xs - 2 * cs * xc * xs) / (xx * (cc * ss - cs * cs))')} AS power FROM q""",
+)
+def uneven_periodogram(spark, sf):
+    """One frequency a cycle of the span."""
+    return tidy(sp.uneven_periodogram(panel.bars(spark, sf), samples=1))

@@ -133,3 +133,91 @@ def test_registered_queries_agree_with_numpy(spark, sf_dir):
     mine = x.loc[x["symbol"] == symbol, "x"].to_numpy()
     rows = queries["return_pacf"](spark, sf_dir).filter(F.col("symbol") == symbol).orderBy("lag").collect()
     assert np.allclose([r.pacf for r in rows[1:]], partial(mine, 30), atol=1e-6)
+
+
+def test_principal_axes_equal_numpy(spark):
+    from barwright.operators import anomaly as an
+
+    rng = np.random.default_rng(4)
+    mats = [m.T @ m for m in rng.normal(size=(12, 5, 3))] + [np.eye(3), np.zeros((3, 3)), np.diag([1.0, 3.0, 2.0])]
+    got = spark.createDataFrame([(i, m.flatten().tolist()) for i, m in enumerate(mats)], "i int, m array<double>").select("i", an.principal_axes(F.col("m")).alias("a")).collect()
+    for r in got:
+        m = mats[r.i]
+        assert np.allclose([x.value for x in r.a], np.linalg.eigvalsh(m)[::-1], atol=1e-9)
+        axes = np.array([x.axis for x in r.a])
+        assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9)
+        assert np.allclose(m @ axes.T, axes.T * [x.value for x in r.a], atol=1e-8)
+        assert all(a[np.abs(a).argmax()] > 0 for a in axes)
+
+
+def test_peaks_by_definition(spark):
+    from barwright.operators import spectral as sp
+
+    rng = np.random.default_rng(9)
+    values = {"r": rng.integers(0, 6, 60).astype(float), "flat": np.ones(9), "one": np.array([1.0]), "up": np.arange(7.0), "ends": np.array([5.0, 1, 3, 3, 3, 2, 9])}
+    rows = [(s, k, k / 100, float(v)) for s, vs in values.items() for k, v in enumerate(vs)]
+    got = native(sp.spectral_peaks(spark.createDataFrame(rows, "symbol string, k long, frequency double, amplitude double"), 0.0, 100)).collect()
+    want = set()
+    for s, vs in values.items():
+        for low in range(1, len(vs) - 1):
+            high = low
+            while high + 1 < len(vs) and vs[high + 1] == vs[low]:
+                high += 1
+            if vs[low - 1] < vs[low] and high + 1 < len(vs) and vs[high + 1] < vs[low]:
+                k = (low + high) // 2
+                left = [i for i in range(k) if vs[i] > vs[k]]
+                right = [i for i in range(k, len(vs)) if vs[i] > vs[k]]
+                a = vs[(left[-1] if left else 0) : k + 1].min()
+                b = vs[k : (right[0] if right else len(vs))].min()
+                want.add((s, k, vs[k] - max(a, b)))
+    assert {(r.symbol, r.k, r.prominence) for r in got} == want and ("ends", 3, 1.0) in want
+
+
+def test_uneven_periodogram_is_a_least_squares_fit(spark):
+    """Power is what a sine, a cosine and a free mean explain of the variation."""
+    from barwright.operators import spectral as sp
+
+    rng = np.random.default_rng(2)
+    days = np.sort(rng.choice(200, 70, replace=False))
+    days = days - days[0]
+    y = np.sin(2 * np.pi * days / 17) + 0.3 * rng.normal(size=70)
+    rows = [("a", DAY + dt.timedelta(days=int(d)), float(v)) for d, v in zip(days, y)] + [("b", DAY, 1.0), ("c", DAY, 2.0), ("c", DAY + dt.timedelta(days=400), 2.5)]
+    got = native(sp.uneven_periodogram(spark.createDataFrame(rows, "symbol string, date date, close double"), samples=3)).orderBy("j").collect()
+    i = np.arange(70)
+    x = y - np.polyval(np.polyfit(i, y, 1), i)
+    assert {r.symbol for r in got} == {"a"}
+    for r in got:
+        z = np.column_stack([np.ones(70), np.cos(2 * np.pi * r.frequency * days), np.sin(2 * np.pi * r.frequency * days)])
+        fit = z @ np.linalg.lstsq(z, x, rcond=None)[0]
+        assert math.isclose(r.power, 1 - ((x - fit) ** 2).sum() / ((x - x.mean()) ** 2).sum(), abs_tol=1e-9)
+    best = max(got, key=lambda r: r.power)
+    assert abs(best.period - 17) < 1 and len(got) == int(3 * days[-1] * (0.5 - 2 / days[-1]))
+
+
+def test_spectra_and_projection_stay_in_the_plan(spark, sf_dir):
+    from barwright.plans import load_all
+
+    queries, _ = load_all()
+    for name in ("amplitude_spectrum", "spectral_peaks", "uneven_periodogram", "clustering_table", "rolling_hurst", "phase_macd_hurst"):
+        native(queries[name](spark, sf_dir))
+
+
+def test_logistic_model_is_at_its_optimum(spark):
+    """The learner behind ``model_holdout``: coefficients on scaled features against a descent in numpy."""
+    from barwright.operators import models
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 2)) * [1.0, 5.0]
+    y = (x[:, 0] - 0.2 * x[:, 1] + rng.normal(size=150) > 0).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, label double").coalesce(1)
+    scaler, model = models.fit(df, ["a", "b"], "logistic_regression")
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    w, b = np.zeros(2), 0.0
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-(z @ w + b)))
+        w, b = w - 0.5 * (z.T @ (p - y) / 150 + 0.01 * w), b - 0.5 * (p - y).mean()
+    assert np.allclose(model.coefficients.toArray(), w, atol=2e-3) and math.isclose(model.intercept, b, abs_tol=2e-3)
+    predicted = models.predict(df, ["a", "b"], (scaler, model)).collect()
+    assert [r.predicted for r in predicted] == [float(v) for v in (z @ w + b > 0)]
+    with pytest.raises(ValueError):
+        models.fit(df, ["a", "b"], "oracle")
