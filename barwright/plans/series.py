@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from barwright.operators import anomaly as an, momentum as mo, spectral as sp, tail as ta
+from barwright.operators import anomaly as an, momentum as mo, spectral as sp, tail as ta, wavelet as wv
 from barwright.plans.registry import query, tidy
 from barwright.plans.sqltext import BARS, LAGGED, r, rolling, sig
 from barwright.sources import panel
@@ -402,3 +402,24 @@ def spectral_peaks(spark, sf):
 def uneven_periodogram(spark, sf):
     """One frequency a cycle of the span."""
     return tidy(sp.uneven_periodogram(panel.bars(spark, sf), samples=1))
+
+
+def _taps(taps):
+    # Lists count from one; an index beyond an edge comes back from it.
+    at = lambda j: f"x[CASE WHEN 2 * k + 1 - {j} < 0 THEN {j} - 2 * k - 1 ELSE least(2 * k + 2 - {j}, 2 * len(x) - (2 * k + 1 - {j})) END] * {taps[j]!r}::DOUBLE"
+    return f"list_transform(range((len(x) + 7) // 2), lambda k: {' + '.join(at(j) for j in range(8))})"
+
+
+@query(
+    "discrete_wavelet",
+    f"""WITH RECURSIVE {LAGGED}, s AS (SELECT symbol, lr, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS t FROM rets WHERE lr IS NOT NULL),
+    f AS (SELECT symbol, regr_slope(lr, t) AS b, regr_intercept(lr, t) AS a FROM s GROUP BY symbol),
+    x0 AS (SELECT s.symbol, list(lr - a - b * t ORDER BY t) AS x, greatest(floor(log2(count(*) / 7)), 0) AS most FROM s JOIN f ON f.symbol = s.symbol GROUP BY s.symbol),
+    w AS (SELECT symbol, 0 AS level, x, []::DOUBLE[] AS d, most FROM x0
+      UNION ALL SELECT symbol, level + 1, {_taps(wv.LOW)}, {_taps(wv.HIGH)}, most FROM w WHERE level < most),
+    l AS (SELECT symbol, level, 'approximation' AS part, unnest(range(len(x))) AS k, unnest(x) AS v FROM w WHERE level = most AND most > 0
+      UNION ALL SELECT symbol, level, 'detail', unnest(range(len(d))), unnest(d) FROM w WHERE level > 0)
+    SELECT symbol, CAST(level AS BIGINT) AS level, part, CAST(k AS BIGINT) AS k, {r('v')} AS coefficient FROM l""",
+)
+def discrete_wavelet(spark, sf):
+    return tidy(wv.discrete_wavelet(sp.spectral_returns(panel.bars(spark, sf))))

@@ -221,3 +221,28 @@ def test_logistic_model_is_at_its_optimum(spark):
     assert [r.predicted for r in predicted] == [float(v) for v in (z @ w + b > 0)]
     with pytest.raises(ValueError):
         models.fit(df, ["a", "b"], "oracle")
+
+
+def test_wavelet_gives_back_what_went_in(spark):
+    from barwright.operators import wavelet as wv
+
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(size=203), "b": rng.normal(size=56), "c": rng.normal(size=14), "tiny": rng.normal(size=9)}
+    df = series(spark, values).withColumnRenamed("x", "r")
+    got = native(wv.discrete_wavelet(df, detrend=False)).collect()
+    assert [(r.level, r.coefficient) for r in got if r.symbol == "tiny"] == [(None, None)]
+    low, high = np.array(wv.LOW)[::-1], np.array(wv.HIGH)[::-1]
+    for s, levels in (("a", 4), ("b", 3), ("c", 1)):
+        rows = [r for r in got if r.symbol == s]
+        take = lambda part, level: np.array([r.coefficient for r in sorted(rows, key=lambda r: r.k or 0) if (r.part, r.level) == (part, level)])  # noqa: E731, B023
+        assert {r.level for r in rows} == set(range(1, levels + 1))
+        x = take("approximation", levels)
+        for level in range(levels, 0, -1):
+            d = take("detail", level)
+            x = x[: len(d)]
+            up = np.zeros((2, 2 * len(d)))
+            up[0, ::2], up[1, ::2] = x, d
+            x = np.convolve(up[0], low) + np.convolve(up[1], high)
+            x = x[6 : 6 + 2 * len(d) - 6]
+        assert np.allclose(x[: len(values[s])], values[s], atol=1e-10)
+    assert {r.level for r in wv.discrete_wavelet(df, 2).filter("symbol = 'a'").collect()} == {1, 2}
