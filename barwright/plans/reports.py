@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barwright.functions.series import by_date, log_return, prev, rolling, simple_return
 from barwright.operators import (
-    calendar as cal, distribution as dist, features as fe, filings as fi, incremental as inc, indicators as ind, models as mdl, quality as q, registry as reg,
+    calendar as cal, distribution as dist, features as fe, filings as fi, incremental as inc, indicators as ind, jobs, models as mdl, quality as q, registry as reg,
     tail as ta, upsert as up, volatility as vol,
 )
 from barwright.plans.features import _MODELS, backtests, models
@@ -125,6 +125,40 @@ def quality_last_days(spark, sf):
     return tidy(q.quality_checks(loaders).select("loader", "item", "value"), 5)
 
 
+def _checked(spark, sf):
+    """Loader inputs of the checks, made when asked for; the last one's folder does not exist."""
+    columns = ["close", "volume"]
+    return {
+        "stock": lambda: (panel.bars(spark, sf), ["symbol", "date"], "close", columns),
+        "nowhere": lambda: (spark.read.parquet(f"{sf}/no_such_table.parquet"), ["symbol", "date"], "close", columns),
+        "index": lambda: (panel.index_bars(spark, sf), ["symbol", "date"], "close", columns),
+        "treasury": lambda: (panel.yields(spark, sf), ["date"], "yr10", TENORS),
+    }
+
+
+@query(
+    "quality_checks_each",
+    f"""SELECT loader, item, value, CAST(NULL AS VARCHAR) AS error FROM ({_checks_sql()}) UNION ALL SELECT 'nowhere', NULL, NULL, 'PATH_NOT_FOUND'""",
+)
+def quality_checks_each(spark, sf):
+    """The checks of every loader; one that cannot be read gives its error and stops none of the others."""
+    return tidy(jobs.checks_of_each(spark, _checked(spark, sf)), 5)
+
+
+@query(
+    "load_with_checks",
+    f"""WITH {BARS}, c AS (SELECT * FROM ({_checks_sql()}) WHERE loader = 'stock')
+    SELECT 'stock' AS loader, 'rows' AS item, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS error FROM bars
+    UNION ALL SELECT 'stock', 'first_day', CAST(min(date) - DATE '1970-01-01' AS DOUBLE), NULL FROM bars
+    UNION ALL SELECT 'stock', 'last_day', CAST(max(date) - DATE '1970-01-01' AS DOUBLE), NULL FROM bars
+    UNION ALL SELECT loader, item, value, NULL FROM c""",
+)
+def load_with_checks(spark, sf):
+    """Bars as they are written, with the checks of what was written."""
+    path = run_folder(spark, "checked-bars")
+    return tidy(jobs.write_checked(panel.bars(spark, sf), path, "stock", ["symbol", "date"], "close", ["close", "volume"]), 5)
+
+
 @query(
     "month_order",
     f"""WITH {BARS}, m AS (SELECT symbol, date_trunc('month', date) AS m, count(*) AS n FROM bars GROUP BY ALL)
@@ -175,6 +209,73 @@ def reload_last_days(spark, sf):
     return out
 
 
+# Stored tables that differ from what has landed: older, and wrong in even years.
+_CUT = "DATE '1997-07-01'"
+_STORED_INDEX = f"stored_index AS (SELECT symbol, date, open, high, low, close, CASE WHEN year(date) % 2 = 0 THEN 0 ELSE volume END AS volume FROM index_bars WHERE date < {_CUT} AND symbol <> 'OSX')"
+_STORED_YIELDS = f"stored_yields AS (SELECT date, {', '.join(t for t in TENORS if t != 'yr10')}, CASE WHEN year(date) % 2 = 1 THEN yr10 END AS yr10 FROM yields WHERE date < {_CUT})"
+_LOADED = f"{BARS_AND_INDEX}, {YIELDS}, {_STORED}, {_STORED_INDEX}, {_STORED_YIELDS}"
+
+
+def _landings(spark, sf):
+    """What is stored and what has landed of each loader, made when asked for."""
+
+    def index():
+        landed = panel.index_bars(spark, sf)
+        stored = landed.filter(F.expr(f"date < {_CUT}") & (F.col("symbol") != "OSX"))
+        return jobs.Landing(stored.withColumn("volume", F.when(F.year("date") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("volume"))), landed)
+
+    def treasury():
+        landed = panel.yields(spark, sf)
+        return jobs.Landing(landed.filter(F.expr(f"date < {_CUT}")).withColumn("yr10", F.when(F.year("date") % 2 == 1, F.col("yr10"))), landed, ())
+
+    return {"stock": lambda: jobs.Landing(stored_bars(spark, sf), panel.bars(spark, sf)), "index": index, "treasury": treasury}
+
+
+def _long_sql(loader, table, columns, where="", symbol="symbol"):
+    return " UNION ALL ".join(f"SELECT '{loader}' AS loader, {symbol} AS symbol, date, '{c}' AS item, CAST({c} AS DOUBLE) AS value FROM {table} {where}" for c in columns)
+
+
+def _each_sql(rule):
+    """Long rows of the three loaders; ``rule`` gives (condition on stored, condition on landed) of a loader's tables."""
+    parts = []
+    for name, stored, landed, columns, symbol in (
+        ("stock", "stored", "bars", ["close", "volume"], "symbol"), ("index", "stored_index", "index_bars", ["close", "volume"], "symbol"),
+        ("treasury", "stored_yields", "yields", TENORS, "CAST(NULL AS VARCHAR)"),
+    ):
+        old, new = rule(stored, landed, symbol == "symbol")
+        parts += [_long_sql(name, stored, columns, old, symbol), _long_sql(name, landed, columns, new, symbol)]
+    return f"WITH {_LOADED} SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({' UNION ALL '.join(parts)})"
+
+
+def _fill_rule(stored, landed, keyed):
+    own = f" WHERE {stored}.symbol = {landed}.symbol" if keyed else ""
+    return "", f"WHERE date < (SELECT max(date) FROM {landed}) AND date > coalesce((SELECT max(date) FROM {stored}{own}), DATE '0001-01-01')"
+
+
+def _reload_rule(stored, landed, keyed):
+    end = f"(SELECT max(date) FROM {stored})"
+    return f"WHERE date <= {end} - 60", f"WHERE date > {end} - 60 AND date <= {end}"
+
+
+_LONG = "symbol string, date date, item string, value double"
+
+
+def _values(name):
+    return TENORS if name == "treasury" else ["close", "volume"]
+
+
+@query("gap_fill_each", _each_sql(_fill_rule))
+def gap_fill_each(spark, sf):
+    """Every loader filled from the day after its latest stored rows to the day before the last landed one."""
+    return jobs.each_loader(spark, _landings(spark, sf), lambda name, landing: jobs.long_rows(jobs.filled(landing), _values(name)), _LONG)
+
+
+@query("reload_each", _each_sql(_reload_rule))
+def reload_each(spark, sf):
+    """The last sixty stored days of every loader taken again from what has landed."""
+    return jobs.each_loader(spark, _landings(spark, sf), lambda name, landing: jobs.long_rows(jobs.reloaded(landing, 60), _values(name)), _LONG)
+
+
 @query(
     "poll_against_stored",
     """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS accession_number,
