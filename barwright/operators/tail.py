@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.series import log_return, rolling, trailing, whole
+from barwright.operators.solver import bound, highest, log_gamma
 
 # Confidence 95 %, its normal quantile, and the return periods in days.
 CONFIDENCE = 0.95
@@ -35,9 +36,89 @@ def normal_var(returns: DataFrame, alpha: float = 1 - CONFIDENCE, z: float = Z_0
     )
 
 
-def var_comparison(returns: DataFrame) -> DataFrame:
-    """Loss in percent by method."""
+#: Bounds of the degrees of freedom that are looked at; at the upper one the distribution is as good as normal.
+FREEDOM = (1.0, 1000.0)
+REWEIGHTINGS = 30
+
+
+def _reweighted(x: Column, freedom: Column) -> Column:
+    """struct(m, s2): location and squared scale of most likelihood for given degrees of freedom, by reweighting."""
+
+    def step(state: Column, _: Column) -> Column:
+        def new(w: Column) -> Column:
+            total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+            mean = total(F.zip_with(w, x, lambda a, v: a * v)) / total(w)
+            return bound(mean, lambda m: F.struct(m.alias("m"), (total(F.zip_with(w, x, lambda a, v: a * (v - m) * (v - m))) / F.size(x)).alias("s2")))
+
+        return bound(F.transform(x, lambda v: (freedom + 1) / (freedom + (v - state.m) * (v - state.m) / state.s2)), new)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(REWEIGHTINGS)), F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("s2")), step)
+
+
+def _likelihood(x: Column, freedom: Column, fit: Column) -> Column:
+    n = F.size(x)
+    spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.log(1 + (v - fit.m) * (v - fit.m) / (fit.s2 * freedom)))
+    # Fixed value: pi.
+    each = log_gamma((freedom + 1) / 2) - log_gamma(freedom / 2) - 0.5 * F.log(3.141592653589793 * freedom * fit.s2)
+    return n * each - (freedom + 1) / 2 * spread
+
+
+def student_quantile(freedom: Column, alpha: float) -> Column:
+    """The quantile of Student's distribution for ``freedom`` of 1 or more and ``alpha`` below a half.
+
+    With t = sqrt(freedom) tan(phi) the share between 0 and t is an integral of powers of a
+    cosine, taken by Simpson's rule; the angle is found by halving.
+    """
+    steps = 200
+    scale = F.exp(log_gamma((freedom + 1) / 2) - log_gamma(freedom / 2)) / 1.7724538509055159  # root of pi, a fixed value
+
+    def share(angle: Column) -> Column:
+        weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda a, i: a + weight(i) * F.pow(F.cos(angle * i / steps), freedom - 1))
+        return total * angle / steps / 3
+
+    def halve(s: Column, _: Column) -> Column:
+        return bound((s.a + s.b) / 2, lambda m: F.when(share(m) * s.scale < 0.5 - alpha, F.struct(m.alias("a"), s.b.alias("b"), s.scale.alias("scale"))).otherwise(F.struct(s.a.alias("a"), m.alias("b"), s.scale.alias("scale"))))
+
+    # Fixed value: half of pi.
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(1.5707963267948966).alias("b"), scale.alias("scale"))
+    return -F.sqrt(freedom) * F.aggregate(F.sequence(F.lit(1), F.lit(52)), start, halve, lambda s: F.tan(s.a))
+
+
+def student_var(returns: DataFrame, alpha: float = 1 - CONFIDENCE) -> DataFrame:
+    """(symbol, n, freedom, location, scale, var, cvar, at_bound): Student's distribution fitted by likelihood.
+
+    The degrees of freedom are those of the highest profile likelihood: for each that is
+    tried, location and scale are found by reweighting. ``at_bound`` says that the best lies
+    at an end of ``FREEDOM``, as for tails no heavier than normal ones. Series without spread
+    or of fewer than two returns have no row, as for the normal distribution.
+    """
+    rows = returns.groupBy("symbol").agg(F.sort_array(F.collect_list("r")).alias("r"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.count("r").alias("n")).filter("std > 0")
+    # The rows are few but each costs much: a stated number of partitions is not merged by size.
+    spark = returns.sparkSession
+    rows = rows.repartition(2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "symbol")
+    x = F.transform("r", lambda v: (v - F.col("mean")) / F.col("std"))
+    low, high = (F.lit(math.log(b)) for b in FREEDOM)
+
+    def fitted(x: Column) -> Column:
+        profile = lambda s: bound(F.exp(s), lambda f: bound(_reweighted(x, f), lambda fit: _likelihood(x, f, fit)))
+        return bound(F.exp(highest(profile, low, high).at), lambda f: bound(_reweighted(x, f), lambda fit: F.struct(f.alias("freedom"), fit.m.alias("m"), F.sqrt(fit.s2).alias("s"))))
+
+    # Inlined arrays of one: what is worked out there is not worked out again in later expressions or filters.
+    df = rows.select("symbol", "n", "mean", "std", F.inline(F.array(bound(x, fitted))))
+    df = df.select("symbol", "n", "freedom", (F.col("mean") + F.col("std") * F.col("m")).alias("location"), (F.col("std") * F.col("s")).alias("scale"))
+    df = df.select("*", F.explode(F.array(student_quantile(F.col("freedom"), alpha))).alias("q"))
+    f, q = F.col("freedom"), F.col("q")
+    density = F.exp(log_gamma((f + 1) / 2) - log_gamma(f / 2)) / F.sqrt(3.141592653589793 * f) * F.pow(1 + q * q / f, -(f + 1) / 2)
+    shortfall = F.when(f > 1, F.col("location") - F.col("scale") * (f + q * q) / (f - 1) * density / alpha)
+    edge = (f < FREEDOM[0] * 1.001) | (f > FREEDOM[1] * 0.999)
+    return df.select("symbol", "n", "freedom", "location", "scale", (F.col("location") + F.col("scale") * q).alias("var"), shortfall.alias("cvar"), edge.alias("at_bound"))
+
+
+def var_comparison(returns: DataFrame, student: bool = False) -> DataFrame:
+    """Loss in percent by method; ``student`` adds the fit of Student's distribution."""
     parts = [("Historical", historical_var(returns)), ("Parametric (Normal)", normal_var(returns))]
+    parts += [("Parametric (t)", student_var(returns))] if student else []
     out = None
     for name, df in parts:
         one = df.select("symbol", F.lit(name).alias("method"), (-F.col("var") * 100).alias("loss_pct")).dropna()
@@ -90,6 +171,49 @@ def pareto_fit(over: DataFrame) -> DataFrame:
     )
 
 
+def pareto_likelihood(over: DataFrame) -> DataFrame:
+    """The columns of :func:`pareto_fit` by most likelihood, and ``log_likelihood``.
+
+    For a given ratio of shape to scale the shape is the mean of log(1 + ratio * excess), which
+    leaves one number to search. Shapes of -1 and below are left out, where the likelihood has
+    no bound. NULL under ten exceedances or three different ones.
+    """
+    rows = over.groupBy("symbol").agg(
+        F.max("threshold").alias("threshold"), F.count("*").alias("n_over"), F.max("n").alias("n"), F.sort_array(F.collect_list("excess")).alias("x")
+    )
+    usable = (F.col("n_over") >= 10) & (F.size(F.array_distinct("x")) >= 3)
+    most = F.array_max("x")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+
+    def shape_of(x: Column, ratio: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, v: a + F.log1p(ratio * v)) / F.size(x)
+
+    def fitted(s: Column) -> Column:
+        # The ratio times the largest excess runs from just above -1 to far beyond what data can tell; its scale is logarithmic.
+        ratio = lambda u: (F.exp(u) - 1) / s.most
+
+        def worth(u: Column) -> Column:
+            def value(shape: Column) -> Column:
+                inner = -(F.log(F.when(F.abs(shape) < 1e-12, s.mean).otherwise(shape / ratio(u))) + shape + 1) * F.size(s.x)
+                return F.when(shape > -1, inner)
+
+            return bound(shape_of(s.x, ratio(u)), value)
+
+        def result(best: Column) -> Column:
+            def parts(shape: Column) -> Column:
+                scale = F.when(F.abs(shape) < 1e-12, s.mean).otherwise(shape / ratio(best.at))
+                return F.struct(shape.alias("shape"), scale.alias("scale"), best.value.alias("log_likelihood"))
+
+            return bound(shape_of(s.x, ratio(best.at)), parts)
+
+        return bound(highest(worth, F.lit(-12.0), F.lit(8.0), 41, 40), result)
+
+    fit = F.when(usable, bound(F.struct(F.col("x").alias("x"), most.alias("most"), mean.alias("mean")), fitted))
+    # An exploded array of one: the fit is not worked out again in later expressions or filters.
+    df = rows.select("symbol", "threshold", "n_over", "n", F.explode(F.array(fit)).alias("fit"))
+    return df.select("symbol", "threshold", "n_over", "n", "fit.shape", "fit.scale", "fit.log_likelihood")
+
+
 def return_levels(fit: DataFrame, periods=RETURN_PERIODS) -> DataFrame:
     """Loss in percent expected once in each period."""
     df = fit.filter("shape IS NOT NULL AND scale > 0").withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))

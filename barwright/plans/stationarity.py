@@ -1,8 +1,8 @@
-"""Queries over partial autocorrelation and unit roots; tests hold them against numpy."""
+"""Queries over partial autocorrelation, unit roots and fits by likelihood; tests hold them against numpy."""
 
 from __future__ import annotations
 
-from barwright.operators import stationarity as st
+from barwright.operators import stationarity as st, tail as ta
 from barwright.plans.registry import query, tidy
 from barwright.sources import panel
 
@@ -25,3 +25,23 @@ def rolling_return_pacf(spark, sf):
 @query("unit_root_test")
 def unit_root_test(spark, sf):
     return tidy(st.unit_root(panel.bars(spark, sf)))
+
+
+@query("student_var")
+def student_var(spark, sf):
+    return tidy(ta.student_var(ta.tail_returns(panel.bars(spark, sf))), 5, freedom=2)
+
+
+@query("var_comparison_all")
+def var_comparison_all(spark, sf):
+    return tidy(ta.var_comparison(ta.tail_returns(panel.bars(spark, sf)), student=True), 3)
+
+
+@query("pareto_likelihood")
+def pareto_likelihood(spark, sf):
+    return tidy(ta.pareto_likelihood(ta.exceedances(ta.tail_returns(panel.bars(spark, sf)))), 5)
+
+
+@query("return_levels_likelihood")
+def return_levels_likelihood(spark, sf):
+    return tidy(ta.return_levels(ta.pareto_likelihood(ta.exceedances(ta.tail_returns(panel.bars(spark, sf))))), 4)
