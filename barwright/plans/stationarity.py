@@ -1,8 +1,10 @@
-"""Queries over partial autocorrelation, unit roots and fits by likelihood; tests hold them against numpy."""
+"""Queries over partial autocorrelation, unit roots, fits by likelihood and local regression; tests hold them against numpy."""
 
 from __future__ import annotations
 
-from barwright.operators import stationarity as st, tail as ta
+from pyspark.sql import functions as F
+
+from barwright.operators import smoothing as sm, stationarity as st, tail as ta, volatility as vo
 from barwright.plans.registry import query, tidy
 from barwright.sources import panel
 
@@ -45,3 +47,16 @@ def pareto_likelihood(spark, sf):
 @query("return_levels_likelihood")
 def return_levels_likelihood(spark, sf):
     return tidy(ta.return_levels(ta.pareto_likelihood(ta.exceedances(ta.tail_returns(panel.bars(spark, sf))))), 4)
+
+
+@query("lowess_close")
+def lowess_close(spark, sf):
+    """Trend of closes through the nearest quarter of each series."""
+    return tidy(sm.lowess(panel.bars(spark, sf).select("symbol", "date", F.col("close").alias("x"))), 5)
+
+
+@query("lowess_volatility")
+def lowess_volatility(spark, sf):
+    """Trend of the annual volatility of the last 21 days."""
+    vol = vo.rolling_volatility(panel.bars(spark, sf), [21])
+    return tidy(sm.lowess(vol.select("symbol", "date", F.col("vol_21d").alias("x"))), 5)
