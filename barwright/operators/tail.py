@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.series import log_return, rolling, trailing, whole
+from barwright.functions.series import log_return, trailing, whole
 from barwright.operators.solver import bound, highest, log_gamma
 
 # Confidence 95 %, its normal quantile, and the return periods in days.
@@ -129,14 +129,13 @@ def var_comparison(returns: DataFrame, student: bool = False) -> DataFrame:
 def rolling_var(returns: DataFrame, window: int = 63, alpha: float = 1 - CONFIDENCE) -> DataFrame:
     """Quantile and shortfall of the last ``window`` returns as positive percentages.
 
-    The frame is bounded, so the list gathered for the shortfall is too.
+    The frame is bounded, so the one list gathered for both is too.
     """
-    df = returns.withColumns(
-        {
-            "v": rolling(F.percentile("r", F.lit(alpha)), "r", window),
-            "w": F.collect_list("r").over(trailing(window)),
-        }
-    ).filter("v IS NOT NULL")
+    df = returns.withColumn("w", F.array_sort(F.collect_list("r").over(trailing(window)))).filter(F.size("w") == window)
+    # The quantile lies between two places of the one sorted list.
+    at = (window - 1) * alpha
+    low, high = F.get("w", F.lit(math.floor(at))), F.get("w", F.lit(math.ceil(at)))
+    df = df.withColumn("v", low + (high - low) * (at - math.floor(at)))
     below = F.filter("w", lambda x: x <= F.col("v"))
     mean = F.aggregate(below, F.lit(0.0), lambda a, x: a + x) / F.size(below)
     return df.select("symbol", "date", (-F.col("v") * 100).alias("var_pct"), (-mean * 100).alias("cvar_pct"))
