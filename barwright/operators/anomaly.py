@@ -159,6 +159,55 @@ def clustering_table(feats: DataFrame) -> DataFrame:
     return projected(feats).join(density_noise(feats), ["symbol", "date"])
 
 
+#: Trees of the isolation score and the share of days that is flagged.
+TREES, SHARE = 100, 0.05
+# Fixed value: Euler's constant.
+EULER = 0.5772156649015329
+
+
+def _expected_depth(n: Column) -> Column:
+    """Mean depth of an unsuccessful search among ``n`` points, which a cut-off branch of that size would add."""
+    return F.when(n > 2, 2 * (F.log((n - 1).cast("double")) + EULER) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
+
+
+def _draw(what: str) -> Column:
+    """A number from 0 to 1 that depends on series, tree and node alone, so that reruns agree."""
+    text = F.concat_ws("/", F.lit(what), "symbol", F.col("tree").cast("string"), F.col("node").cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / 281474976710656.0
+
+
+def isolation_scores(feats: DataFrame, trees: int = TREES, share: float = SHARE) -> DataFrame:
+    """(symbol, date, score, isolated): how early random cuts set a day apart from the others of its series.
+
+    Every tree holds all days of the series. It grows level by level: the days of a node are
+    cut at a random place between the least and the largest value of a random feature, down to
+    single days, to days that do not differ in that feature, or to the depth at which a
+    balanced tree would be done. Scores near 1 are set apart early. Flagged are scores above the
+    quantile that leaves ``share``. Nodes are windows within (symbol, tree), by which the rows
+    are dealt once; a hot series is spread over its trees.
+    """
+    sizes = feats.groupBy("symbol").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    df = feats.join(sizes, "symbol").withColumn("limit", F.ceil(F.log2(F.greatest("n", F.lit(2)).cast("double"))))
+    df = df.select("symbol", "date", "n", "limit", F.array(*FEATURES).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
+    df = df.withColumns({"node": F.lit(1).cast("long"), "path": F.lit(None).cast("double")})
+    spec = Window.partitionBy("symbol", "tree", "node")
+    levels = max(most - 1, 1).bit_length()
+    for depth in range(levels + 1):
+        df = df.withColumn("v", F.get("x", F.floor(_draw("feature") * len(FEATURES)).cast("int")))
+        df = df.withColumns({"held": F.count("*").over(spec), "low": F.min("v").over(spec), "high": F.max("v").over(spec)})
+        ends = (F.col("held") == 1) | (F.col("low") == F.col("high")) | (F.col("limit") <= depth)
+        path = F.coalesce("path", F.when(ends, depth + _expected_depth(F.col("held"))))
+        cut = F.col("low") + _draw("place") * (F.col("high") - F.col("low"))
+        node = F.when(path.isNotNull(), F.col("node")).otherwise(2 * F.col("node") + (F.col("v") >= cut).cast("long"))
+        df = df.select("symbol", "date", "n", "limit", "x", "tree", node.alias("node"), path.alias("path"))
+    scores = df.groupBy("symbol", "date", "n").agg(F.avg("path").alias("path"))
+    score = F.when(F.col("n") > 1, F.pow(F.lit(2.0), -F.col("path") / _expected_depth(F.col("n"))))
+    scores = scores.select("symbol", "date", score.alias("score"))
+    scores = scores.withColumn("edge", F.percentile("score", F.lit(1 - share)).over(whole()))
+    return scores.select("symbol", "date", "score", F.coalesce(F.col("score") > F.col("edge"), F.lit(False)).alias("isolated"))
+
+
 def regular_closes(bars: DataFrame) -> DataFrame:
     """Closes on every trading day between the first and last bar, gaps blended by time."""
     closes = bars.select("symbol", "date", "close").filter("close IS NOT NULL")

@@ -357,6 +357,31 @@ def clustering_table(spark, sf):
     return tidy(an.clustering_table(an.features(panel.bars(spark, sf))), 5)
 
 
+def _isolation_sql(trees: int, levels: int) -> str:
+    """A table for each level, as many as any series here can need."""
+    draw = lambda what: f"(('0x' || substr(md5('{what}/' || symbol || '/' || tree || '/' || node), 1, 12))::BIGINT / 281474976710656::DOUBLE)"
+    deep = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + {an.EULER}::DOUBLE) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+    ctes = [f"""t0 AS (SELECT symbol, date, n, ceil(log2(greatest(n, 2))) AS lim, [{', '.join(an.FEATURES)}] AS x, tree, 1::BIGINT AS node, NULL::DOUBLE AS path
+      FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM feats), (SELECT unnest(range(1, {trees} + 1)) AS tree))"""]
+    for d in range(levels):
+        ctes.append(f"""v{d} AS MATERIALIZED (SELECT *, x[CAST(floor({draw('feature')} * 3) AS INTEGER) + 1] AS v FROM t{d}),
+      w{d} AS (SELECT *, count(*) OVER o AS held, min(v) OVER o AS low, max(v) OVER o AS high FROM v{d} WINDOW o AS (PARTITION BY symbol, tree, node)),
+      p{d} AS (SELECT * REPLACE (coalesce(path, CASE WHEN held = 1 OR low = high OR lim <= {d} THEN {d} + {deep('held')} END) AS path) FROM w{d}),
+      t{d + 1} AS (SELECT symbol, date, n, lim, x, tree, CASE WHEN path IS NOT NULL THEN node ELSE 2 * node + CAST(v >= low + {draw('place')} * (high - low) AS INTEGER) END AS node, path FROM p{d})""")
+    ctes.append(f"sc AS (SELECT symbol, date, CASE WHEN n > 1 THEN 2 ** (-avg(path) / ({deep('n')})) END AS score FROM t{levels} GROUP BY symbol, date, n)")
+    return ", ".join(ctes)
+
+
+@query(
+    "isolation_flags",
+    f"""WITH {FEATS}, {_isolation_sql(20, 12)} SELECT symbol, date, {r('score')} AS score,
+    coalesce(score > quantile_cont(score, 0.95) OVER (PARTITION BY symbol), false) AS isolated FROM sc""",
+)
+def isolation_flags(spark, sf):
+    """Days that twenty random trees set apart early, one in twenty of each series."""
+    return tidy(an.isolation_scores(an.features(panel.bars(spark, sf)), 20))
+
+
 # --- spectra ------------------------------------------------------------------
 
 

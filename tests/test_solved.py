@@ -246,3 +246,22 @@ def test_wavelet_gives_back_what_went_in(spark):
             x = x[6 : 6 + 2 * len(d) - 6]
         assert np.allclose(x[: len(values[s])], values[s], atol=1e-10)
     assert {r.level for r in wv.discrete_wavelet(df, 2).filter("symbol = 'a'").collect()} == {1, 2}
+
+
+def test_isolation_finds_planted_days_and_repeats_itself(spark):
+    from barwright.operators import anomaly as an
+
+    rng = np.random.default_rng(8)
+    rows = [("a", DAY + dt.timedelta(days=i), *map(float, rng.normal(size=3) + (9.0 if i in (20, 77) else 0.0))) for i in range(120)]
+    rows += [("one", DAY, 1.0, 2.0, 3.0)] + [("same", DAY + dt.timedelta(days=i), 1.0, 2.0, 3.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, date date, log_return double, volatility double, volume_pct_change double")
+    got = native(an.isolation_scores(df, 30)).collect()
+    assert len(got) == len(rows)
+    mine = {(r.date - DAY).days: r for r in got if r.symbol == "a"}
+    top = sorted(mine, key=lambda i: -mine[i].score)[:2]
+    assert set(top) == {20, 77} and mine[20].isolated and mine[77].isolated
+    assert sum(r.isolated for r in mine.values()) == 6 and all(0 < r.score < 1 for r in mine.values())
+    assert not any(r.isolated for r in got if r.symbol != "a") and [r.score for r in got if r.symbol == "one"] == [None]
+    again = an.isolation_scores(df.repartition(5), 30).collect()
+    assert {(r.symbol, r.date): r.isolated for r in again} == {(r.symbol, r.date): r.isolated for r in got}
+    assert an.isolation_scores(df.limit(0), 3).count() == 0
