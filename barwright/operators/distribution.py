@@ -185,7 +185,11 @@ def outlier_report(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> Da
     v = F.col(column).cast("double")
     src = df.filter(v.isNotNull()).select(*keys, v.alias("v"))
     stats = src.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_dev"), F.count("v").alias("n"))
-    joined = src.join(stats, list(keys)) if keys else src.join(F.broadcast(stats))  # one row
+    if keys:
+        joined = src.join(stats, list(keys))
+    else:
+        one = stats.agg(F.struct(*[F.first(c).alias(c) for c in ("mean", "std_dev", "n")])).scalar()
+        joined = src.withColumn("one", one).select("v", "one.*")
     out = joined.groupBy(*keys, "mean", "std_dev", "n").agg(
         F.count_if(F.abs(F.col("v") - F.col("mean")) > 3 * F.col("std_dev")).alias("outlier_count")
     )

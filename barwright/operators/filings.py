@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.operators.upsert import insert_absent, overwrite
 from barwright.schema import FACTS_FLAT, FACTS_NESTED, SUBMISSIONS, TICKERS
@@ -54,6 +54,24 @@ def filings(subs: DataFrame) -> DataFrame:
     return rows.select("cik", "company_name", *[F.col(src).alias(out) for out, src in FILING_FIELDS.items()])
 
 
+def surplus_elements(subs: DataFrame) -> DataFrame:
+    """(cik, column, surplus): elements of a parallel array beyond the accession list, which no filing row has a place for."""
+    size = lambda src: F.size(F.coalesce(F.col(f"filings.recent.{src}"), F.array()))
+    cells = [F.struct(F.lit(out).alias("column"), (size(src) - size("accessionNumber")).cast("long").alias("surplus")) for out, src in FILING_FIELDS.items()]
+    return subs.select("cik", F.inline(F.array(*cells))).filter("surplus > 0").groupBy("cik", "column").agg(F.sum("surplus").alias("surplus"))
+
+
+def filing_records(rows: DataFrame, directory: DataFrame, fetched_at: Column) -> DataFrame:
+    """Filing rows as they are kept: with the symbol of the company and when they were fetched.
+
+    Of several tickers of a company the first by code points, upper-cased, is its symbol; a
+    company that the directory lacks has NULL. The directory is reduced to a row a company
+    before the join, so that no filing is repeated.
+    """
+    symbols = directory.groupBy("cik").agg(F.min(F.upper("ticker")).alias("symbol"))
+    return rows.join(symbols, "cik", "left").withColumn("fetched_at", fetched_at)
+
+
 def filing_keys(docs: DataFrame) -> DataFrame:
     """(cik, accession_number, filing_date) of documents: the parser is asked for three fields only."""
     schema = "cik string, filings struct<recent: struct<accessionNumber: array<string>, filingDate: array<string>>>"

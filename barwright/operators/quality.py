@@ -147,6 +147,19 @@ def guarded_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in columns})
 
 
+def guard_report(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """(keys, rows, values per column, status): whether a feature frame can be used.
+
+    NaN and infinities count as missing. ``status`` is `ok`, `empty` where there are no rows
+    (only without keys, as a key without rows is not there), or names the columns without any
+    value, comma-joined, behind `all missing`.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.count(finite(F.col(c))).alias(f"values_{c}") for c in columns])
+    lost = F.filter(F.array(*[F.when(F.col(f"values_{c}") == 0, F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    status = F.when(F.col("rows") == 0, "empty").when(F.size(lost) > 0, F.concat(F.lit("all missing: "), F.array_join(lost, ","))).otherwise("ok")
+    return counts.withColumn("status", status)
+
+
 def require_columns(df: DataFrame, columns=("date", "close")) -> DataFrame:
     """Raise when a needed column is missing."""
     lost = [c for c in columns if c not in df.columns]

@@ -169,3 +169,14 @@ def request_quota(spark, sf):
 def polled_filings(spark, sf):
     """One-shot poll of a landed folder: the stream is drained, deduplicated and appended."""
     return stream.drain_orders(spark, sf)
+
+
+@query(
+    "filing_records",
+    f"""WITH {_SUBS}, {_TICK}, t AS (SELECT cik, min(upper(ticker)) AS symbol FROM ticks GROUP BY cik)
+    SELECT f.*, t.symbol, TIMESTAMP '2001-12-31 18:00:00' AS fetched_at FROM filings f LEFT JOIN t ON t.cik = f.cik""",
+)
+def filing_records(spark, sf):
+    """Filing rows with symbol and time of fetching, as they are kept."""
+    out = fi.filing_records(filing_rows(spark, sf), fi.tickers(src.ticker_documents(spark, sf)), F.lit("2001-12-31 18:00:00").cast("timestamp"))
+    return tidy(out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barwright.functions.series import by_date
 from barwright.operators import adjust, alignment as al, calendar as cal, distribution as dist, incremental as inc, quality as q, upsert as up
 from barwright.plans.registry import query, tidy
 from barwright.plans.scans import MISSING, TRADING, bar_spans
@@ -258,6 +259,25 @@ def guarded_features(spark, sf):
     return tidy(q.guarded_features(df, ["volume_per_range", "log_body"]), volume_per_range=4)
 
 
+@query(
+    "feature_guard",
+    f"""WITH {LAGGED}, f AS (SELECT symbol, volume / nullif(high - low, 0) AS a, CASE WHEN symbol NOT LIKE '%3' THEN sr END AS b FROM rets)
+    SELECT symbol, count(*) AS rows, count(a) AS values_volume_per_range, count(b) AS values_daily_return,
+    CASE WHEN count(a) = 0 AND count(b) = 0 THEN 'all missing: volume_per_range,daily_return' WHEN count(a) = 0 THEN 'all missing: volume_per_range'
+      WHEN count(b) = 0 THEN 'all missing: daily_return' ELSE 'ok' END AS status FROM f GROUP BY symbol""",
+)
+def feature_guard(spark, sf):
+    """Which series have features that can be used; those of some symbols are taken away on purpose."""
+    span = F.col("high") - F.col("low")
+    step = F.try_divide(F.col("close"), F.lag("close").over(by_date())) - 1
+    df = panel.bars(spark, sf).select(
+        "symbol",
+        F.when(span == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("volume"), span)).alias("volume_per_range"),
+        F.when(F.col("symbol").endswith("3"), F.lit(float("nan"))).otherwise(step).alias("daily_return"),
+    )
+    return q.guard_report(df, ["volume_per_range", "daily_return"], "symbol")
+
+
 @query(
     "split_price_window",
     f"""WITH {BARS}, {SPLITS} SELECT b.symbol, s.split_date, b.date, open, high, low, close, volume, b.date = s.split_date AS is_mark

@@ -134,3 +134,31 @@ def test_quota_on_a_table(spark):
     rows = [("a", dt.datetime(2024, 1, 1, 0, 0, s)) for s in range(3)] + [("b", dt.datetime(2024, 1, 1, 0, 0, 1))]
     out = quota.over_quota(spark.createDataFrame(rows, "client string, ts timestamp"), limit=2).collect()
     assert [(r.client, r.n) for r in out] == [("a", 3)]
+
+
+def test_guard_report_of_empty_and_all_missing_frames(spark):
+    rows = [("a", 1.0, float("nan")), ("a", None, float("inf")), ("b", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, x double, y double")
+    got = {r.symbol: (r.rows, r.values_x, r.values_y, r.status) for r in q.guard_report(df, ["x", "y"], "symbol").collect()}
+    assert got == {"a": (2, 1, 0, "all missing: y"), "b": (1, 1, 1, "ok")}
+    assert q.guard_report(df.limit(0), ["x", "y"]).first().status == "empty"
+    assert q.guard_report(df.filter("symbol = 'a'").drop("x").withColumn("x", F.lit(None).cast("double")), ["x", "y"]).first().status == "all missing: x,y"
+
+
+def test_surplus_elements_of_parallel_arrays_are_counted(spark):
+    doc = json.dumps({"cik": "1", "name": "n", "filings": {"recent": {"accessionNumber": ["a"], "filingDate": ["2020-01-01", "2020-01-02", "x"], "form": ["8-K"]}}})
+    subs = fi.submissions(spark.createDataFrame([(doc,)], "doc string"))
+    assert [(r.cik, r.column, r.surplus) for r in fi.surplus_elements(subs).collect()] == [("1", "filing_date", 2)]
+    rows = fi.filings(subs)
+    directory = spark.createDataFrame([("bb", "1"), ("aa", "1"), ("cc", "2")], "ticker string, cik string")
+    kept = fi.filing_records(rows, directory, F.lit("2020-01-03").cast("timestamp")).collect()
+    assert [(r.cik, r.symbol, r.fetched_at.year) for r in kept] == [("1", "AA", 2020)]
+
+
+def test_outliers_of_a_whole_column_need_no_join(spark):
+    from barwright.operators import distribution as dist
+
+    df = spark.createDataFrame([(1.0,)] * 30 + [(50.0,)], "v double")
+    out = dist.outlier_report(df, "v")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().outlier_count == 1 and out.count() == 1
