@@ -15,6 +15,16 @@ def returns_of(bars: DataFrame, absolute: bool = False) -> DataFrame:
     return bars.select("symbol", "date", (F.abs(r) if absolute else r).alias("x")).filter("x IS NOT NULL")
 
 
+#: Windows of a series that are solved in one row.
+TOGETHER = 32
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows that cost much each: a stated number of partitions is not merged by size."""
+    spark = rows.sparkSession
+    return rows.repartition(2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _running(series: DataFrame, lags: int) -> DataFrame:
     """(symbol, n, dates, sums): running sums of x times x lagged by 0 .. ``lags``, and of x.
 
@@ -28,9 +38,7 @@ def _running(series: DataFrame, lags: int) -> DataFrame:
     df = df.select("symbol", "date", *[F.sum(p).over(upto).alias(f"s{i}") for i, p in enumerate(parts)])
     names = [f"s{i}" for i in range(len(parts))]
     rows = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", *names))).alias("rows"))
-    # The rows are few but each costs much: a stated number of partitions is not merged by size.
-    spark = series.sparkSession
-    rows = rows.repartition(2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "symbol")
+    rows = _dealt(rows, "symbol")
     sums = F.array(*[F.concat(F.array(F.lit(0.0)), F.col(f"rows.{s}")) for s in names])
     return rows.select("symbol", F.size("rows").alias("n"), F.col("rows.date").alias("dates"), sums.alias("sums"))
 
@@ -94,7 +102,9 @@ def rolling_pacf(series: DataFrame, window: int = ANALYSIS_WINDOW, lags: int = L
         total = lambda code: F.get(s[code], at + n) - F.get(s[code], at)
         return total(0) - total(lags + 1) * total(lags + 1) / n
 
-    starts = F.sequence(F.lit(0), F.col("n") - window - 1)
+    # A long series is spread over tasks: some windows a row, each with the running sums that they read.
+    df = _dealt(df.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - window - 1, F.lit(TOGETHER)))), "symbol", "first")
+    starts = F.sequence(F.col("first"), F.least(F.col("first") + TOGETHER, F.col("n") - window) - 1)
     per = bound(
         F.col("sums"),
         lambda s: F.transform(
