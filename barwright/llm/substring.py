@@ -4,8 +4,9 @@ Seeds are all ``K``-word shingles, so that a passage of 50 words with 10 of them
 seven. Occurrences of a seed are linked each to each up to ``MANY``. Those of a hot seed are
 linked to the one in the smallest document of their task, and that one to the smallest of all,
 which is a link for each occurrence and never all pairs; pairs of hot seeds 16 and 32 words
-apart are then linked in the same way, so that a passage of several frequent lines is linked
-to a document that has them together.
+apart, and those on both sides of a gap, are then linked in the same way, so that a passage of
+several frequent lines is linked to a document that has them together. Seeds travel packed by
+bucket, some eight bytes each, and a task compares those of one bucket at a time.
 
 Between two documents the links are chained: both places must rise, and a link's score is its
 words plus the best score before it less the cost of the gap, found by a Fenwick tree of
@@ -49,6 +50,8 @@ MARGIN = 64
 #: Words that an extension may pass on either side, the nearest first.
 SKIPS = sorted(((i, j) for i in range(4) for j in range(4) if i or j), key=lambda p: (max(p), sum(p)))
 HELD = 1 << 20
+#: Requests for the words of a document that one row holds.
+WANTED = 1 << 12
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,12 +103,32 @@ def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return (g >> np.uint64(16)).view(np.int64), p - first[text], text
 
 
-ROWS = "seed long, doc long, at long, ref long, rat long, hot long"
+ROWS = "bucket long, n long, blob binary"
+#: Seeds that a bucket should have: bounds what a task holds at once.
+FULL = 1 << 19
+LINK = ["doc", "at", "ref", "rat", "hot"]
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(seed, doc, at, ref, rat, hot): seeds; those that are many in their task are linked (ref not
-    NULL) to the smallest document of the same task, and named in ``hot``."""
+def bucket_bits(texts: DataFrame) -> int:
+    """Bits that name a bucket, so that one has about ``FULL`` seeds; a word has some six bytes."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(max(5, (size // 6 // FULL).bit_length()), 16)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Numbers of eight bytes as differences, byte by byte; those of one document leave little but zeros."""
+    steps = [np.diff(c, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T for c in columns]
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in steps)
+
+
+def unpacked(data: np.ndarray, n: int, columns: int) -> list[np.ndarray]:
+    steps = data[: 8 * n * columns].reshape(columns, 8, n)
+    return [np.cumsum(np.ascontiguousarray(x.T).view(np.int64).ravel()) for x in steps]
+
+
+def occurrences(texts: DataFrame, bits: int) -> DataFrame:
+    """(bucket, n, blob): seeds, packed by bucket in the order of the texts; those that are many in
+    their task are linked to the smallest document of the same task (bucket below 0)."""
 
     def work(batches):
         table, held, size = powers(1 << 20), [], 0
@@ -118,35 +141,60 @@ def occurrences(texts: DataFrame) -> DataFrame:
                 held.append([s, ids[i:j][t], (p << 16) | part[t]])
                 size += len(s)
                 if size >= HELD:
-                    yield from combined(held)
+                    yield combined(held, bits)
                     held, size = [], 0
         if held:
-            yield from combined(held)
+            yield combined(held, bits)
 
     return texts.mapInArrow(work, ROWS)
 
 
-def combined(held):
+def sorted_places(s: np.ndarray) -> np.ndarray:
+    """Places of ``s`` in its order; equal numbers in any."""
+    if len(s) >= 1 << 21:
+        return np.argsort(s)
+    # Few seeds share 43 bits; those that do stand together, and so are taken for one below.
+    return np.sort((s >> 5 << 21).view(np.uint64) | np.arange(len(s), dtype=np.uint64)).view(np.int64) & ((1 << 21) - 1)
+
+
+def combined(held, bits: int) -> pa.RecordBatch:
     s, d, at = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(s)
-    k, many = grouped(s[order])
+    # The bucket's bits and 32 more name a seed; should two ever share them, the words decide.
+    name = s >> (16 - bits)
+    order = sorted_places(s)
+    k, many = grouped(name[order])
     # Only of seeds that are many the order of the rows counts, and only they are linked here.
     o = order[many]
-    o = o[np.lexsort((at[o], d[o], s[o]))]
-    first = o[grouped(s[o])[0]]
-    hot = np.zeros(len(s), bool)
-    hot[o] = True
-    ref, rat = d.copy(), at.copy()
-    ref[o], rat[o] = d[first], at[first]
-    known = d > ref
-    # A linked row only travels on; its document spreads it over the tasks. Rows keep the order of the texts, which packs well.
-    key = np.where(known, d, s)
-    for i in range(0, len(s), 1 << 17):
-        c = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[c]), pa.array(d[c]), pa.array(at[c]), pa.array(ref[c], mask=~known[c]), pa.array(rat[c], mask=~known[c]), pa.array(s[c], mask=~hot[c])],
-            names=["seed", "doc", "at", "ref", "rat", "hot"],
-        )
+    o = o[np.lexsort((at[o], d[o], name[o]))]
+    first = o[grouped(name[o])[0]]
+    hot = np.zeros(len(s), np.uint8)
+    hot[o] = 1
+    later = d[o] > d[first]
+    o, first = o[later], first[later]
+    stay = np.ones(len(s), bool)
+    stay[o] = False
+    rows = []
+    back = np.lexsort((at[o], d[o]))
+    o, first = o[back], first[back]
+    for i in range(0, len(o), 1 << 15):
+        x, y = o[i : i + (1 << 15)], first[i : i + (1 << 15)]
+        # A linked row only travels on; its document spreads it over the tasks.
+        rows.append((-1 - int(abs(d[x[0]]) % 4096), len(x), packed(d[x], at[x], d[y], at[y], name[x])))
+    left = np.flatnonzero(stay)
+    left = left[np.argsort((name[left] >> 32).astype(np.uint16), kind="stable")]
+    bucket = name[left] >> 32
+    edge = np.append(np.flatnonzero(np.diff(bucket, prepend=np.int64(-1))), len(left))
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        x = left[i:j]
+        rows.append((int(bucket[i]), j - i, packed(d[x], at[x]) + name[x].astype(np.uint32).tobytes() + hot[x].tobytes()))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([pa.compress(r[2], codec="zstd", asbytes=True) for r in rows], pa.binary()),
+        ],
+        names=["bucket", "n", "blob"],
+    )
 
 
 def grouped(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,67 +208,85 @@ def linked(rows: DataFrame) -> DataFrame:
     """(doc, at, ref, rat, hot): every two occurrences of a seed in different documents, the larger first.
 
     Of a seed with more than ``MANY`` each occurrence is linked to the smallest only, and in
-    ``hot`` named with its seed (ref is NULL in the smallest).
+    ``hot`` named with its seed (ref is NULL in the smallest). A task holds one bucket; where that
+    is far above ``FULL``, as seeds of every task repeat, its hot seeds are linked on the way
+    and only their smallest occurrences are kept.
     """
-    names = ["doc", "at", "ref", "rat", "hot"]
 
     def row(d, at, ref, rat, hot):
         none = pa.nulls(len(d), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(at), none if ref is None else ref, none if ref is None else rat, none if hot is None else pa.array(hot)], names=names)
-
-    def to_first(s, d, at, ref, rat):
-        same = d <= ref
-        return row(d, at, pa.array(ref, mask=same), pa.array(rat, mask=same), s)
-
-    def pairs(s, d, at, hot):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(at), none if ref is None else ref, none if rat is None else rat, none if hot is None else pa.array(hot)], names=LINK)
+
+    def pairs(held, bucket, last):
+        """Links of the rows held; in the end those that stay, unless they are the last of the bucket."""
+        s, d, at, hot = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = np.sort((s.astype(np.uint64) << np.uint64(32)) | np.arange(len(s), dtype=np.uint64))
+        s, i = (key >> np.uint64(32)).view(np.int64), (key & np.uint64(0xFFFFFFFF)).view(np.int64)
+        alone = np.append(True, s[1:] != s[:-1])
+        alone = alone & np.append(alone[1:], True)
+        single = i[alone & (hot[i] == 0)] if not last else i[:0]
+        alone &= hot[i] == 0
+        s, i = s[~alone], i[~alone]
+        own = (key[alone] >> np.uint64(32)).view(np.int64) if not last else s[:0]
+        spare = [own, d[single], at[single], hot[single]]
+        d, at, hot = d[i], at[i], hot[i]
+        order = np.lexsort((at, d, s))
+        s, d, at, hot = s[order], d[order], at[order], hot[order]
         k, many = grouped(s)
-        if many.any():
-            yield to_first(s[many], d[many], at[many], d[k[many]], at[k[many]])
+        if len(s):
+            start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            many |= np.repeat(np.maximum.reduceat(hot, start) == 2, np.diff(np.append(start, len(s))))
+        name = (np.int64(bucket) << 32) | s
+        m = many if last else many & ((d > d[k]) | (np.arange(len(k)) > k))
+        if m.any():
+            same = d[m] <= d[k[m]]
+            yield row(d[m], at[m], pa.array(d[k[m]], mask=same), pa.array(at[k[m]], mask=same), name[m])
+        if not last:
+            stay = ~many | (np.arange(len(k)) == k)
+            hot[many] = 2
+            yield [np.concatenate(x) for x in zip(spare, [s[stay], d[stay], at[stay], hot[stay]], strict=True)]
+            return
         # Many in some task, few here.
-        m = hot & ~many
+        m = (hot > 0) & ~many
         if m.any():
-            yield row(d[m], at[m], None, None, s[m])
+            yield row(d[m], at[m], None, None, name[m])
         for lag in range(1, MANY):
-            out = np.flatnonzero((k[lag:] == k[: len(k) - lag]) & ~many[lag:] & (d[lag:] > d[: len(d) - lag]))
-            if not len(out) and not (k[lag:] == k[: len(k) - lag]).any():
+            near = k[lag:] == k[: len(k) - lag]
+            if not near.any():
                 break
+            out = np.flatnonzero(near & ~many[lag:] & (d[lag:] > d[: len(d) - lag]))
             if len(out):
                 yield row(d[out + lag], at[out + lag], pa.array(d[out]), pa.array(at[out]), None)
 
     def work(batches):
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]  # the last seed's rows, while they are few
-        seed = doc = place = None  # the last seed and its smallest occurrence, once they are many
+        held, size, full, seen = [], 0, 8 * FULL, None
         for batch in batches:
-            known = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            if known.any():
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(known)) for k in (1, 2, 3, 4, 5)], names=names)
-            new = [batch.column(k).to_numpy()[~known] for k in range(3)] + [batch.column(5).is_valid().to_numpy(zero_copy_only=False)[~known]]
-            if not len(new[0]):
-                continue
-            if seed is not None:
-                n = int((new[0] == seed).sum())
-                if n:
-                    s, d, at, _ = (v[:n] for v in new)
-                    yield to_first(s, d, at, np.full(n, doc), np.full(n, place))
-                    new = [v[n:] for v in new]
-                    if not len(new[0]):
-                        continue
-                seed = None
-            now = [np.concatenate(v) for v in zip(held, new, strict=True)]
-            k, many = grouped(now[0])
-            cut = len(k) if many[-1] else k[-1]
-            if many[-1]:
-                seed, doc, place = now[0][-1], now[1][k[-1]], now[2][k[-1]]
-            held = [v[cut:] for v in now]
-            yield from pairs(*(v[:cut] for v in now))
-        yield from pairs(*held)
+            for bucket, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                linked_ = bucket < 0
+                data = np.frombuffer(pa.decompress(blob.as_buffer(), n * (40 if linked_ else 21), codec="zstd"), np.uint8)
+                if linked_:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpacked(data, n, 5)], names=LINK)
+                    continue
+                if bucket != seen and held:
+                    yield from pairs(held, seen, True)
+                    held, size, full = [], 0, 8 * FULL
+                seen = bucket
+                held.append([data[16 * n : 20 * n].view(np.uint32).astype(np.int64), *unpacked(data, n, 2), data[20 * n :]])
+                size += n
+                if size > full:
+                    *out, stay = pairs(held, seen, False)
+                    yield from out
+                    held, size = [stay], len(stay[0])
+                    full = max(full, 2 * size)
+        if held:
+            yield from pairs(held, seen, True)
 
-    ordered = rows.withColumn("known", F.col("ref").isNotNull()).repartition("seed").sortWithinPartitions("known", "seed", "doc", "at").drop("known")
-    return ordered.mapInArrow(work, "doc long, at long, ref long, rat long, hot long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "doc long, at long, ref long, rat long, hot long")
 
 
-def apart(links: DataFrame) -> DataFrame:
-    """Rows like ``occurrences`` of pairs of hot seeds that stand ``APART`` words from each other.
+def apart(links: DataFrame, bits: int) -> DataFrame:
+    """Rows like ``occurrences`` of pairs of hot seeds that stand ``APART`` words from each other, or on
+    both sides of a gap between hot seeds, however wide up to ``GAP`` words.
 
     Lines that are frequent alone are linked to documents that have them alone; what is said
     with both is linked by the pairs that reach across.
@@ -245,15 +311,30 @@ def apart(links: DataFrame) -> DataFrame:
                     key = stir(hot[i] * _FOLD + hot[to[i]] + np.uint64(far))
                     held.append([(key >> np.uint64(16)).view(np.int64), np.full(len(i), doc, np.int64), at[i]])
                     size += len(i)
+                for key, i in across(place, hot):
+                    held.append([key, np.full(len(i), doc, np.int64), at[i]])
+                    size += len(i)
                 if size >= HELD:
-                    yield from combined(held)
+                    yield combined(held, bits)
                     held, size = [], 0
         if held:
-            yield from combined(held)
+            yield combined(held, bits)
 
     return lists.mapInArrow(work, ROWS)
 
 
+def across(place: np.ndarray, hot: np.ndarray):
+    """(seed, row) of the two hot seeds on each side of a gap, named by both next to it: the same
+    in every document, however many words the gap has."""
+    i = np.flatnonzero((np.diff(place) > 1) & (np.diff(place) <= K + GAP))
+    key = stir(hot[i] * _FOLD + hot[i + 1] * _MIX)
+    for n, step in enumerate((0, 1, -1, 2)):
+        to = np.clip(i + step, 0, len(place) - 1)
+        # The outer two are in the line of the inner ones.
+        m = place[to] == np.where(step > 0, place[i + 1] + step - 1, place[i] + step)
+        yield (stir(key[m] + np.uint64(n)) >> np.uint64(16)).view(np.int64), to[m]
+
+
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
     """Chains of links (x, y), sorted by x and then by falling y; each link is in one chain.
 
@@ -357,7 +438,10 @@ def of_document(doc: int, at, ref, rat) -> list[tuple]:
 
 def fetched(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, side, owner, other, start, words, xs, ys): the hashes of the words asked for."""
-    lists = asked.groupBy("owner").agg(F.collect_list(F.struct("key", "side", "other", "part", "start", "stop", "xs", "ys")).alias("asked"))
+    # A document that many others refer to is read by several tasks.
+    parts = asked.groupBy("owner").count().where(F.col("count") > WANTED).select("owner", F.ceil(F.col("count") / WANTED).alias("n"))
+    share = F.pmod(F.xxhash64("key"), F.coalesce("n", F.lit(1)))
+    lists = asked.join(parts, "owner", "left").groupBy("owner", share.alias("share")).agg(F.collect_list(F.struct("key", "side", "other", "part", "start", "stop", "xs", "ys")).alias("asked"))
     joined = texts.join(lists, texts.doc_id == lists.owner).select("owner", "text", "asked")
     names = ["key", "side", "owner", "other", "start", "words", "xs", "ys"]
     kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.list_(pa.int64())] * 2
@@ -501,8 +585,9 @@ def passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMILARITY
     gives no rows; other columns are ignored.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    links = stored(linked(occurrences(texts)), "passage-links")
-    links = links.drop("hot").unionAll(linked(apart(links)).drop("hot")).where("ref is not null")
+    bits = bucket_bits(texts)
+    links = stored(linked(occurrences(texts, bits)), "passage-links")
+    links = links.drop("hot").unionAll(linked(apart(links, bits)).drop("hot")).where("ref is not null")
     asked = stored(requests(links), "passage-chains")
     slices = fetched(asked, texts).repartition("key").sortWithinPartitions("key", "side")
     names = ["doc_id", "ref_doc_id", "start_word", "end_word", "ref_start", "ref_end", "n_words", "similarity"]

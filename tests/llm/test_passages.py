@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from test_texts import digest, passage, removal
 
@@ -31,6 +32,38 @@ def test_passages_of_lines_that_stand_apart_in_earlier_documents(spark):
         assert found(spark, texts, tasks) == want
 
 
+def test_passages_of_frequent_lines_with_other_gaps(spark, monkeypatch):
+    """Five lines of 12 words, few or many copies of each, with one word between them here and two there."""
+    rng = random.Random(12)
+    texts, want = [], set()
+    for copies in (3, 12, 40):
+        lines = [passage(rng, 12) for _ in range(5)]
+        for line in lines * copies:
+            texts.append(f"{passage(rng, 20)} {line} {passage(rng, 20)}")
+        for gap in (1, 2):
+            texts.append(" ".join([passage(rng, 20), *[f"{line} {passage(rng, gap)}" for line in lines], passage(rng, 20)]))
+        want.add((len(texts) - 1, len(texts) - 2))
+    for tasks in (1, 3, 7):
+        assert found(spark, texts, tasks) == want
+    monkeypatch.setattr(substring, "FULL", 16)  # buckets are reduced on the way
+    assert found(spark, texts, 7) == want
+
+
+def test_a_document_that_many_refer_to(spark, monkeypatch):
+    monkeypatch.setattr(substring, "WANTED", 5)
+    rng = random.Random(13)
+    shared = passage(rng, 70)
+    texts = [f"{passage(rng, 20)} {shared} {passage(rng, 20)}" for _ in range(60)]
+    assert {d for d, _ in found(spark, texts, 3)} == set(range(1, 60))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(-(1 << 62), 1 << 62, 1000), np.arange(1000) << 16, np.zeros(1000, np.int64)]
+    back = substring.unpacked(np.frombuffer(substring.packed(*columns), np.uint8), 1000, 3)
+    assert all((a == b).all() for a, b in zip(columns, back, strict=True))
+
+
 def test_passages_near_the_least_similarity(spark):
     """50 to 60 words, every fifth or sixth of them or as many at random replaced."""
     rng = random.Random(4)
