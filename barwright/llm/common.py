@@ -25,6 +25,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame, label: str) -> DataFrame:
+    """``stored``, with the shuffles that led to the table given up once it is written."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return stored(df, label)
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ASCII texts take the fast built-in, which changes nothing else in them."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barwright.llm import chars
-from barwright.llm.common import documents, stored
+from barwright.llm.common import documents, freed
 from barwright.llm.suffix import part_of, powers, stir
 
 NAME = "op5_substring_dedup"
@@ -376,10 +376,16 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-def requests(links: DataFrame) -> DataFrame:
+def wanted_seeds(least: int, similarity: float) -> int:
+    """Seeds that a passage of ``least`` words keeps, as each edited word breaks up to K."""
+    return max(least - K + 1 - K * int(least * (1 - similarity) + 1e-9), LINKS)
+
+
+def requests(links: DataFrame, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
     """(owner, key, side, other, at, start, stop, xs, ys): words to fetch from both documents of each chain."""
     lists = links.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("ref").alias("ref"), F.collect_list("rat").alias("rat"))
     names = ["owner", "key", "side", "other", "part", "start", "stop", "xs", "ys"]
+    keeps = wanted_seeds(least, similarity)
 
     def work(batches):
         for batch in batches:
@@ -390,13 +396,13 @@ def requests(links: DataFrame) -> DataFrame:
             cut = cut - cut[0]
             for n, doc in enumerate(docs):
                 own = slice(cut[n], cut[n + 1])
-                rows += of_document(doc, at[own], ref[own], rat[own])
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * 2
+                rows += of_document(doc, at[own], ref[own], rat[own], keeps)
+            kinds = [pa.int64()] * 7 + [pa.binary()] * 2
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)], names=names)
 
     return lists.mapInArrow(
-        work, "owner long, key long, side long, other long, part long, start long, stop long, xs array<long>, ys array<long>"
+        work, "owner long, key long, side long, other long, part long, start long, stop long, xs binary, ys binary"
     )
 
 
@@ -405,8 +411,21 @@ def near(x: int, y: int) -> bool:
     return max(x, y) <= GAP or x == y <= MARGIN
 
 
-def of_document(doc: int, at, ref, rat) -> list[tuple]:
+def around(linked_at: np.ndarray, part: int, first: int, last: int) -> int:
+    """Linked words from ``MARGIN`` before ``first`` to ``MARGIN`` behind ``last`` in a text."""
+    low, high = (part << 40) + max(first - MARGIN, 0), (part << 40) + last + K + MARGIN
+    return int(linked_at.searchsorted(high, "right") - linked_at.searchsorted(low))
+
+
+def of_document(doc: int, at, ref, rat, keeps: int = LINKS) -> list[tuple]:
+    """Requests for the chains of a document that may be passages.
+
+    Every seed that a passage shares with a smaller document is linked, if hot perhaps to another
+    one. So a chain with fewer than ``keeps`` linked words, to whatever document, in all that the
+    alignment would see cannot become a passage.
+    """
     out = []
+    linked_at = np.unique((at & 65535) << 40 | at >> 16)
     # Texts under one doc_id are told apart by their parts.
     part, rpart, x, y = at & 65535, rat & 65535, at >> 16, rat >> 16
     order = np.lexsort((-y, x, rpart, ref, part))
@@ -427,10 +446,10 @@ def of_document(doc: int, at, ref, rat) -> list[tuple]:
                 if c is not None and near(xs[c] - xs[piece[-1]] - K, ys[c] - ys[piece[-1]] - K):
                     piece.append(c)
                     continue
-                if len(piece) >= LINKS:
+                if len(piece) >= keeps or len(piece) >= LINKS and around(linked_at, int(part[i]), xs[piece[0]], xs[piece[-1]]) >= keeps:
                     px, py = [xs[k] for k in piece], [ys[k] for k in piece]
                     key = struct.unpack("<q", hashlib.blake2b(struct.pack("<8q", doc, int(ref[i]), int(part[i]), int(rpart[i]), px[0], py[0], px[-1], py[-1]), digest_size=8).digest())[0]
-                    out.append((doc, key, 0, int(ref[i]), int(part[i]), max(px[0] - MARGIN, 0), px[-1] + K + MARGIN, px, py))
+                    out.append((doc, key, 0, int(ref[i]), int(part[i]), max(px[0] - MARGIN, 0), px[-1] + K + MARGIN, np.array(px).tobytes(), np.array(py).tobytes()))
                     out.append((int(ref[i]), key, 1, doc, int(rpart[i]), max(py[0] - MARGIN, 0), py[-1] + K + MARGIN, None, None))
                 piece = [c]
     return out
@@ -444,7 +463,7 @@ def fetched(asked: DataFrame, texts: DataFrame) -> DataFrame:
     lists = asked.join(parts, "owner", "left").groupBy("owner", share.alias("share")).agg(F.collect_list(F.struct("key", "side", "other", "part", "start", "stop", "xs", "ys")).alias("asked"))
     joined = texts.join(lists, texts.doc_id == lists.owner).select("owner", "text", "asked")
     names = ["key", "side", "owner", "other", "start", "words", "xs", "ys"]
-    kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 5 + [pa.binary()] * 3
 
     def work(batches):
         table = powers(1 << 20)
@@ -466,7 +485,7 @@ def fetched(asked: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return joined.mapInArrow(
-        work, "key long, side long, owner long, other long, start long, words binary, xs array<long>, ys array<long>"
+        work, "key long, side long, owner long, other long, start long, words binary, xs binary, ys binary"
     )
 
 
@@ -534,7 +553,8 @@ def aligned(a, a0: int, b, b0: int, xs: list[int], ys: list[int], similarity: fl
 
 def possible(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> bool:
     """Whether ``least`` words or more of a in a row are to ``similarity`` words that b has at all."""
-    total = np.append(0.0, np.cumsum(np.isin(a, b) - similarity))
+    both = (a[:, None] == b).any(1) if len(a) * len(b) < 1 << 18 else np.isin(a, b)
+    total = np.append(0.0, np.cumsum(both - similarity))
     return bool((np.arange(len(total)) - np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)).max() >= least)
 
 
@@ -586,9 +606,9 @@ def passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMILARITY
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     bits = bucket_bits(texts)
-    links = stored(linked(occurrences(texts, bits)), "passage-links")
-    links = links.drop("hot").unionAll(linked(apart(links, bits)).drop("hot")).where("ref is not null")
-    asked = stored(requests(links), "passage-chains")
+    links = freed(linked(occurrences(texts, bits)), "passage-links")
+    links = links.unionAll(freed(linked(apart(links, bits)), "passage-pairs")).drop("hot").where("ref is not null")
+    asked = freed(requests(links, least, similarity), "passage-chains")
     slices = fetched(asked, texts).repartition("key").sortWithinPartitions("key", "side")
     names = ["doc_id", "ref_doc_id", "start_word", "end_word", "ref_start", "ref_end", "n_words", "similarity"]
 
@@ -596,15 +616,15 @@ def passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMILARITY
         mine = None
         for batch in batches:
             rows = []
-            for n in range(batch.num_rows):
-                r = [batch.column(k)[n].as_py() for k in range(8)]
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if r[1] == 0:
                     mine = r
                 elif mine is not None and mine[0] == r[0]:
                     a, b = np.frombuffer(mine[5], np.uint32), np.frombuffer(r[5], np.uint32)
                     if not possible(a, b, least, similarity):
                         continue
-                    for xs, ys in parts(a, mine[4], b, r[4], mine[6], mine[7], similarity):
+                    xs, ys = (np.frombuffer(v, np.int64).tolist() for v in mine[6:])
+                    for xs, ys in parts(a, mine[4], b, r[4], xs, ys, similarity):
                         for p, q, u, v, equal in aligned(a, mine[4], b, r[4], xs, ys, similarity):
                             part = equal / max(q - p, v - u)
                             if min(q - p, v - u) >= least and part >= similarity:
@@ -617,7 +637,7 @@ def passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMILARITY
     out = slices.mapInArrow(
         work, "doc_id long, ref_doc_id long, start_word long, end_word long, ref_start long, ref_end long, n_words long, similarity double"
     )
-    return leading(stored(out.distinct(), "passages"))
+    return leading(freed(out.distinct(), "passages"))
 
 
 def leading(rows: DataFrame) -> DataFrame:
