@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barwright.session import run_folder
+from barwright.session import run_folder, shared_folder
 
 # The white space of the contracts: the ASCII space and the five controls 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -36,6 +36,15 @@ def freed(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def given_up(table: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing reads any more; files elsewhere are left alone."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if shared_folder(spark).rstrip("/").split(":", 1)[-1].lstrip("/") + "/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ASCII texts take the fast built-in, which changes nothing else in them."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -17,6 +17,7 @@ their ends are extended while this keeps the wanted similarity.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barwright.llm import chars
-from barwright.llm.common import documents, freed
+from barwright.llm.common import documents, freed, given_up
 from barwright.llm.suffix import part_of, powers, stir
 
 NAME = "op5_substring_dedup"
@@ -207,8 +208,8 @@ def grouped(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def linked(rows: DataFrame) -> DataFrame:
     """(doc, at, ref, rat, hot): every two occurrences of a seed in different documents, the larger first.
 
-    Of a seed with more than ``MANY`` each occurrence is linked to the smallest only, and in
-    ``hot`` named with its seed (ref is NULL in the smallest). A task holds one bucket; where that
+    Of a seed with more than ``MANY``, in all or in some task, each occurrence is linked to the
+    smallest only, and in ``hot`` named with its seed (ref is NULL in the smallest). A task holds one bucket; where that
     is far above ``FULL``, as seeds of every task repeat, its hot seeds are linked on the way
     and only their smallest occurrences are kept.
     """
@@ -247,7 +248,9 @@ def linked(rows: DataFrame) -> DataFrame:
             yield [np.concatenate(x) for x in zip(spare, [s[stay], d[stay], at[stay], hot[stay]], strict=True)]
             return
         # Many in some task, few here.
-        m = (hot > 0) & ~many
+        m = ~many
+        if len(s):
+            m &= np.repeat(np.maximum.reduceat(hot, start) > 0, np.diff(np.append(start, len(s))))
         if m.any():
             yield row(d[m], at[m], None, None, name[m])
         for lag in range(1, MANY):
@@ -376,27 +379,28 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-def wanted_seeds(least: int, similarity: float) -> int:
-    """Seeds that a passage of ``least`` words keeps, as each edited word breaks up to K."""
-    return max(least - K + 1 - K * int(least * (1 - similarity) + 1e-9), LINKS)
+def wanted_seeds(words: int, similarity: float) -> int:
+    """Seeds that a passage of so many words keeps, as each edited word breaks up to K."""
+    return max(words - K + 1 - K * int(words * (1 - similarity) + 1e-9), LINKS)
 
 
 def requests(links: DataFrame, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
     """(owner, key, side, other, at, start, stop, xs, ys): words to fetch from both documents of each chain."""
-    lists = links.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("ref").alias("ref"), F.collect_list("rat").alias("rat"))
+    kind = F.when(F.col("ref").isNull(), 2).when(F.col("hot").isNotNull(), 1).otherwise(0).cast("byte").alias("kind")
+    links = links.select("doc", "at", F.coalesce("ref", F.lit(0)).alias("ref"), F.coalesce("rat", F.lit(0)).alias("rat"), kind)
+    lists = links.groupBy("doc").agg(*[F.collect_list(c).alias(c) for c in ("at", "ref", "rat", "kind")])
     names = ["owner", "key", "side", "other", "part", "start", "stop", "xs", "ys"]
-    keeps = wanted_seeds(least, similarity)
 
     def work(batches):
         for batch in batches:
             rows: list[tuple] = []
             docs = batch.column(0).to_pylist()
             cut = batch.column(1).offsets.to_numpy()
-            at, ref, rat = (batch.column(k).flatten().to_numpy() for k in (1, 2, 3))
+            at, ref, rat, kind = (batch.column(k).flatten().to_numpy() for k in (1, 2, 3, 4))
             cut = cut - cut[0]
             for n, doc in enumerate(docs):
                 own = slice(cut[n], cut[n + 1])
-                rows += of_document(doc, at[own], ref[own], rat[own], keeps)
+                rows += of_document(doc, at[own], ref[own], rat[own], kind[own], least, similarity)
             kinds = [pa.int64()] * 7 + [pa.binary()] * 2
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)], names=names)
@@ -411,21 +415,40 @@ def near(x: int, y: int) -> bool:
     return max(x, y) <= GAP or x == y <= MARGIN
 
 
-def around(linked_at: np.ndarray, part: int, first: int, last: int) -> int:
-    """Linked words from ``MARGIN`` before ``first`` to ``MARGIN`` behind ``last`` in a text."""
-    low, high = (part << 40) + max(first - MARGIN, 0), (part << 40) + last + K + MARGIN
-    return int(linked_at.searchsorted(high, "right") - linked_at.searchsorted(low))
+@functools.cache
+def lengths(least: int, similarity: float) -> list[tuple[int, int]]:
+    """(seeds, words) of parts of ``least`` to twice as many words; a longer one that needs no more stands for a shorter."""
+    out: list[tuple[int, int]] = []
+    for n in range(2 * least, least - 1, -1):
+        need = wanted_seeds(n, similarity)
+        if not out or need < out[-1][0]:
+            out.append((need, n))
+    return out
+
+
+def dense(at: np.ndarray, least: int, similarity: float) -> bool:
+    """Whether seeds at the words ``at``, in order, are enough for a passage.
+
+    A passage can be cut into parts of ``least`` to twice as many words, one of which is as
+    similar as the whole; so some part has the seeds that a passage of its length keeps.
+    """
+    for need, n in lengths(least, similarity):
+        if len(at) >= need and (at[need - 1 :] - at[: len(at) - need + 1] <= n - K).any():
+            return True
+    return False
 
 
-def of_document(doc: int, at, ref, rat, keeps: int = LINKS) -> list[tuple]:
+def of_document(doc: int, at, ref, rat, kind, least: int = LEAST, similarity: float = SIMILARITY) -> list[tuple]:
     """Requests for the chains of a document that may be passages.
 
-    Every seed that a passage shares with a smaller document is linked, if hot perhaps to another
-    one. So a chain with fewer than ``keeps`` linked words, to whatever document, in all that the
-    alignment would see cannot become a passage.
+    A seed that a passage shares with the smaller document is linked to it unless it is hot
+    (``kind`` above 0). So a chain with too few words, in all that the alignment would see, that are
+    linked to that document or hot cannot become a passage.
     """
+    keeps = wanted_seeds(least, similarity)
+    hot_at = np.unique(((at & 65535) << 40 | at >> 16)[kind > 0])
+    at, ref, rat = (v[kind < 2] for v in (at, ref, rat))
     out = []
-    linked_at = np.unique((at & 65535) << 40 | at >> 16)
     # Texts under one doc_id are told apart by their parts.
     part, rpart, x, y = at & 65535, rat & 65535, at >> 16, rat >> 16
     order = np.lexsort((-y, x, rpart, ref, part))
@@ -438,6 +461,12 @@ def of_document(doc: int, at, ref, rat, keeps: int = LINKS) -> list[tuple]:
         if j - i < LINKS:
             continue
         xs, ys = x[i:j].tolist(), y[i:j].tolist()
+
+        def beside(first, last, own=x[i:j], text=int(part[i]) << 40):
+            low, high = first - MARGIN, last + K + MARGIN
+            hot = hot_at[np.searchsorted(hot_at, text + max(low, 0)) : np.searchsorted(hot_at, text + high, "right")] - text
+            return np.unique(np.append(hot, own[np.searchsorted(own, low) : np.searchsorted(own, high, "right")]))
+
         dx, dy = np.diff(x[i:j]), np.diff(y[i:j])
         # Where each link follows the one before and is worth its gap, all are one chain.
         for chain in [list(range(len(xs)))] if (dx > 0).all() and (dy > 0).all() and ((dx + dy) * GAP_COST < K).all() else chains(xs, ys):
@@ -446,7 +475,7 @@ def of_document(doc: int, at, ref, rat, keeps: int = LINKS) -> list[tuple]:
                 if c is not None and near(xs[c] - xs[piece[-1]] - K, ys[c] - ys[piece[-1]] - K):
                     piece.append(c)
                     continue
-                if len(piece) >= keeps or len(piece) >= LINKS and around(linked_at, int(part[i]), xs[piece[0]], xs[piece[-1]]) >= keeps:
+                if len(piece) >= LINKS and (len(piece) >= 2 * keeps or dense(beside(xs[piece[0]], xs[piece[-1]]), least, similarity)):
                     px, py = [xs[k] for k in piece], [ys[k] for k in piece]
                     key = struct.unpack("<q", hashlib.blake2b(struct.pack("<8q", doc, int(ref[i]), int(part[i]), int(rpart[i]), px[0], py[0], px[-1], py[-1]), digest_size=8).digest())[0]
                     out.append((doc, key, 0, int(ref[i]), int(part[i]), max(px[0] - MARGIN, 0), px[-1] + K + MARGIN, np.array(px).tobytes(), np.array(py).tobytes()))
@@ -607,8 +636,10 @@ def passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMILARITY
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     bits = bucket_bits(texts)
     links = freed(linked(occurrences(texts, bits)), "passage-links")
-    links = links.unionAll(freed(linked(apart(links, bits)), "passage-pairs")).drop("hot").where("ref is not null")
-    asked = freed(requests(links, least, similarity), "passage-chains")
+    pairs = freed(linked(apart(links, bits)), "passage-pairs")
+    asked = freed(requests(links.unionAll(pairs), least, similarity), "passage-chains")
+    given_up(links)
+    given_up(pairs)
     slices = fetched(asked, texts).repartition("key").sortWithinPartitions("key", "side")
     names = ["doc_id", "ref_doc_id", "start_word", "end_word", "ref_start", "ref_end", "n_words", "similarity"]
 
