@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.functions.series import by_date, log_ratio, rolling, whole
+from barwright.functions.blocks import centred, each_series, values_of, windows
+from barwright.functions.series import by_date, log_ratio, whole
 
 STOCK = "STOCK"
 
@@ -55,9 +58,22 @@ def correlation_matrix(returns: DataFrame) -> DataFrame:
 
 
 def rolling_correlations(returns: DataFrame, window: int = 63) -> DataFrame:
-    """Rolling correlation of the stock with each market series, in long form."""
+    """Rolling correlation of the stock with each market series, in long form; none where either does not move."""
     assets = [c for c in returns.columns if c not in ("symbol", "date", STOCK)]
-    wide = returns.select(
-        "symbol", "date", *[rolling(F.corr(STOCK, a), STOCK, window).alias(a) for a in assets]
-    )
+
+    def correlated(table: pa.Table) -> dict:
+        stock = values_of(table, STOCK)
+        out = {}
+        for a in assets:
+            other, out[f"r_{a}"] = values_of(table, a), np.full(len(stock), np.nan)
+            paired = np.where(np.isnan(other), np.nan, stock)
+            for (at, w), (_, s), (_, v) in zip(windows(stock, window), windows(paired, window), windows(np.where(np.isnan(stock), np.nan, other), window), strict=True):
+                (x, _), (y, _) = centred(s), centred(v)
+                spread = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+                full = ~np.isnan(w).any(axis=1) & (spread > 0)
+                out[f"r_{a}"][at] = np.where(full, (x * y).sum(axis=1) / np.where(full, spread, 1.0), np.nan)
+        return out
+
+    wide = each_series(returns.select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in (STOCK, *assets)]), correlated, [f"r_{a}" for a in assets])
+    wide = wide.select("symbol", "date", *[F.col(f"r_{a}").alias(a) for a in assets])
     return wide.unpivot(["symbol", "date"], assets, "asset", "correlation").filter("correlation IS NOT NULL")
