@@ -233,7 +233,9 @@ def missing_date_ranges(spark, sf):
 )
 def missing_date_difference(spark, sf):
     bars = panel.bars(spark, sf)
-    return cal.days(bar_spans(bars), "trading").select("symbol", "date").subtract(bars.select("symbol", "date"))
+    # The days of a span differ, and a symbol has one span: what an EXCEPT would sort out besides is not there.
+    days, known = cal.days(bar_spans(bars), "trading").select("symbol", "date"), bars.select(F.col("symbol").alias("s"), F.col("date").alias("d"))
+    return days.join(known, F.col("symbol").eqNullSafe(F.col("s")) & F.col("date").eqNullSafe(F.col("d")), "left_anti")
 
 
 @query(
