@@ -265,3 +265,19 @@ def test_isolation_finds_planted_days_and_repeats_itself(spark):
     again = an.isolation_scores(df.repartition(5), 30).collect()
     assert {(r.symbol, r.date): r.isolated for r in again} == {(r.symbol, r.date): r.isolated for r in got}
     assert an.isolation_scores(df.limit(0), 3).count() == 0
+
+
+def test_partial_autocorrelations_send_no_running_sums(spark):
+    """Thirty lags of long series against numpy; beside the deal by symbol nothing is sent."""
+    values = {"a": walk(400, 11, 0.3), "b": np.diff(walk(90, 12)), "edge": walk(64, 13, 0.5)}
+    for df in (st.pacf(series(spark, values), 30), st.rolling_pacf(series(spark, values), 60, 12)):
+        plan = native(df)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION" not in plan and "explode" not in plan
+    got = {(r.symbol, r.lag): r.pacf for r in st.pacf(series(spark, values), 30).collect()}
+    for s in ("a", "b"):
+        assert np.allclose([got[s, k] for k in range(1, 31)], partial(values[s], 30), atol=1e-9)
+    rows = {(r.symbol, r.date): r for r in st.rolling_pacf(series(spark, values), 60, 12).collect()}
+    assert len(rows) == 340 + 29
+    for s, i in (("a", 60), ("a", 399), ("b", 75)):
+        r = rows[s, DAY + dt.timedelta(days=i)]
+        assert np.allclose([r[f"pacf_{k}"] for k in range(1, 13)], partial(values[s][i - 60 : i], 12), atol=1e-9)
