@@ -281,3 +281,23 @@ def test_partial_autocorrelations_send_no_running_sums(spark):
     for s, i in (("a", 60), ("a", 399), ("b", 75)):
         r = rows[s, DAY + dt.timedelta(days=i)]
         assert np.allclose([r[f"pacf_{k}"] for k in range(1, 13)], partial(values[s][i - 60 : i], 12), atol=1e-9)
+
+
+def test_spectrum_meets_frequencies_once_for_eight_rows(spark):
+    from barwright.operators import spectral as sp
+
+    rng = np.random.default_rng(21)
+    values = {str(n): rng.normal(size=n) for n in (2, 7, 8, 9, 61)} | {"1": np.ones(1)}
+    df = native(sp.amplitude_spectrum(series(spark, values).withColumnRenamed("x", "r")))
+    assert re.search(r"t#\d+L? % 8", df._jdf.queryExecution().executedPlan().toString())
+    got = {(r.symbol, r.k): r for r in df.collect()}
+    want = 0
+    for s, y in values.items():
+        n, t = len(y), np.arange(len(y))
+        if n > 1:
+            x = (y - np.polyval(np.polyfit(t, y, 1), t)) * (0.5 - 0.5 * np.cos(2 * np.pi * t / n))
+            amplitude = 2 / n * np.abs(np.fft.fft(x))[: n // 2]
+            want += n // 2
+            for k, a in enumerate(amplitude):
+                assert math.isclose(got[s, k].amplitude, a, abs_tol=1e-12) and math.isclose(got[s, k].frequency, k / n)
+    assert len(got) == want
