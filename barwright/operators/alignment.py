@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barwright.functions.series import by_date, by_date_desc, log_ratio, series_by
+from barwright.functions.series import by_date, by_date_desc, dealt, log_ratio, series_by
 
 
 def complete_dates(series: DataFrame, assets: int) -> DataFrame:
@@ -39,26 +39,27 @@ def reindex(series: DataFrame, dates: DataFrame, keys=("symbol", "date")) -> Dat
     return dates.join(series, list(keys), "left")
 
 
-def latest_before(bars: DataFrame, requested: DataFrame, value: str = "close") -> DataFrame:
+def latest_before(bars: DataFrame, requested: DataFrame, value: str = "close", tasks: int | None = None) -> DataFrame:
     """Last ``value`` strictly before each requested (symbol, date).
 
     One union and one window instead of a range join: each request row looks back
     over the bars that sort before it. Bars of the same day sort after the request.
+    ``tasks`` is how many the series are dealt to; the session's own number where it is None.
     """
     marks = requested.select("symbol", "date", F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
     known = bars.select("symbol", "date", F.col(value).cast("double").alias("v"), F.lit(1).alias("kind"))
     w = series_by("symbol").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = marks.unionByName(known).withColumn(f"last_{value}", F.last("v", ignorenulls=True).over(w))
+    both = dealt(marks.unionByName(known), tasks, "symbol").withColumn(f"last_{value}", F.last("v", ignorenulls=True).over(w))
     return both.filter("kind = 0").select("symbol", "date", f"last_{value}")
 
 
-def carry_forward(bars: DataFrame, gaps: DataFrame, max_days: int = 5) -> DataFrame:
+def carry_forward(bars: DataFrame, gaps: DataFrame, max_days: int = 5, tasks: int | None = None) -> DataFrame:
     """Bars for short empty ranges: all prices the last close, volume 0, weekdays only."""
     short = gaps.filter(F.datediff("range_end", "range_start") <= max_days)
     days = short.select("symbol", F.explode(F.sequence("range_start", "range_end")).alias("date")).filter(
         F.weekday("date") < 5
     )
-    filled = latest_before(bars, days).filter(F.col("last_close").isNotNull())
+    filled = latest_before(bars, days, tasks=tasks).filter(F.col("last_close").isNotNull())
     price = F.col("last_close")
     return filled.select(
         "symbol", "date", price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barwright.functions.series import by_date
+from barwright.functions.series import by_date, dealt
 
 # Single-day closures outside the yearly rules, since 1963.
 SPECIAL_CLOSURES = [
@@ -114,9 +114,12 @@ def days(spans: DataFrame, kind: str = "calendar", start: str = "first_date", en
     return out.drop(start, end)
 
 
-def missing_days(bars: DataFrame, spans: DataFrame, kind: str = "trading") -> DataFrame:
-    """Expected (symbol, date) pairs that are not stored. Needs ``bars`` keyed on both."""
-    return days(spans, kind).join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
+def missing_days(bars: DataFrame, spans: DataFrame, kind: str = "trading", tasks: int | None = None) -> DataFrame:
+    """Expected (symbol, date) pairs that are not stored. Needs ``bars`` keyed on both.
+
+    ``tasks`` is how many the days are dealt to, for a panel of which too many would meet in one.
+    """
+    return dealt(days(spans, kind), tasks, "symbol", "date").join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
 
 
 def ranges(missing: DataFrame, max_step: int = 3) -> DataFrame:

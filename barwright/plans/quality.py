@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barwright.functions.series import by_date
+from barwright.functions.series import by_date, dealt
 from barwright.operators import adjust, alignment as al, calendar as cal, distribution as dist, incremental as inc, quality as q, upsert as up
 from barwright.plans.registry import query, tidy
 from barwright.plans.scans import MISSING, TRADING, bar_spans
@@ -478,8 +478,9 @@ _GRID = f"""{MISSING}, grid AS (SELECT s.symbol, t.date, b.close FROM spans s JO
 
 @query("reindexed_closes", f"WITH {_GRID} SELECT symbol, date, close FROM grid")
 def reindexed_closes(spark, sf):
-    bars = panel.bars(spark, sf)
-    return al.reindex(bars.select("symbol", "date", "close"), cal.days(bar_spans(bars), "trading"))
+    n = panel.tasks(spark, sf)
+    bars = panel.bars(spark, sf, n)
+    return al.reindex(bars.select("symbol", "date", "close"), dealt(cal.days(bar_spans(bars), "trading"), n, "symbol", "date"))
 
 
 @query(
@@ -491,9 +492,11 @@ def reindexed_closes(spark, sf):
     SELECT symbol, date, {r('coalesce(close, pv + (nv - pv) * (date - pd) / nullif(nd - pd, 0), pv, nv)', 9)} AS close FROM n""",
 )
 def interpolated_closes(spark, sf):
-    bars = panel.bars(spark, sf)
-    grid = al.reindex(bars.select("symbol", "date", "close"), cal.days(bar_spans(bars), "trading"))
-    return tidy(al.interpolate(grid, "close"), 9)
+    n = panel.tasks(spark, sf)
+    bars = panel.bars(spark, sf, n)
+    days = dealt(cal.days(bar_spans(bars), "trading"), n, "symbol", "date")
+    grid = al.reindex(bars.select("symbol", "date", "close"), days)
+    return tidy(al.interpolate(dealt(grid, n, "symbol"), "close"), 9)
 
 
 @query(
