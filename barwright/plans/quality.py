@@ -233,7 +233,7 @@ def _checks_sql():
 def quality_checks(spark, sf):
     out = q.quality_checks(
         {
-            "stock": (panel.bars(spark, sf), ["symbol", "date"], "close", ["close", "volume"]),
+            "stock": (panel.bars(spark, sf, panel.tasks(spark, sf)), ["symbol", "date"], "close", ["close", "volume"]),
             "index": (panel.index_bars(spark, sf), ["symbol", "date"], "close", ["close", "volume"]),
             "treasury": (panel.yields(spark, sf), ["date"], "yr10", TENORS),
         }

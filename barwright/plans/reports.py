@@ -118,7 +118,7 @@ def quality_last_days(spark, sf):
     """The checks of every loader over its own last days."""
     recent = lambda df: df.filter(F.col("date") > F.date_sub(inc.last_day(df), _LAST))
     loaders = {
-        "stock": (recent(panel.bars(spark, sf)), ["symbol", "date"], "close", ["close", "volume"]),
+        "stock": (recent(panel.bars(spark, sf, panel.tasks(spark, sf))), ["symbol", "date"], "close", ["close", "volume"]),
         "index": (recent(panel.index_bars(spark, sf)), ["symbol", "date"], "close", ["close", "volume"]),
         "treasury": (recent(panel.yields(spark, sf)), ["date"], "yr10", TENORS),
     }
@@ -129,7 +129,7 @@ def _checked(spark, sf):
     """Loader inputs of the checks, made when asked for; the last one's folder does not exist."""
     columns = ["close", "volume"]
     return {
-        "stock": lambda: (panel.bars(spark, sf), ["symbol", "date"], "close", columns),
+        "stock": lambda: (panel.bars(spark, sf, panel.tasks(spark, sf)), ["symbol", "date"], "close", columns),
         "nowhere": lambda: (spark.read.parquet(f"{sf}/no_such_table.parquet"), ["symbol", "date"], "close", columns),
         "index": lambda: (panel.index_bars(spark, sf), ["symbol", "date"], "close", columns),
         "treasury": lambda: (panel.yields(spark, sf), ["date"], "yr10", TENORS),
