@@ -189,8 +189,9 @@ def received_weekdays(spark, sf):
     f"WITH {MISSING} SELECT symbol, date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM missing) WHERE rn <= 10",
 )
 def first_missing_dates(spark, sf):
-    bars = panel.bars(spark, sf)
-    return q.first_rows(cal.missing_days(bars, bar_spans(bars)), "date", 10)
+    n = panel.tasks(spark, sf)
+    bars = panel.bars(spark, sf, n)
+    return q.first_rows(dealt(cal.missing_days(bars, bar_spans(bars), tasks=n), n, "symbol"), "date", 10)
 
 
 @query(
@@ -519,8 +520,10 @@ def latest_close_before(spark, sf):
     FROM d ASOF JOIN bars b ON b.symbol = d.symbol AND b.date < d.date WHERE isodow(d.date) <= 5""",
 )
 def carried_forward_bars(spark, sf):
-    bars = panel.bars(spark, sf)
-    return al.carry_forward(bars, cal.ranges(cal.missing_days(bars, bar_spans(bars))))
+    n = panel.tasks(spark, sf)
+    bars = panel.bars(spark, sf, n)
+    gone = dealt(cal.missing_days(bars, bar_spans(bars), tasks=n), n, "symbol")
+    return al.carry_forward(bars, cal.ranges(gone), tasks=n)
 
 
 @query(

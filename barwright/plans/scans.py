@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barwright.functions.series import dealt
 from barwright.operators import calendar as cal
 from barwright.plans.registry import query
 from barwright.plans.sqltext import BARS, BARS_AND_INDEX, FEED, INDEX_BARS, SPLITS, STOCKS, YIELDS
@@ -210,8 +211,9 @@ def bar_spans(bars):
 
 @query("missing_trading_days", f"WITH {MISSING} SELECT symbol, date FROM missing")
 def missing_trading_days(spark, sf):
-    bars = panel.bars(spark, sf)
-    return cal.missing_days(bars, bar_spans(bars))
+    n = panel.tasks(spark, sf)
+    bars = panel.bars(spark, sf, n)
+    return cal.missing_days(bars, bar_spans(bars), tasks=n)
 
 
 @query(
@@ -222,8 +224,9 @@ def missing_trading_days(spark, sf):
     SELECT symbol, min(date) AS range_start, max(date) AS range_end, count(*) AS days FROM islands GROUP BY symbol, island""",
 )
 def missing_date_ranges(spark, sf):
-    bars = panel.bars(spark, sf)
-    return cal.ranges(cal.missing_days(bars, bar_spans(bars)))
+    n = panel.tasks(spark, sf)
+    bars = panel.bars(spark, sf, n)
+    return cal.ranges(dealt(cal.missing_days(bars, bar_spans(bars), tasks=n), n, "symbol"))
 
 
 @query(
