@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The model types and their default settings.
 MODEL_TYPES = {
@@ -15,6 +18,24 @@ MODEL_TYPES = {
 }
 
 
+@contextmanager
+def read_in(spark: SparkSession, tasks: int | None) -> Iterator[None]:
+    """Files that are read inside are cut into ``tasks`` pieces at least; as the session has it where that is None.
+
+    The learners keep what they read of a piece as objects of many times its size, and read
+    that again in each pass, so the pieces bound what a task holds and reads.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    if tasks is not None:
+        spark.conf.set(key, str(max(tasks, int(before or 0))))
+    try:
+        yield
+    finally:
+        if tasks is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def fit(train: DataFrame, features: list[str], kind: str, label: str = "label"):
     """(scaler, model) of a model type; an unknown type raises."""
     if kind not in MODEL_TYPES:

@@ -505,9 +505,11 @@ def model_holdout(spark, sf):
     features = ["r1", "body_size_norm", "upper_shadow_norm", "lower_shadow_norm", "close_position"]
     # The learners pass over their rows many times: they read what they need from files, and not the whole plan.
     path = run_folder(spark, "model-frame")
-    fe.chronological_split(frame).select("part", "label", *features).write.parquet(path)
+    # Row groups are small, as a task reads whole ones.
+    fe.chronological_split(frame).select("part", "label", *features).write.option("parquet.block.size", 8 << 20).parquet(path)
     part = spark.read.parquet(path)
-    return mdl.holdout(part.filter("part = 'train'"), part.filter("part = 'test'"), features)
+    with mdl.read_in(spark, panel.tasks_for(spark, part.count())):
+        return mdl.holdout(part.filter("part = 'train'"), part.filter("part = 'test'"), features)
 
 
 # --- all analyses of one panel ------------------------------------------------------
