@@ -3,10 +3,11 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from samples import BASE, rows
 
-from barwright.llm import exact, lattice, simhash, tiles
-from barwright.llm.common import components
+from barwright.llm import common, exact, lattice, simhash, tiles
+from barwright.llm.common import components, stored
 
 
 def groups(pairs, ids):
@@ -171,3 +172,33 @@ def test_near_copies_of_a_large_group_stay_one(frame):
     fp = {r.doc_id: int(r.fingerprint, 16) for r in got}
     want = groups([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3], sorted(fp))
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_join_that_grows_with_the_corpus_is_broadcast(spark, monkeypatch, tmp_path):
+    """Tables that Spark takes for small, as they are exploded or aggregated from small files."""
+    plans = []
+
+    def seen(df, label):
+        plans.append(plan_of(df))
+        return stored(df, label)
+
+    for module in (common, simhash, exact):
+        monkeypatch.setattr(module, "stored", seen)
+    path = str(tmp_path / "docs")
+    texts = [f"{BASE} line {i // 2} of the text" for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    fps = simhash.fingerprints(docs).select(F.col("fp").alias("id")).distinct()
+    plans.append(plan_of(tiles.dealt(simhash.anchors(fps, 3))))
+    plans.append(plan_of(tiles.dealt(simhash.anchors(fps, 3), fps.withColumn("more", F.lit(1)))))
+    kept = simhash.without_near_duplicates(docs)
+    plans.append(plan_of(kept))
+    assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
+    stay = exact.without_exact_duplicates(docs)
+    assert sorted(r.doc_id for r in stay.collect()) == list(range(0, 40, 2))
+    # The one broadcast is that of the directory, which MAX_DEPTH bounds, in the plan that writes the index.
+    assert "Broadcast" not in plan_of(stay)
