@@ -301,3 +301,27 @@ def test_spectrum_meets_frequencies_once_for_eight_rows(spark):
             for k, a in enumerate(amplitude):
                 assert math.isclose(got[s, k].amplitude, a, abs_tol=1e-12) and math.isclose(got[s, k].frequency, k / n)
     assert len(got) == want
+
+
+def test_periodogram_meets_frequencies_once_for_eight_rows(spark):
+    """Series of every rest modulo eight, dates with gaps, against least squares."""
+    from barwright.operators import spectral as sp
+
+    rng = np.random.default_rng(31)
+    data = {}
+    for n in (3, 8, 9, 15, 16, 29):
+        days = np.cumsum(rng.integers(1, 6, n))
+        data[str(n)] = (days - days[0], rng.normal(size=n) + 50.0)
+    rows = [(s, DAY + dt.timedelta(days=int(d)), float(v)) for s, (x, y) in data.items() for d, v in zip(x, y)]
+    df = native(sp.uneven_periodogram(spark.createDataFrame(rows, "symbol string, date date, close double"), least_period=2.7, samples=4))
+    assert re.search(r"i#\d+L? % 8", df._jdf.queryExecution().executedPlan().toString())
+    got = df.collect()
+    for s, (days, y) in data.items():
+        mine = [r for r in got if r.symbol == s]
+        n, count = len(y), math.floor(4 * days[-1] * (1 / 2.7 - 2 / days[-1]))
+        assert len(mine) == (count if count > 1 else 0)
+        x = y - np.polyval(np.polyfit(np.arange(n), y, 1), np.arange(n))
+        for r in mine if n > 3 else []:
+            z = np.column_stack([np.ones(n), np.cos(2 * np.pi * r.frequency * days), np.sin(2 * np.pi * r.frequency * days)])
+            fit = z @ np.linalg.lstsq(z, x, rcond=None)[0]
+            assert math.isclose(r.power, 1 - ((x - fit) ** 2).sum() / ((x - x.mean()) ** 2).sum(), abs_tol=1e-8)
